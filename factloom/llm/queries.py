@@ -1,6 +1,6 @@
 """The corpus operators' registered queries and what SQL can say of them."""
 
-from . import decontamination, packing, pii, secrets, token_counts
+from . import decontamination, near_dedup, packing, pii, quality, secrets, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -9,7 +9,9 @@ QUERIES = {
         decontamination.op4_decontamination,
         secrets.op6_secret_scan,
         packing.op7_packing,
+        near_dedup.op8_near_dedup,
+        quality.op9_quality,
         pii.op10_personal_data,
     )
 }
-ORACLES = {"op4_decontamination": decontamination.SQL}
+ORACLES = {"op4_decontamination": decontamination.SQL, "op8_near_dedup": near_dedup.SQL}
