@@ -1,12 +1,15 @@
 """The corpus operators' registered queries and what SQL can say of them."""
 
-from . import decontamination, near_dedup, packing, pii, quality, secrets, token_counts
+from . import decontamination, licenses, near_dedup, packing, pii, quality, secrets, suffix_dedup, token_counts, vector_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
+        suffix_dedup.op1_substring_dedup,
         token_counts.op2_token_counts,
+        licenses.op3_license_scan,
         decontamination.op4_decontamination,
+        vector_dedup.op5_vector_dedup,
         secrets.op6_secret_scan,
         packing.op7_packing,
         near_dedup.op8_near_dedup,
@@ -14,4 +17,4 @@ QUERIES = {
         pii.op10_personal_data,
     )
 }
-ORACLES = {"op4_decontamination": decontamination.SQL, "op8_near_dedup": near_dedup.SQL}
+ORACLES = {"op4_decontamination": decontamination.SQL, "op5_vector_dedup": vector_dedup.SQL, "op8_near_dedup": near_dedup.SQL}
