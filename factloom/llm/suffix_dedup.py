@@ -356,9 +356,9 @@ def _kept(firsts: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _by_document(spark: SparkSession, df: DataFrame, buckets: int) -> DataFrame:
-    """df as a table in the shared folder, bucketed by doc_id: later joins on it move the other side alone."""
+    """df, which is dealt to so many partitions by doc_id, as a table in the shared folder, bucketed alike: later joins on it move the other side alone."""
     name = f"suffix_{uuid.uuid4().hex}"
-    df.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{scratch(spark)}/{name}").format("parquet").saveAsTable(name)
+    df.write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{scratch(spark)}/{name}").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -372,7 +372,7 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     known = written(known.join(copies, "h"), "known")
     buckets = tasks(spark)
     chosen = known.where("doc_id = first").select("doc_id", F.col("h").alias("own_h"))
-    firsts = own.join(chosen, "doc_id").where("h = own_h").select("doc_id", "text").dropDuplicates(["doc_id"])
+    firsts = own.repartition(buckets, "doc_id").join(chosen, "doc_id").where("h = own_h").select("doc_id", "text").dropDuplicates(["doc_id"])
     firsts = _by_document(spark, firsts, buckets)
     met = written(_met(_scanned(firsts, buckets), buckets), "met")
     pieces = written(_pieces(firsts, met.where("low is not null")), "pieces")
