@@ -33,7 +33,7 @@ from .common import table, texts, written
 SHINGLE, PER_CENT = 3, 85
 SYMBOLS, MOST_ERRORS = 64, 27
 CHUNKS = (MOST_ERRORS + 2) // 2  # one of so many has one error at most
-BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_DOCUMENTS, BLOCK_SHINGLES = 4096, 4_000_000
 
 _RANDOM = np.random.default_rng(11)
 _ODD = _RANDOM.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -137,24 +137,28 @@ class _Forest:
 def linked(docs: list[int], sets: list[np.ndarray], groups: list[int], per_cent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between all members; those of equal group are known to be connected."""
     sizes = np.array([len(s) for s in sets])
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32) if sizes.sum() else np.empty(0, np.int32)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1] if sizes.sum() else np.empty(0, np.int64)
     ends = np.cumsum(sizes)
-    starts = ends - sizes
+    owner = np.repeat(np.arange(len(docs)), sizes)
+    holders = owner[np.argsort(code, kind="stable")]  # members by shingle, in order
+    until = np.cumsum(np.bincount(code)) if len(code) else np.empty(0, np.int64)
+    begin = until - np.diff(np.r_[0, until])
     forest, first = _Forest(len(docs)), {}
     for i, g in enumerate(groups):
         forest.join(first.setdefault(g, i), i)
-    out, marked = [], np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
-    for i in range(len(docs) - 1):
-        rest = starts[i + 1]
-        if not sizes[i] or len({forest.find(j) for j in range(i, len(docs))}) == 1:
+    parts, out = len({forest.find(i) for i in range(len(docs))}), []
+    for i in range(len(docs)):
+        if not sizes[i]:
             continue
-        own = code[starts[i] : ends[i]]
-        marked[own] = True
-        running = np.r_[0, np.cumsum(marked[code[rest:]])]
-        shared = running[ends[i + 1 :] - rest] - running[starts[i + 1 :] - rest]
-        marked[own] = False
-        for j in np.flatnonzero((100 * shared >= per_cent * (sizes[i] + sizes[i + 1 :] - shared)) & (sizes[i + 1 :] > 0)) + i + 1:
+        if parts == 1:
+            break
+        own = code[ends[i] - sizes[i] : ends[i]]
+        many = until[own] - begin[own]
+        place = np.repeat(begin[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        shared = np.bincount(holders[place], minlength=len(docs))[i + 1 :]
+        for j in np.flatnonzero((100 * shared >= per_cent * (sizes[i] + sizes[i + 1 :] - shared)) & (shared > 0)) + i + 1:
             if forest.join(i, int(j)):
+                parts -= 1
                 out.append((docs[i], docs[int(j)]))
     return out
 
@@ -185,8 +189,8 @@ def _compared(dealt: DataFrame, per_cent: int) -> DataFrame:
 
 def _blocks(members: DataFrame) -> DataFrame:
     """members with a block: so many of a family, in order, that neither documents nor shingles pass the limits."""
-    # The running sums go by slices of a family, so that no task orders a whole one.
-    slices = members.withColumn("slice", F.pmod(F.xxhash64("doc"), F.lit(64)) * F.when(F.col("members") > 64 * 64, 1).otherwise(0))
+    # The running sums go by slices of a large family, so that no task orders a whole one.
+    slices = members.withColumn("slice", F.expr(f"pmod(xxhash64(doc), greatest(1, members div {16 * BLOCK_DOCUMENTS}))"))
     order = Window.partitionBy("family", "slice").orderBy("group", "doc").rowsBetween(Window.unboundedPreceding, -1)
     place = F.coalesce(F.sum(F.lit(1.0 / BLOCK_DOCUMENTS) + F.col("n_shingles") / BLOCK_SHINGLES).over(order), F.lit(0.0))
     return slices.withColumn("block", F.struct("slice", place.cast("long").alias("k"))).drop("slice")
