@@ -4,14 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that says the same."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _loaded() -> None:
+    from . import graphs, relations, search, tracing  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    _loaded()
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _loaded()
+    return ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(0)
+    return queries()["pagerank_fixed"](spark, sf_dir)
