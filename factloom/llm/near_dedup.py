@@ -231,7 +231,8 @@ def near_duplicates(documents: DataFrame, per_cent: int = PER_CENT) -> DataFrame
     known = signed.where("n_shingles > 0 and doc is not null")
     same = known.groupBy("set_hash").agg(F.min("doc").alias("rep"))
     firsts = known.join(same.withColumnRenamed("rep", "doc"), ["doc", "set_hash"], "left_semi").dropDuplicates(["doc", "set_hash"])
-    text = texts(documents).where("doc_id is not null").withColumnRenamed("doc_id", "doc")
+    # The same join at every size: a small corpus must not hide what a large one has to move.
+    text = texts(documents).where("doc_id is not null").withColumnRenamed("doc_id", "doc").hint("merge")
     sets = known.select("doc", "set_hash").join(same, "set_hash").select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
     labels = components(links(text, firsts, per_cent).union(sets), written)
     out = signed.select(F.col("doc").alias("doc_id"), "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -241,7 +242,7 @@ def near_duplicates(documents: DataFrame, per_cent: int = PER_CENT) -> DataFrame
 
 def first_of_each(documents: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """The rows of documents that are the smallest of their group; rows without an id stay."""
-    kept = near_duplicates(documents, per_cent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id"))
+    kept = near_duplicates(documents, per_cent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).hint("merge")
     ided = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return ided.union(documents.where("doc_id is null")).select(documents.columns)
 
