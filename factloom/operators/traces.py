@@ -61,10 +61,11 @@ def precision_recall(calls: DataFrame, expected: DataFrame, by: str) -> DataFram
 
 
 def regression_rate(pre: DataFrame, post: DataFrame, key: list[str]) -> DataFrame:
-    """Of the tests that passed, those that no longer do: skipped ones do not count, absent ones do."""
+    """Of the tests that passed before, those that no longer do: skipped ones are not among these, absent ones are."""
     passed = pre.where("passed and not skipped").select(*key)
-    after = passed.join(post.select(*key, F.col("passed").alias("_p"), F.col("skipped").alias("_s")), key, "left").where("_s is null or not _s")
-    return after.agg(F.count("*").alias("tests"), F.count_if(~F.coalesce("_p", F.lit(False))).alias("regressed")).select("tests", "regressed", F.expr("regressed / nullif(tests, 0)").alias("rate"))
+    after = passed.join(post.select(*key, F.col("passed").alias("_p"), F.col("skipped").alias("_s")), key, "left")
+    lost = ~F.coalesce("_p", F.lit(False)) & ~F.coalesce("_s", F.lit(False))
+    return after.agg(F.count("*").alias("tests"), F.count_if(lost).alias("regressed")).select("tests", "regressed", F.expr("regressed / nullif(tests, 0)").alias("rate"))
 
 
 def rubric(scores: DataFrame, dimensions: list[str], least: float = 0.7) -> DataFrame:
