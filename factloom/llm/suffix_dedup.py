@@ -372,7 +372,9 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     known = written(known.join(copies, "h"), "known")
     buckets = tasks(spark)
     chosen = known.where("doc_id = first").select("doc_id", F.col("h").alias("own_h"))
-    firsts = own.repartition(buckets, "doc_id").join(chosen, "doc_id").where("h = own_h").select("doc_id", "text").dropDuplicates(["doc_id"])
+    # The hashes are compared by an expression that the join does not take for a key: texts are dealt by doc_id once.
+    same = F.when(F.col("h") == F.col("own_h"), True)
+    firsts = own.repartition(buckets, "doc_id").join(chosen, "doc_id").where(same).select("doc_id", "text").dropDuplicates(["doc_id"])
     firsts = _by_document(spark, firsts, buckets)
     met = written(_met(_scanned(firsts, buckets), buckets), "met")
     pieces = written(_pieces(firsts, met.where("low is not null")), "pieces")
