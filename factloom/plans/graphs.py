@@ -25,13 +25,13 @@ def _pagerank_sql(teleport: str) -> str:
 
 @query(_pagerank_sql("SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS t FROM n"))
 def pagerank_fixed(spark, d):
-    return graph.pagerank(nations(spark, d).select("id"), weighted(spark, d), ROUNDS, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(nations(spark, d).select("id"), weighted(spark, d), ROUNDS, tolerance=None, cut=written).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(_pagerank_sql("SELECT id, w / sum(w) OVER () AS t FROM (SELECT id, CASE id WHEN 3 THEN 1.0 WHEN 7 THEN 0.8 ELSE 0.01 / (SELECT count(*) FROM n) END::DOUBLE AS w FROM n)"))
 def personalized_pagerank_fixed(spark, d):
     seeds = spark.range(2).select(F.when(F.col("id") == 0, 3).otherwise(7).cast("long").alias("id"), F.when(F.col("id") == 0, 1.0).otherwise(0.8).alias("weight"))
-    return graph.pagerank(nations(spark, d).select("id"), weighted(spark, d), ROUNDS, seeds, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(nations(spark, d).select("id"), weighted(spark, d), ROUNDS, seeds, tolerance=None, cut=written).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(f"SELECT src, dst, kind, n, round(sqrt(n), 9) AS weight FROM ({TRADE})")
