@@ -205,10 +205,12 @@ def links(text: DataFrame, signed: DataFrame, per_cent: int) -> DataFrame:
     members = family.select(F.col("node").alias("doc"), F.col("component").alias("family")).join(signed.select("doc", "n_shingles"), "doc")
     members = written(members.join(members.groupBy("family").agg(F.count("*").alias("members")), "family"), "families")
     blocks = written(_blocks(members.withColumn("group", F.col("doc"))), "blocks")
-    own = blocks.select(F.xxhash64("family", "block").alias("bin"), "doc", "group")
+    own = blocks.select(F.xxhash64("family", "block").alias("bin"), "doc", "group", "family", F.lit(False).alias("pivot"))
     # Every block also holds its family's smallest member, which connects most blocks at once.
-    pivots = blocks.groupBy("family", "block").agg(F.min("doc").alias("low")).where("low <> family").select(F.xxhash64("family", "block").alias("bin"), F.col("family").alias("doc"), F.col("family").alias("group"))
-    found = written(_compared(own.union(pivots).join(text, "doc"), per_cent), "links")
+    pivots = blocks.groupBy("family", "block").agg(F.min("doc").alias("low")).where("low <> family").select(F.xxhash64("family", "block").alias("bin"), F.col("family").alias("doc"), F.col("family").alias("group"), "family", F.lit(True).alias("pivot"))
+    # Written, so that the second round moves texts of the families it is about and not the corpus again.
+    held = written(own.union(pivots).join(text, "doc"), "held")
+    found = written(_compared(held, per_cent), "links")
     split = blocks.select("family", "block").distinct().groupBy("family").agg(F.count("*").alias("b")).where("b > 1").select("family")
     if split.isEmpty():
         return found
@@ -222,7 +224,8 @@ def links(text: DataFrame, signed: DataFrame, per_cent: int) -> DataFrame:
     pair = ranges.alias("x").join(ranges.alias("y"), F.expr("x.family = y.family and (x.block < y.block or x.block = y.block and x.low < x.high) and not (x.low = x.high and y.low = y.high and x.low = y.low)"))
     pair = pair.select(F.col("x.family").alias("family"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"), F.xxhash64("x.family", "x.block", "y.block").alias("bin"))
     dealt = pair.join(again, ["family", "block"]).select("bin", "doc", "group")
-    return written(found.union(_compared(dealt.join(text, "doc"), per_cent)), "links")
+    left = held.where("not pivot").join(again.select("family").distinct(), "family", "left_semi").select("doc", "text").hint("merge")
+    return written(found.union(_compared(dealt.join(left, "doc"), per_cent)), "links")
 
 
 def near_duplicates(documents: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
