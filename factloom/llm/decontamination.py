@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import lean, table, texts
 
 WINDOW = 10
 MAX_WORDS = 4_000_000
@@ -193,7 +193,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
             columns += [pa.array([hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for _, _, f in rows], pa.string()), pa.array([h > 0 for h in hits], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return texts(documents).mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return texts(documents).mapInArrow(lean(scan), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def without_hits(text: str, hit: np.ndarray) -> str:
@@ -232,7 +232,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
             columns = [pa.array(cleaned, pa.string()) if name == "text" else pa.array(sizes, batch.schema.field(name).type) if name == "n_chars" else batch.column(name) for name in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(clean, documents.schema)
+    return documents.mapInArrow(lean(clean), documents.schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.components import components
 
-from .common import table, texts, written
+from .common import lean, table, texts, written
 
 SHINGLE, PER_CENT = 3, 85
 SYMBOLS, MOST_ERRORS = 64, 27
@@ -113,7 +113,7 @@ def _signed(documents: DataFrame) -> DataFrame:
             columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * len(MASKS)), pa.array(keys.ravel())))
             yield pa.RecordBatch.from_arrays(columns, ["doc", "n_shingles", "set_hash", "keys"])
 
-    return texts(documents).mapInArrow(sign, "doc long, n_shingles long, set_hash binary, keys array<long>")
+    return texts(documents).mapInArrow(lean(sign), "doc long, n_shingles long, set_hash binary, keys array<long>")
 
 
 class _Forest:
@@ -184,7 +184,7 @@ def _compared(dealt: DataFrame, per_cent: int) -> DataFrame:
             yield flush()
 
     parts = dealt.repartition("bin").sortWithinPartitions("bin", "doc")
-    return parts.select("bin", "doc", "group", "text").mapInArrow(compare, "src long, dst long")
+    return parts.select("bin", "doc", "group", "text").mapInArrow(lean(compare), "src long, dst long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:

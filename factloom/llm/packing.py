@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .common import table, tasks, texts, written
+from .common import lean, table, tasks, texts, written
 
 LENGTH = 1024
 DIMENSIONS, BITS, BUCKETS = 3, 10, 256
@@ -82,7 +82,7 @@ def _encoded(documents: DataFrame, tokenizer_path: str, length: int) -> DataFram
             columns = [pa.array(_curve(vectors), pa.int64()), batch.column("doc_id"), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["curve", "doc_id", "doc_tokens", "runs", "rest"])
 
-    return texts(documents).mapInArrow(encode, "curve long, doc_id long, doc_tokens long, runs array<long>, rest binary")
+    return texts(documents).mapInArrow(lean(encode), "curve long, doc_id long, doc_tokens long, runs array<long>, rest binary")
 
 
 def _powers(n: int) -> list[int]:
@@ -138,7 +138,7 @@ def pack(documents: DataFrame, tokenizer_path: str, length: int = LENGTH, ranges
         yield batch_of(out)
 
     dealt = encoded.repartitionByRange(ranges, F.col("curve"), F.col("doc_id").asc_nulls_last()).sortWithinPartitions("curve", F.col("doc_id").asc_nulls_last())
-    return dealt.mapInArrow(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(lean(fill), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import lean, table, texts
 
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.3
@@ -79,7 +79,7 @@ def _features(frame: DataFrame) -> DataFrame:
             rows = [figures(x).astype("<f8").tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["figures"])
 
-    return frame.select("text").mapInArrow(of, "figures binary")
+    return frame.select("text").mapInArrow(lean(of), "figures binary")
 
 
 def _matrix(frame: DataFrame, most: int) -> np.ndarray:
@@ -127,7 +127,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, cut: float = CUT) ->
             out = [x is not None and zlib.crc32(str(x).encode()) % FOLDS == HELD_OUT for x in batch.column("doc_id").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.bool_()), pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return texts(documents).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return texts(documents).mapInArrow(lean(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
@@ -139,7 +139,7 @@ def accepted(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataF
             scores = score_texts([x or "" for x in batch.column("text").to_pylist()], held.value)
             yield batch.filter(pa.array(scores >= cut, pa.bool_()))
 
-    return documents.mapInArrow(choose, documents.schema)
+    return documents.mapInArrow(lean(choose), documents.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts
+from .common import lean, table, texts
 
 THRESHOLD = 1.0
 KINDS = ("assign", "access", "hex", "lexed")
@@ -134,7 +134,7 @@ def secret_scan(documents: DataFrame) -> DataFrame:
             hashes = pa.array([hashlib.sha256(_joined(s).encode()).hexdigest() for s in base], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, hashes, pa.array(map(_joined, every), pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return texts(documents).mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts(documents).mapInArrow(lean(scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(text: str) -> str:
@@ -159,7 +159,7 @@ def redact_secrets(documents: DataFrame) -> DataFrame:
             columns = [pa.array(new, pa.string()) if name == "text" else pa.array(sizes, batch.schema.field(name).type) if name == "n_chars" else batch.column(name) for name in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return documents.mapInArrow(clean, documents.schema)
+    return documents.mapInArrow(lean(clean), documents.schema)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
