@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF_K = 1.2, 0.75, 60.0
@@ -117,3 +120,87 @@ def fuzzy_find(source: str, search: str) -> tuple[str, float, int] | None:
         if hits:
             return name, score, hits[0]
     return None
+
+
+def fuzzy_segments(source: str, search: str) -> tuple[str, float, int, int] | None:
+    """(strategy, score, first line, line after) of a search whose lines `...` stand for any lines between.
+
+    The segments match one after another, each behind the one before; the weakest of them gives strategy and score.
+    """
+    own, pieces = source.split("\n"), re.split(r"(?m)^[ \t]*\.\.\.[ \t]*$", search)
+    pieces = [p.strip("\n") for p in pieces if p.strip()]
+    at, first, weakest = 0, None, ("exact", 1.0)
+    for piece in pieces:
+        hit = fuzzy_find("\n".join(own[at:]), piece)
+        if hit is None:
+            return None
+        first = at + hit[2] if first is None else first
+        at += hit[2] + len(piece.split("\n"))
+        weakest = min(weakest, hit[:2], key=lambda x: x[1])
+    return None if first is None else (*weakest, first, at)
+
+
+def fuzzy_table(cases: DataFrame) -> DataFrame:
+    """(id, strategy, score, first, after, error) of cases (id, source, search), in Arrow batches; error says `ambiguous` or `no match`."""
+
+    def each(frames):
+        for frame in frames:
+            rows = []
+            for id_, source, search in zip(frame["id"], frame["source"], frame["search"]):
+                try:
+                    hit = fuzzy_segments(source or "", search or "")
+                    rows.append((id_, *(hit or (None,) * 4), None if hit else "no match"))
+                except ValueError:
+                    rows.append((id_, None, None, None, None, "ambiguous"))
+            yield pd.DataFrame(rows, columns=["id", "strategy", "score", "first", "after", "error"]).astype({"first": "Int64", "after": "Int64"})
+
+    return cases.select("id", "source", "search").mapInPandas(each, "id long, strategy string, score double, first long, after long, error string")
+
+
+def window_about(docs: DataFrame, anchor: str, around: int = 5, text: str = "text") -> DataFrame:
+    """(id, window): the lines about the one-based line `anchor`, cut at the text's ends; per row, without a shuffle."""
+    split = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    low = F.greatest(F.col(anchor) - around, F.lit(1))
+    return docs.select("id", F.array_join(F.slice(split, low.cast("int"), (F.col(anchor) + around - low + 1).cast("int")), "\n").alias("window"))
+
+
+def equal_windows(docs: DataFrame, wanted: list[str], normal=F.trim, text: str = "text") -> DataFrame:
+    """(id, n): one-based first lines where consecutive lines equal the wanted ones under a normal form."""
+    split = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: normal(x))
+    goal = F.array(*[normal(F.lit(x)) for x in wanted])
+    starts = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: F.slice("l", i, len(wanted)) == goal)
+    return docs.select("id", split.alias("l")).select("id", F.explode(starts).alias("n"))
+
+
+def note_fields(name, content) -> Column:
+    """(title, headings, tags, topic) of a Markdown note: the first title, the headings below it, its tags, its folder."""
+    body, key = F.coalesce(content, F.lit("")), F.regexp_replace(name, "^global/", "")
+    listed = F.regexp_extract(body, r"(?m)^tags:\s*\n((?:\s*-\s*.+\n?)+)", 1)
+    items = F.transform(F.regexp_extract_all(listed, F.lit(r"(?m)^\s*-\s*(.+)"), 1), lambda x: F.trim(x))
+    inline = F.trim(F.regexp_extract(body, r"(?m)^tags:\s*\[(.+?)\]", 1))
+    heads = F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^#{2,6}\s+(.+)$"), 1), lambda x: F.trim(x))
+    return F.struct(F.trim(F.regexp_extract(body, r"(?m)^#\s+(.+)$", 1)).alias("title"), F.array_join(heads, "; ").alias("headings"), F.when(inline != "", inline).otherwise(F.array_join(items, ", ")).alias("tags"), F.regexp_extract(key, "^(.*)/[^/]*$", 1).alias("topic"))
+
+
+def elided(text: str, keep: int = 1) -> str:
+    """Python-like source with bodies deeper than `keep` levels of definitions replaced by `...`, signatures kept."""
+    out, hidden = [], None
+    depth: list[int] = []
+    for line in text.split("\n"):
+        bare, margin = line.strip(), len(line) - len(line.lstrip())
+        if not bare:
+            if hidden is None:
+                out.append(line)
+            continue
+        while depth and margin <= depth[-1]:
+            depth.pop()
+        if hidden is not None and margin > hidden:
+            continue
+        hidden = None
+        out.append(line)
+        if re.match(r"(async\s+def|def|class)\b", bare):
+            depth.append(margin)
+            if bare.endswith(":") and (len(depth) >= keep + 1 or (bare.startswith(("def", "async")) and len(depth) >= keep)):
+                hidden = margin
+                out.append(" " * (margin + 4) + "...")
+    return "\n".join(out)

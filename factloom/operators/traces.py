@@ -80,3 +80,49 @@ def evidence_confidence(evidence: DataFrame, top: int = 10, partial_cap: float =
     best = evidence.withColumn("_n", place).where(F.col("_n") <= top)
     summed = best.groupBy("edge").agg(F.sum("contribution").alias("s"), F.max(F.col("partial").cast("int")).alias("p"), F.count("*").alias("citations"))
     return summed.select("edge", F.when(F.col("p") == 1, F.least(F.col("s"), F.lit(partial_cap))).otherwise(F.least(F.col("s"), F.lit(1.0))).alias("confidence"), "citations")
+
+
+def trace_metrics(events: DataFrame, readers: list[str], diagnostics: list[str], semantic: list[str]) -> DataFrame:
+    """Per run: calls, reads and their bytes, diagnostics, retries, seconds between the first and the last timed event.
+
+    Events are (run, t, tool, kind, bytes); the seconds are null where no event of a run has a time.
+    """
+    among = lambda tools: F.coalesce(F.col("tool").isin(tools), F.lit(False))
+    seconds = (F.unix_micros(F.max("t")) - F.unix_micros(F.min("t"))) / 1e6
+    return events.groupBy("run").agg(F.count("tool").alias("tool_calls"), F.count_if(among(semantic)).alias("semantic_calls"), F.count_if(among(readers)).alias("files_read"), F.coalesce(F.sum(F.when(among(readers), F.col("bytes"))), F.lit(0)).alias("bytes_read"), F.count_if(among(diagnostics)).alias("diagnostics_used"), F.count_if(F.col("kind") == "api_retry").alias("retries"), seconds.alias("wall_seconds"))
+
+
+def token_meter(runs_: DataFrame, counters: list[str]) -> DataFrame:
+    """The counters of runs whose provider reported usage, with nulls as zero; null, not zero, for the others."""
+    return runs_.select("run", *[F.when(F.col("usage_present"), F.coalesce(F.col(c), F.lit(0))).alias(c) for c in counters])
+
+
+def edit_locality(tracked: DataFrame, changed: DataFrame, by: str) -> DataFrame:
+    """(by, modified, locality): one less the share of tracked paths that changed; null where nothing is tracked."""
+    hit = tracked.select(by, "path").distinct().join(changed.select(by, "path", F.lit(1).alias("_hit")).distinct(), [by, "path"], "left")
+    counts = hit.groupBy(by).agg(F.count("_hit").alias("modified"), (1 - F.count("_hit") / F.count("*")).alias("locality"))
+    groups = tracked.select(by).union(changed.select(by)).distinct()
+    return groups.join(counts, by, "left").select(by, F.coalesce("modified", F.lit(0).cast("long")).alias("modified"), "locality")
+
+
+def patch_distance(numstat: DataFrame, by: str) -> DataFrame:
+    """(by, distance) of lines `added TAB deleted TAB path`: what was added and deleted; null where a line is malformed.
+
+    A binary file's dashes count nothing, and a line of fewer fields is passed over.
+    """
+    parts = F.split("line", "\t", 3)
+    rows = numstat.select(by, parts.alias("p")).where((F.size("p") == 3) & ~((F.col("p")[0] == "-") & (F.col("p")[1] == "-")))
+    added, deleted = F.col("p")[0].try_cast("long"), F.col("p")[1].try_cast("long")
+    sums = rows.groupBy(by).agg(F.when(F.count_if(added.isNull() | deleted.isNull()) == 0, F.sum(added + deleted)).alias("distance"), F.lit(True).alias("_had"))
+    return numstat.select(by).distinct().join(sums, by, "left").select(by, F.when(F.col("_had").isNull(), F.lit(0).cast("long")).otherwise(F.col("distance")).alias("distance"))
+
+
+def verdicts(scores: DataFrame) -> DataFrame:
+    """One row: transcripts, how many passed, failed softly and failed, and whether any was judged by itself."""
+    return scores.agg(F.count("*").alias("total"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("pass", "soft_fail", "fail")], F.coalesce(F.bool_or("self_judged"), F.lit(False)).alias("self_judged"))
+
+
+def merged_timeline(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Events (run, t, ord, tool) of two sources with their place in each run: by time, the first source before the second at ties."""
+    both = first.withColumn("source", F.lit(0)).unionByName(second.withColumn("source", F.lit(1)))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy("t", "source", "ord")))
