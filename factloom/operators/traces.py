@@ -88,7 +88,8 @@ def trace_metrics(events: DataFrame, readers: list[str], diagnostics: list[str],
     Events are (run, t, tool, kind, bytes); the seconds are null where no event of a run has a time.
     """
     among = lambda tools: F.coalesce(F.col("tool").isin(tools), F.lit(False))
-    seconds = (F.unix_micros(F.max("t")) - F.unix_micros(F.min("t"))) / 1e6
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    seconds = (micros(F.max("t")) - micros(F.min("t"))) / 1e6
     return events.groupBy("run").agg(F.count("tool").alias("tool_calls"), F.count_if(among(semantic)).alias("semantic_calls"), F.count_if(among(readers)).alias("files_read"), F.coalesce(F.sum(F.when(among(readers), F.col("bytes"))), F.lit(0)).alias("bytes_read"), F.count_if(among(diagnostics)).alias("diagnostics_used"), F.count_if(F.col("kind") == "api_retry").alias("retries"), seconds.alias("wall_seconds"))
 
 

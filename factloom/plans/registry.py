@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _loaded() -> None:
-    from . import graphs, relations, search, tracing  # noqa: F401
+    from . import analysis, graphs, relations, search, tracing  # noqa: F401
 
 
 def queries() -> dict:
