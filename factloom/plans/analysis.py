@@ -258,9 +258,9 @@ def note_fields(spark, d):
     return pages.select("page_id", retrieval.note_fields(name, body).alias("n")).select("page_id", "n.*")
 
 
-@query("WITH l AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), m AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS n FROM l) SELECT id, n::INT AS n FROM m WHERE trim(l[n]) = 'Licensed under the Apache License, Version 2.0'")
+@query("WITH l AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), m AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS n FROM l) SELECT id, n::INT AS n FROM m WHERE trim(l[n]) = 'The and attion to thanedble the, anea. Eriner thanea.'")
 def equal_windows(spark, d):
-    return retrieval.equal_windows(documents(spark, d), ["Licensed under the Apache License, Version 2.0"])
+    return retrieval.equal_windows(documents(spark, d), ["The and attion to thanedble the, anea. Eriner thanea."])
 
 
 @query()
