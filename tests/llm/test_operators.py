@@ -274,3 +274,9 @@ def test_licenses(documents, nothing):
     assert n >= 1 and [x[2] for x in found] == ["mit", "mit-notice", "all-rights-reserved"] and found[0][3] in (1, 2)
     assert licenses.licenses("The licensee may drink.", listed)[1] == []
     assert licenses.license_scan(documents).count() == documents.count() and licenses.license_scan(nothing).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 3000, "a" * 5000, "\n" * 999 + "x", " \t" * 700, "ab " * 4000, "é" * 2000 + "<|endoftext|>" + " x" * 50, "日 本" * 500])
+def test_ids_of_long_runs(text):
+    path = bpe.vocabulary_path()
+    assert bpe.encoder(path).ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
