@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.llm.bpe import vocabulary_path
 from factloom.llm.common import table, written
 from factloom.llm.decontamination import decontaminate
-from factloom.llm.near_dedup import first_of_each
+from factloom.llm.near_dedup import CORPUS, first_of_each
 from factloom.llm.packing import pack
 from factloom.llm.quality import accepted
 from factloom.llm.secrets import redact_secrets
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
-    return first_of_each(docs)
+    """Of each group of near-duplicates (at least 80 per cent of their five-word shingles) the smallest doc_id stays."""
+    return first_of_each(docs, CORPUS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

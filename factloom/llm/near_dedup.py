@@ -5,6 +5,7 @@ signature of `SYMBOLS` b-bit minima. Two sets of similarity s differ in about (1
 join finds every pair that differs in at most `MOST_ERRORS` of them: the signature is split into chunks,
 of which by pigeonhole one at least has no more than one error, and each chunk is listed with each of its
 symbols left out. MOST_ERRORS lies over six standard deviations above the mean at the least similarity.
+A `Measure` holds what belongs together: words a shingle, least similarity, symbols and errors.
 
 Sets that share a key are a family (components of member-to-smallest edges, linear in a group's size).
 Families are dealt in blocks of bounded size; within a block, and between blocks of which the members
@@ -19,7 +20,9 @@ document, which links as any of its texts does. Very long texts: whole. Empty ta
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,8 @@ from .common import lean, table, texts, written
 
 SHINGLE, PER_CENT = 3, 85
 SYMBOLS, MOST_ERRORS = 64, 27
-CHUNKS = (MOST_ERRORS + 2) // 2  # one of so many has one error at most
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 4096, 4_000_000
 
-_RANDOM = np.random.default_rng(11)
-_ODD = _RANDOM.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
-_ADD = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _WORD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +46,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@dataclass(frozen=True)
+class Measure:
+    """Near-duplicates share at least per_cent of their shingles; signatures that differ in at most most_errors symbols meet."""
+
+    shingle: int = SHINGLE
+    per_cent: int = PER_CENT
+    symbols: int = SYMBOLS
+    most_errors: int = MOST_ERRORS
+
+    @functools.cached_property
+    def constants(self) -> tuple[np.ndarray, np.ndarray]:
+        random = np.random.default_rng(11)
+        odd = random.integers(1, 1 << 63, self.symbols, dtype=np.uint64) | np.uint64(1)
+        return odd, random.integers(0, 1 << 63, self.symbols, dtype=np.uint64)
+
+    @functools.cached_property
+    def masks(self) -> list[tuple[int, list[int]]]:
+        """(chunk, positions that stay) for each chunk and each of its symbols that may be wrong."""
+        # one of so many chunks has one error at most
+        chunks = np.array_split(np.arange(self.symbols), (self.most_errors + 2) // 2)
+        return [(k, [int(x) for x in chunk if x != out]) for k, chunk in enumerate(chunks) for out in chunk]
+
+
+OP8 = Measure()
+#: For a corpus without a contract of its own. 80 symbols, as at 64 the keys for 32 errors would have two symbols only.
+CORPUS = Measure(shingle=5, per_cent=80, symbols=80, most_errors=38)
+
+
 class Shingler:
     """Sorted 64-bit hashes of a text's distinct word shingles; words are hashed once each for a while."""
 
@@ -71,29 +98,21 @@ class Shingler:
         return np.unique(code)
 
 
-def signature(shingles: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
-    """SYMBOLS minima of 16 bits; blocks of a very long set are taken one after the other."""
-    low = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+def signature(shingles: np.ndarray, at_once: int = 1 << 16, measure: Measure = OP8) -> np.ndarray:
+    """Minima of 16 bits; blocks of a very long set are taken one after the other."""
+    odd, add = measure.constants
+    low = np.full(measure.symbols, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), at_once):
         part = shingles[k : k + at_once]
-        for j in range(SYMBOLS):
-            low[j] = min(low[j], ((part * _ODD[j]) ^ ((part + _ADD[j]) >> np.uint64(29))).min())
+        for j in range(measure.symbols):
+            low[j] = min(low[j], ((part * odd[j]) ^ ((part + add[j]) >> np.uint64(29))).min())
     return (_mixed(low) & np.uint64(0xFFFF)).astype(np.uint64)
 
 
-def _masks() -> list[tuple[int, list[int]]]:
-    """(chunk, positions that stay) for each chunk and each of its symbols that may be wrong."""
-    chunks = np.array_split(np.arange(SYMBOLS), CHUNKS)
-    return [(k, [int(x) for x in chunk if x != out]) for k, chunk in enumerate(chunks) for out in chunk]
-
-
-MASKS = _masks()
-
-
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def chunk_keys(sig: np.ndarray, measure: Measure = OP8) -> np.ndarray:
     """A 63-bit key for each chunk and allowed error, for signatures in rows."""
-    out = np.empty((len(sig), len(MASKS)), np.uint64)
-    for m, (chunk, stay) in enumerate(MASKS):
+    out = np.empty((len(sig), len(measure.masks)), np.uint64)
+    for m, (_, stay) in enumerate(measure.masks):
         code = np.full(len(sig), m + 1, np.uint64)
         for p in stay:
             code = _mixed(code * _WORD + sig[:, p])
@@ -101,16 +120,16 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(1)).astype(np.int64)
 
 
-def _signed(documents: DataFrame) -> DataFrame:
+def _signed(documents: DataFrame, measure: Measure) -> DataFrame:
     """Per row: doc, number of shingles, a hash of the set, and the keys."""
 
     def sign(batches):
-        of = Shingler()
+        of = Shingler(measure.shingle)
         for batch in batches:
             sets = [of(x) for x in batch.column("text").to_pylist()]
-            keys = chunk_keys(np.array([signature(s) for s in sets]).reshape(len(sets), SYMBOLS))
+            keys = chunk_keys(np.array([signature(s, measure=measure) for s in sets]).reshape(len(sets), measure.symbols), measure)
             columns = [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())]
-            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * len(MASKS)), pa.array(keys.ravel())))
+            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel())))
             yield pa.RecordBatch.from_arrays(columns, ["doc", "n_shingles", "set_hash", "keys"])
 
     return texts(documents).mapInArrow(lean(sign), "doc long, n_shingles long, set_hash binary, keys array<long>")
@@ -163,14 +182,14 @@ def linked(docs: list[int], sets: list[np.ndarray], groups: list[int], per_cent:
     return out
 
 
-def _compared(dealt: DataFrame, per_cent: int) -> DataFrame:
+def _compared(dealt: DataFrame, measure: Measure) -> DataFrame:
     """Links within each bin; a bin's rows come together and in order."""
 
     def compare(batches):
-        of, now, members, weight = Shingler(), None, [], 0
+        of, now, members = Shingler(measure.shingle), None, []
 
         def flush():
-            found = linked([m[0] for m in members], [m[1] for m in members], [m[2] for m in members], per_cent) if len(members) > 1 else []
+            found = linked([m[0] for m in members], [m[1] for m in members], [m[2] for m in members], measure.per_cent) if len(members) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else [(), ()])], ["src", "dst"])
 
         for batch in batches:
@@ -196,8 +215,8 @@ def _blocks(members: DataFrame) -> DataFrame:
     return slices.withColumn("block", F.struct("slice", place.cast("long").alias("k"))).drop("slice")
 
 
-def links(text: DataFrame, signed: DataFrame, per_cent: int) -> DataFrame:
-    """(src, dst): links that connect whatever pairs of at least per_cent connect, among distinct sets; text has doc and text."""
+def links(text: DataFrame, signed: DataFrame, measure: Measure) -> DataFrame:
+    """(src, dst): links that connect whatever pairs of at least the measure's similarity connect, among distinct sets; text has doc and text."""
     keys = signed.select("doc", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     stars = keys.join(least, "key").where("doc <> least").select(F.col("doc").alias("src"), F.col("least").alias("dst")).distinct()
@@ -210,7 +229,7 @@ def links(text: DataFrame, signed: DataFrame, per_cent: int) -> DataFrame:
     pivots = blocks.groupBy("family", "block").agg(F.min("doc").alias("low")).where("low <> family").select(F.xxhash64("family", "block").alias("bin"), F.col("family").alias("doc"), F.col("family").alias("group"), "family", F.lit(True).alias("pivot"))
     # Written, so that the second round moves texts of the families it is about and not the corpus again.
     held = written(own.union(pivots).join(text, "doc"), "held")
-    found = written(_compared(held, per_cent), "links")
+    found = written(_compared(held, measure), "links")
     split = blocks.select("family", "block").distinct().groupBy("family").agg(F.count("*").alias("b")).where("b > 1").select("family")
     if split.isEmpty():
         return found
@@ -225,27 +244,27 @@ def links(text: DataFrame, signed: DataFrame, per_cent: int) -> DataFrame:
     pair = pair.select(F.col("x.family").alias("family"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"), F.xxhash64("x.family", "x.block", "y.block").alias("bin"))
     dealt = pair.join(again, ["family", "block"]).select("bin", "doc", "group")
     left = held.where("not pivot").join(again.select("family").distinct(), "family", "left_semi").select("doc", "text").hint("merge")
-    return written(found.union(_compared(dealt.join(left, "doc"), per_cent)), "links")
+    return written(found.union(_compared(dealt.join(left, "doc"), measure)), "links")
 
 
-def near_duplicates(documents: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+def near_duplicates(documents: DataFrame, measure: Measure = OP8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents."""
-    signed = written(_signed(documents), "signed")
+    signed = written(_signed(documents, measure), "signed")
     known = signed.where("n_shingles > 0 and doc is not null")
     same = known.groupBy("set_hash").agg(F.min("doc").alias("rep"))
     firsts = known.join(same.withColumnRenamed("rep", "doc"), ["doc", "set_hash"], "left_semi").dropDuplicates(["doc", "set_hash"])
     # The same join at every size: a small corpus must not hide what a large one has to move.
     text = texts(documents).where("doc_id is not null").withColumnRenamed("doc_id", "doc").hint("merge")
     sets = known.select("doc", "set_hash").join(same, "set_hash").select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
-    labels = components(links(text, firsts, per_cent).union(sets), written)
+    labels = components(links(text, firsts, measure).union(sets), written)
     out = signed.select(F.col("doc").alias("doc_id"), "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def first_of_each(documents: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+def first_of_each(documents: DataFrame, measure: Measure = OP8) -> DataFrame:
     """The rows of documents that are the smallest of their group; rows without an id stay."""
-    kept = near_duplicates(documents, per_cent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).hint("merge")
+    kept = near_duplicates(documents, measure).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).hint("merge")
     ided = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return ided.union(documents.where("doc_id is null")).select(documents.columns)
 

@@ -1,8 +1,10 @@
 import hashlib
 
+import numpy as np
+
 import __spark_entry__
 import corpus_pipeline
-from factloom.llm import decontamination, quality, secrets
+from factloom.llm import decontamination, near_dedup, quality, secrets
 from factloom.llm.queries import ORACLES, QUERIES
 
 from ..oracle import differences
@@ -37,3 +39,22 @@ def test_registered(spark):
 def test_oracles(spark):
     for name, sql in ORACLES.items():
         assert differences(QUERIES[name](spark, SF), sql, SF) is None, name
+
+
+def test_near_dedup_stage_takes_five_words_and_80_per_cent(spark):
+    """A copy with 22 per cent appended, one with 18 per cent cut off, and one just below the measure."""
+    words = [f"w{i}" for i in range(1000)]
+    texts = {1: words, 2: words + [f"n{i}" for i in range(220)], 3: [f"a{w}" for w in words], 4: [f"a{w}" for w in words[:820]], 5: [f"b{w}" for w in words], 6: [f"b{w}" for w in words] + [f"m{i}" for i in range(260)]}
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {1, 3, 5, 6}
+
+
+def test_corpus_measure_keeps_the_guarantee():
+    r, m = np.random.default_rng(4), near_dedup.CORPUS
+    mean = m.symbols * (1 - m.per_cent / 100)
+    assert m.most_errors >= mean + 6 * (mean * m.per_cent / 100) ** 0.5
+    sig = r.integers(0, 1 << 16, (200, m.symbols)).astype(np.uint64)
+    other = sig.copy()
+    for row in other:
+        row[r.choice(m.symbols, m.most_errors, replace=False)] ^= np.uint64(1)
+    assert (near_dedup.chunk_keys(sig, m) == near_dedup.chunk_keys(other, m)).any(1).all()
