@@ -7,7 +7,8 @@ is given another name takes its literals, whatever number of steps away. Literal
 sensitive the names are that they reach; those over the threshold are `lexed` spans.
 
 Null text: empty. Null doc_id: the row stays. Repeated rows: one result each. Empty table: no rows.
-Very long texts are read whole, in time that grows with their length.
+Very long texts are read whole, in time that grows with their length: literals have no longest length, and those
+that end together (`a=b=c`) are read once, from the right.
 """
 
 from __future__ import annotations
@@ -36,12 +37,14 @@ _SENSITIVE = {
     "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "private": 0.5, "access": 0.4, "api": 0.4, "key": 0.5, "signing": 0.4, "client": 0.2,
     "session": 0.4, "salt": 0.5, "dsn": 0.5, "connection": 0.3,
 }
-_HARMLESS = re.compile(r"(?i)^(?:true|false|none|null|nil|undefined|changeme|example|placeholder|your[_-].*|x+|\*+|<.*>|\$\{.*\}|%.*%)$")
+_HARMLESS = re.compile(r"(?i)(?:true|false|none|null|nil|undefined|changeme|example|placeholder|x++|\*++|<.*>|\$\{.*\}|%.*%)$|your[_-]")
 _SIGN = re.compile(r":=|=>|=|:|</")
 _NAME_LEFT = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["'\]]?[ \t]*$""")
-_RIGHT = re.compile(r"""[ \t]*(?:"([^"\n]{1,400})"|'([^'\n]{1,400})'|([A-Za-z0-9+/_.=\-]{1,400}))""")
-_XML = re.compile(r"<([A-Za-z_][\w.\-]*)>([^<>\n]{1,400})$")
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*$")
+_QUOTED = re.compile(r"""[ \t]*+(?:"([^"\n]++)"|'([^'\n]++)')""")
+_BLANK = re.compile(r"[ \t]*+")
+_PLAIN = re.compile(r"[A-Za-z0-9+/_.=\-]++")
+_TAG = re.compile(r"[A-Za-z_][\w.\-]*+")
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*+$")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _LEFT = 80
 
@@ -50,42 +53,69 @@ def sensitivity(name: str) -> float:
     return sum(_SENSITIVE.get(x.lower(), 0.0) for x in set(_PARTS.findall(name)))
 
 
+def plausibilities(text: str, spans: list[tuple[int, int]]) -> list[float]:
+    """0 to 1 for each span, in order of their starts: how much a literal looks like a secret, by its length and the entropy of its characters."""
+    out, counts, low, high = [], Counter(), 0, -1
+    for start, end in reversed(spans):
+        if end == high and start <= low:  # the rest of it is counted
+            counts.update(text[start:low])
+        else:
+            counts = Counter(text[start:end])
+        low, high, size = start, end, end - start
+        if size < 8 or _HARMLESS.match(text, start, end) or counts[" "] > 1:
+            out.append(0.0)
+        else:
+            out.append(min(1.0, -sum(n / size * math.log2(n / size) for n in counts.values() if n) / 3.0))
+    return out[::-1]
+
+
 def plausibility(literal: str) -> float:
-    """0 to 1: how much a literal looks like a secret: its length and the entropy of its characters."""
-    if len(literal) < 8 or _HARMLESS.match(literal) or literal.count(" ") > 1:
-        return 0.0
-    entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in Counter(literal).values())
-    return min(1.0, entropy / 3.0)
+    return plausibilities(literal, [(0, len(literal))])[0]
 
 
-def name_literal_pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, quoted) for each assignment in the text, in order."""
-    out = []
+def assignments(text: str) -> list[tuple[str, int, int, bool]]:
+    """(name, start, end, quoted) for each assignment of a literal in the text, in order."""
+    out, closed, plain = [], 0, 0
     for sign in _SIGN.finditer(text):
         at = sign.start()
         if sign[0] == "</":
-            if m := _XML.search(text, max(0, at - 2 * _LEFT - 400), at):
-                out.append((m[1], m[2], m.start(2), m.end(2), True))
-            continue
-        right = _RIGHT.match(text, sign.end())
-        if right is None:
+            # Neither the literal nor its tag holds a "<": both lie behind the last closing tag.
+            over = text.rfind(">", closed, at)
+            under = text.rfind("<", closed, over) if over >= 0 else -1
+            end = at - (at > 0 and text[at - 1] == "\n")
+            if under >= 0 and over + 1 < end and text.find("<", over, end) < 0 and text.find("\n", over, end) < 0 and (tag := _TAG.fullmatch(text, under + 1, over)):
+                out.append((tag[0], over + 1, end, True))
+            closed = at
             continue
+        if right := _QUOTED.match(text, sign.end()):
+            start, end = right.span(right.lastindex)
+        else:
+            start = _BLANK.match(text, sign.end()).end()
+            if start >= plain:  # else it ends where the one before does
+                right = _PLAIN.match(text, start)
+                if right is None:
+                    continue
+                plain = right.end()
+            end = plain
         left = _NAME_LEFT.search(text[max(0, at - _LEFT) : at])
-        if left is None:
-            continue
-        group = next(k for k in (1, 2, 3) if right[k] is not None)
-        out.append((left[1], right[group], right.start(group), right.end(group), group < 3))
+        if left is not None:
+            out.append((left[1], start, end, right is not None and right.re is _QUOTED))
     return out
 
 
+def name_literal_pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
+    """(name, literal, start, end, quoted) for each assignment in the text, in order."""
+    return [(name, text[start:end], start, end, quoted) for name, start, end, quoted in assignments(text)]
+
+
 def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, by any number of copies from name to name."""
-    pairs = name_literal_pairs(text)
+    pairs = assignments(text)
     if not pairs:
         return []
     targets: dict[str, set[str]] = defaultdict(set)
-    for name, literal, _, _, quoted in pairs:
-        if not quoted and _IDENTIFIER.match(literal) and literal != name:
+    for name, start, end, quoted in pairs:
+        if not quoted and _IDENTIFIER.match(text, start, end) and (literal := text[start:end]) != name:
             targets[literal].add(name)
     names = {p[0] for p in pairs}
     best: dict[str, float] = {}
@@ -98,12 +128,15 @@ def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
             seen |= fresh
             open_names += fresh
         best[name] = score
-    out = []
-    for name, literal, start, end, quoted in pairs:
-        if not quoted and (literal in names or _IDENTIFIER.match(literal) and literal.isalpha()):
+    held = []
+    for name, start, end, quoted in pairs:
+        # No name is longer than _LEFT.
+        if not quoted and (end - start <= _LEFT and text[start:end] in names or _IDENTIFIER.match(text, start, end) and text[start:end].isalpha()):
             continue
-        if best[name] > 0 and best[name] + plausibility(literal) >= threshold + 0.7 and plausibility(literal) > 0.5:
-            out.append((start, end))
+        if best[name] > 0:
+            held.append((start, end, best[name]))
+    held.sort()
+    out = [(start, end) for (start, end, score), p in zip(held, plausibilities(text, [x[:2] for x in held])) if score + p >= threshold + 0.7 and p > 0.5]
     return sorted(set(out))
 
 

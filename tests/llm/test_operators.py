@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -211,6 +212,23 @@ def test_secrets(documents, nothing):
     assert secrets.redact_secrets(documents).columns == documents.columns
 
 
+@pytest.mark.parametrize("form", ['private_key = "{}"', "pwd: '{}'", "signing_credentials={}", "<passphrase>{}</passphrase>", 'k = "{}"\npassphrase = k'])
+def test_secrets_of_any_length(form):
+    literal = "".join(chr(97 + (i * i + i // 7) % 26) if i % 3 else str(i % 10) for i in range(2000))
+    text = f"{A} {form.format(literal)} {B}"
+    at = text.index(literal)
+    assert (at, at + 2000) in secrets.lexed(text)
+    assert literal[-50:] not in secrets.redacted(text)
+
+
+@pytest.mark.parametrize("unit", ["=", "pwd=", "pwd=your-", "pwd='", 'pwd="', "pwd='=\"", "<pwd>a", "</", "a>b</", "pwd= ", "x: "])
+def test_secrets_in_time_that_grows_with_the_text(unit):
+    """Long runs of signs of assignment; each with the run's rest for its literal would take hours."""
+    began = time.process_time()
+    secrets.lexed(unit * (600_000 // len(unit)))
+    assert time.process_time() - began < 60
+
+
 def test_personal_data(documents, nothing):
     text = "mail a.b@c.de, x@y @z.de q@@r.st +1 (555) 010-9999 12 +4 300.1.2.3 10.0.0.1.2, 4111 1111 1111 1111, 1234567890123 DE iban: DE89370400440532013000 account no. 12345678 https://joe:pw1@h.com/ İ k@x.io"
     spans = pii.personal_spans(text)
