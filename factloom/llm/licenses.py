@@ -11,9 +11,12 @@ long texts: blocks are of bounded size and each is looked at once.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
+import itertools
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -79,29 +82,77 @@ def ranked(block: str, templates: tuple) -> list[tuple[float, str]]:
     return sorted((x for x in out if x[0] > 0), key=lambda x: (-x[0], x[1]))
 
 
+@functools.cache
+def _anchors(template: str, allowed: int) -> dict[str, tuple[int, ...]]:
+    """allowed + 1 distinct words of the template, with their places: any wording with so few differences keeps one of them in its place."""
+    wanted = _template_words(template)
+    places: dict[str, list[int]] = {}
+    for k, w in enumerate(wanted):
+        places.setdefault(w, []).append(k)
+    chosen = sorted(places, key=lambda w: (-len(w), w))[: allowed + 1]
+    return {w: tuple(places[w] if len(places) <= allowed else places[w][:1]) for w in chosen}
+
+
+def _apart(found: list[tuple]) -> list[tuple]:
+    """Those of found, as (start, end, ...) and best first, that overlap with none before them."""
+    starts, out = [], []
+    for x in found:
+        k = bisect.bisect_right(starts, x[0])
+        if (not k or out[k - 1][1] <= x[0]) and (k == len(starts) or starts[k] >= x[1]):
+            starts.insert(k, x[0])
+            out.insert(k, x)
+    return out
+
+
+class Places:
+    """Where words hold a template's wording, with differences in at most a share of its words."""
+
+    def __init__(self, words: list[str], template: str, most: float):
+        self.words, self.wanted = words, _template_words(template)
+        self.allowed = int(most * len(self.wanted))
+        self.need, self.counts = len(self.wanted) - self.allowed, Counter(self.wanted)
+        anchors = _anchors(template, self.allowed)
+        self.starts = sorted({i - k for i, w in enumerate(words) if w in anchors for k in anchors[w]})
+        self.many = [0, *itertools.accumulate(w in self.counts for w in words)] if self.starts else [0]
+
+    def windows(self, low: int, high: int) -> list[tuple[int, int, int]]:
+        """(start, begin, end) for each start between low and high about which there are enough of the template's words."""
+        out, n = [], len(self.wanted)
+        for k in self.starts[bisect.bisect_left(self.starts, low - n - self.allowed) : bisect.bisect_right(self.starts, high + self.allowed)]:
+            begin, end = max(low, k - self.allowed), min(high, k + n + self.allowed + 1)
+            if end - begin >= self.need and self.many[end] - self.many[begin] >= self.need and (self.counts & Counter(self.words[begin:end])).total() >= self.need:
+                out.append((k, begin, end))
+        return out
+
+    def found(self) -> list[tuple[int, int, int]]:
+        """(first word, end, differing words), in order."""
+        out, free, n = [], [(0, len(self.words))], len(self.wanted)
+        matcher = difflib.SequenceMatcher(None, "", self.wanted, False)
+        while free:
+            low, high = free.pop()
+            held = set()
+            for k, begin, end in self.windows(low, high):
+                if low <= k and k + n <= high and tuple(self.words[k : k + n]) == self.wanted:
+                    held.add((k, k + n, 0))
+                elif self.allowed:
+                    matcher.set_seq1(self.words[begin:end])
+                    same = [x for x in matcher.get_matching_blocks() if x.size]
+                    first, last = same[0].a, same[-1].a + same[-1].size
+                    different = max(n, last - first) - sum(x.size for x in same)
+                    if different <= self.allowed:
+                        held.add((begin + first, begin + last, different))
+            new = _apart(sorted(held, key=lambda x: (x[2], x[0] - x[1], x[0])))
+            out += new
+            # What lies between is looked at by itself: a reworded copy must not be aligned with words of the copy beside it.
+            edges = [low, *(e for x in new for e in x[:2]), high]
+            free += [x for x in zip(edges[::2], edges[1::2]) if new and x[1] - x[0] >= self.need]
+        return sorted(out)
+
+
 def wording(block: str, template: str, most: float) -> list[tuple[int, int, int]]:
     """(start, end, differing words) for each place in the block that has the template's wording."""
     own = list(_WORD.finditer(block))
-    words, wanted = [m[0].lower() for m in own], _template_words(template)
-    allowed, out, at = int(most * len(wanted)), [], 0
-    rare = max(wanted, key=len)  # a place must hold the longest word, or one word in its stead if differences may be
-    where = [i for i, w in enumerate(words) if w == rare] or (range(len(words)) if allowed else [])
-    offset = wanted.index(rare)
-    for i in where:
-        start = max(at, i - offset - allowed)
-        part = words[start : i - offset + len(wanted) + allowed + 1]
-        if len(part) < len(wanted) - allowed:
-            continue
-        same = [x for x in difflib.SequenceMatcher(None, part, wanted, False).get_matching_blocks() if x.size]
-        if not same:
-            continue
-        first, last = same[0].a, same[-1].a + same[-1].size
-        matched = sum(x.size for x in same)
-        different = max(len(wanted), last - first) - matched
-        if different <= allowed:
-            out.append((own[start + first].start(), own[start + last - 1].end(), different))
-            at = start + last
-    return out
+    return [(own[a].start(), own[b - 1].end(), d) for a, b, d in Places([m[0].lower() for m in own], template, most).found()]
 
 
 def licenses(text: str, templates: tuple, most: float = MOST_DIFFERENT) -> tuple[int, list[tuple[int, int, str, int]]]:

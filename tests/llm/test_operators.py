@@ -298,3 +298,16 @@ def test_licenses(documents, nothing):
 def test_ids_of_long_runs(text):
     path = bpe.vocabulary_path()
     assert bpe.encoder(path).ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_wording_wherever_other_words_stand():
+    t = licenses.TEMPLATES["mit-notice"]
+    near = "Distributed under the MIT License."
+    for text in (near, f"{near} A version released in May.", f"{near} {t}", f"{t} {near}", f"{t} {B} {near} {B} {t}"):
+        assert [d for *_, d in licenses.wording(text, t, 0.2)] == [int(x == "D") for x in re.findall("[DR](?=[a-z]+ under)", text)]
+    mit = licenses.TEMPLATES["mit"]
+    words = mit.split()
+    for k in range(6):
+        other = " ".join("changed" if i % 6 == k else w for i, w in enumerate(words))
+        for text in (f"{mit} {other}", f"{other} {mit}", f"{mit} {other} {mit}"):
+            assert len(licenses.wording(text, mit, 0.2)) == text.count("changed") // other.count("changed") + text.count(mit)
