@@ -42,7 +42,7 @@ TEMPLATES = {
 }
 #: A winner has at most this share of its words different.
 MOST_DIFFERENT = 0.2
-BEST, LEVEL = 4, 3
+LEVEL = 3
 _CUE = re.compile(r"(?i:licen[sc]|permission (?:is|to)|redistribut|rights reserved|public domain|free software)")
 _WORD = re.compile(r"[\w./-]*\w")
 
@@ -156,24 +156,17 @@ def wording(block: str, template: str, most: float) -> list[tuple[int, int, int]
 
 
 def licenses(text: str, templates: tuple, most: float = MOST_DIFFERENT) -> tuple[int, list[tuple[int, int, str, int]]]:
-    """Number of candidate blocks, and (start, end, template, differing words), longest first where they overlap."""
+    """Number of candidate blocks, and (start, end, template, differing words), longest first where they overlap, then by rank."""
     reach = max(len(t) for _, t in templates) + 40
-    found, wordings = set(), dict(templates)
+    found = {}
     listed = blocks(text, reach)
     for a, b in listed:
         block = text[a:b]
-        # Notices stand in blocks of their own reach as well, so that short ones do not drown in prose.
-        near = [(max(0, m.start() - 120), min(len(block), m.end() + 120)) for m in _CUE.finditer(block)]
-        names = {name for _, name in ranked(block, templates)[:BEST]}
-        for s, e in near:
-            names |= {name for _, name in ranked(block[s:e], templates)[:BEST]}
-        for name in sorted(names):
-            found |= {(a + s, a + e, name, d) for s, e, d in wording(block, wordings[name], most)}
-    chosen: list[tuple[int, int, str, int]] = []
-    for x in sorted(found, key=lambda x: (x[3] - (x[1] - x[0]), x[3], x[0], x[2])):
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in chosen):
-            chosen.append(x)
-    return len(listed), sorted(chosen)
+        held = [(a + s, a + e, name, d) for name, wanted in templates for s, e, d in wording(block, wanted, most)]
+        if held:
+            saving = {name: x for x, name in ranked(block, templates)}
+            found |= {x: max(found.get(x, 0.0), saving.get(x[2], 0.0)) for x in held}
+    return len(listed), _apart(sorted(found, key=lambda x: (x[3] - (x[1] - x[0]), -found[x], x[3], x[0], x[2])))
 
 
 def license_scan(documents: DataFrame, templates: dict[str, str] | None = None, most: float = MOST_DIFFERENT) -> DataFrame:

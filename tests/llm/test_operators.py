@@ -311,3 +311,13 @@ def test_wording_wherever_other_words_stand():
         other = " ".join("changed" if i % 6 == k else w for i, w in enumerate(words))
         for text in (f"{mit} {other}", f"{other} {mit}", f"{mit} {other} {mit}"):
             assert len(licenses.wording(text, mit, 0.2)) == text.count("changed") // other.count("changed") + text.count(mit)
+
+
+def test_licenses_that_stand_together():
+    listed = tuple(sorted(licenses.TEMPLATES.items()))
+    r = np.random.default_rng(12)
+    lists = [["all-rights-reserved", "mit-notice", "cc-by-4.0-notice"], *(r.choice(sorted(licenses.TEMPLATES), n, replace=False).tolist() for n in (3, 5, 7) for _ in range(30))]
+    for names in lists:
+        found = licenses.licenses(" ".join(licenses.TEMPLATES[x] for x in names), listed)[1]
+        # the short Apache notice is the beginning of the long one
+        assert [x[2] for x in found if x[3] == 0] == names, names
