@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
-Cue words open candidate blocks, which reach as far as the longest template does. A block is compressed
-by itself and with each template as zstandard raw dictionary; templates are ranked by how much smaller the
-block gets. The best few are then aligned with the block word by word, and a winner is confirmed if its
-exact wording differences are few: words that are missing, replaced or added within what was aligned.
+The cues are the templates' own words, so white space and comment marks between them do not matter: wherever a
+template's words stand close enough together that its wording may, a candidate block opens. Every template that
+a block may hold is aligned with it word by word, and confirmed if its exact wording differences are few: words
+that are missing, replaced or added within what was aligned. A block is also compressed by itself and with each
+template as zstandard raw dictionary; where candidates overlap, the longest stays, and of equal ones the template
+by which the block gets smallest.
 
 Null text: empty. Null doc_id: the row stays. Repeated rows: one result each. Empty table: no rows. Very
-long texts: blocks are of bounded size and each is looked at once.
+long texts: whole, by windows of bounded size.
 """
 
 from __future__ import annotations
@@ -43,8 +45,7 @@ TEMPLATES = {
 #: A winner has at most this share of its words different.
 MOST_DIFFERENT = 0.2
 LEVEL = 3
-_CUE = re.compile(r"(?i:licen[sc]|permission (?:is|to)|redistribut|rights reserved|public domain|free software)")
-_WORD = re.compile(r"[\w./-]*\w")
+_WORD = re.compile(r"\w(?:[\w./-]*\w)?")
 
 
 @functools.cache
@@ -62,16 +63,11 @@ def _template_words(text: str) -> tuple[str, ...]:
     return tuple(w.lower() for w in _WORD.findall(text))
 
 
-def blocks(text: str, reach: int) -> list[tuple[int, int]]:
-    """Candidate blocks about cues: `reach` characters to either side, those that overlap as one, cut at 8 reaches."""
-    out: list[list[int]] = []
-    for m in _CUE.finditer(text):
-        start, end = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if out and start <= out[-1][1] and end - out[-1][0] <= 8 * reach:
-            out[-1][1] = end
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
+def likely(text: str, templates: tuple, most: float) -> list[tuple[str, str]]:
+    """The templates of whose distinct words a text holds enough for their wording."""
+    held = {w.lower() for w in set(_WORD.findall(text))}
+    distinct = [(name, wanted, _template_words(wanted)) for name, wanted in templates]
+    return [(name, wanted) for name, wanted, words in distinct if words and len(held.intersection(words)) >= len(set(words)) - int(most * len(words))]
 
 
 def ranked(block: str, templates: tuple) -> list[tuple[float, str]]:
@@ -157,16 +153,23 @@ def wording(block: str, template: str, most: float) -> list[tuple[int, int, int]
 
 def licenses(text: str, templates: tuple, most: float = MOST_DIFFERENT) -> tuple[int, list[tuple[int, int, str, int]]]:
     """Number of candidate blocks, and (start, end, template, differing words), longest first where they overlap, then by rank."""
-    reach = max(len(t) for _, t in templates) + 40
-    found = {}
-    listed = blocks(text, reach)
-    for a, b in listed:
-        block = text[a:b]
-        held = [(a + s, a + e, name, d) for name, wanted in templates for s, e, d in wording(block, wanted, most)]
-        if held:
-            saving = {name: x for x, name in ranked(block, templates)}
-            found |= {x: max(found.get(x, 0.0), saving.get(x[2], 0.0)) for x in held}
-    return len(listed), _apart(sorted(found, key=lambda x: (x[3] - (x[1] - x[0]), -found[x], x[3], x[0], x[2])))
+    own = list(_WORD.finditer(text)) if (held := likely(text, templates, most)) else []
+    words = [m[0].lower() for m in own]
+    places = {name: Places(words, wanted, most) for name, wanted in held}
+    blocks: list[list[int]] = []
+    for begin, end in sorted({w[1:] for p in places.values() for w in p.windows(0, len(words))}):
+        if blocks and begin <= blocks[-1][1]:
+            blocks[-1][1] = max(blocks[-1][1], end)
+        else:
+            blocks.append([begin, end])
+    firsts, saving, found = [b[0] for b in blocks], {}, {}
+    for name, p in places.items():
+        for a, b, d in p.found():
+            k = bisect.bisect_right(firsts, a) - 1
+            if k not in saving:
+                saving[k] = {n: x for x, n in ranked(text[own[blocks[k][0]].start() : own[blocks[k][1] - 1].end()], templates)}
+            found[own[a].start(), own[b - 1].end(), name, d] = saving[k].get(name, 0.0)
+    return len(blocks), _apart(sorted(found, key=lambda x: (x[3] - (x[1] - x[0]), -found[x], x[3], x[0], x[2])))
 
 
 def license_scan(documents: DataFrame, templates: dict[str, str] | None = None, most: float = MOST_DIFFERENT) -> DataFrame:

@@ -321,3 +321,14 @@ def test_licenses_that_stand_together():
         found = licenses.licenses(" ".join(licenses.TEMPLATES[x] for x in names), listed)[1]
         # the short Apache notice is the beginning of the long one
         assert [x[2] for x in found if x[3] == 0] == names, names
+
+
+def test_licenses_in_wrapped_and_commented_texts():
+    listed = tuple(sorted(licenses.TEMPLATES.items()))
+    wrapped = lambda text, n, mark: "".join(w + (mark if k % n == n - 1 else " ") for k, w in enumerate(text.split()))
+    for name, text in listed:
+        for n in (1, 2, 3):
+            for mark in ("\n", "\n * ", "\n# ", "\n//", "\n;; ", "\n--"):
+                assert [(x[2], x[3]) for x in licenses.licenses(f"{A}\n{wrapped(text, n, mark)}\n{B}", listed)[1]] == [(name, 0)], (name, n, mark)
+    own = (("own", "Copies of these recipes belong to whoever cooks them."),)
+    assert [x[2:] for x in licenses.licenses(f"{A} Copies of those recipes\nbelong to whoever cooks them. {B}", own)[1]] == [("own", 1)]
