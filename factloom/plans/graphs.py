@@ -135,7 +135,25 @@ def top_edges(spark, d):
     return edges.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).where("n <= 5").drop("n")
 
 
+def _supplies(spark, d):
+    """All edges from suppliers to the parts that they sold."""
+    return read(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.lit(1_000_000_000) + F.col("l_partkey")).alias("dst")).distinct()
+
+
+# Without SQL: reachability over the whole table is too slow for it. Tests hold these against brute force.
+
+
+@query()
+def weak_components_whole(spark, d):
+    return components(_supplies(spark, d), written)
+
+
+@query()
+def component_sizes_topn_whole(spark, d):
+    return components(_supplies(spark, d), written).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(20)
+
+
 @query()
 def label_propagation(spark, d):
-    parts = _parts(spark, d).withColumn("weight", F.lit(1.0))
-    return graph.propagate_labels(parts, graph.nodes_of(parts), 5, written)
+    edges = _supplies(spark, d).withColumn("weight", F.lit(1.0))
+    return graph.propagate_labels(edges, graph.nodes_of(edges), cut=written)
