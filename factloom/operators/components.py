@@ -7,6 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A node with more rows than this is a hub; of a larger graph, one with over the share, so that hubs stay few enough to broadcast.
+HUB_ROWS, HUB_SHARE = 1000, 100_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """rows with the column m that least (a, m, n) has for their node a. A hub's rows stay where they are.
+
+    There are at most rows / hub hubs, so that table has a bound of its own; all other nodes have few rows.
+    """
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("a", "m"))
+    return rows.join(hubs, "a").unionByName(rows.join(hubs.select("a"), "a", "left_anti").join(least.select("a", "m"), "a"))
+
 
 def components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that edges (src, dst) reach, for every node on an edge.
@@ -18,20 +30,29 @@ def components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], mos
     """
     now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     now = cut(now, "components")
-    mark = None
+    mark, size = None, now.count()
     for _ in range(most_rounds):
+        hub = max(HUB_ROWS, size // HUB_SHARE)
         both = now.union(now.select("b", "a"))
         # large-star: every larger neighbour of a node points to the node's least neighbour or itself
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_least(both.where("b > a"), least, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small-star: every smaller neighbour of a node, and the node, point to the least of them
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        now = _with_least(large, small, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = cut(now, "components")
         fresh = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if tuple(fresh) == mark:
             break
-        mark = tuple(fresh)
+        mark, size = tuple(fresh), fresh[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+
+
+def node_components(nodes: DataFrame, edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], most_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of nodes (id): isolated ones are their own component, edges that touch an unknown node do not count."""
+    known = nodes.select("id").where("id is not null").distinct()
+    inside = edges.select("src", "dst").join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    found = components(inside, cut, most_rounds)
+    return known.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
