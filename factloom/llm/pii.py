@@ -6,8 +6,10 @@ The parsers of email, ip, card and phone accept what the base patterns match fro
 the base: `iban` (checksum of a country-led account), `account` (digits after an account cue), `login`
 (user and password within a URL).
 
-Null text: empty. Null doc_id: the row stays. Repeated rows: one result each. Empty table: no rows.
-Each parser is linear in what it reads, also over very long runs of digits or letters.
+Null text: empty. Null doc_id: the row stays. Repeated rows: one result each. Empty table: no rows. Other
+columns, whatever their names, are not read. Spans that start together are listed in the order of KINDS, then by
+their ends. Very long texts are read whole: each parser is linear in what it reads, as its runs never give back what
+they took and no two anchors' runs share a character, so that logins and runs of white space have no longest length.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"[\s:]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"""["']?\s*(?:number|no\.?|nr\.?|id|#)?["']?\s*[:=#]?\s*["']?([0-9](?:[\x20-]?[0-9]){5,19})(?![0-9])""", re.IGNORECASE)
-_LOGIN = re.compile(r"([^\s/@:]{1,100}:[^\s/@]{1,200})@")
+_IBAN = re.compile(r"[\s:]*+([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"""["']?+\s*+(?:number|no\.?+|nr\.?+|id|#)?+["']?+\s*+[:=#]?+\s*+["']?+([0-9](?:[\x20-]?[0-9]){5,19})(?![0-9])""", re.IGNORECASE)
+_LOGIN = re.compile(r"([^\s/@:]++:[^\s/@]++)@")
 #: Fixed cues, in lower case.
 _CUES = {"@": "at", "+": "plus", "://": "scheme", "iban": "iban", "account": "account", "acct": "account", "ssn": "account", "passport": "account", "konto": "account", "cuenta": "account", "compte": "account"}
 
