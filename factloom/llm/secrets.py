@@ -6,9 +6,11 @@ sign of assignment it parses a name to the left and a literal, or another name,
 is given another name takes its literals, whatever number of steps away. Literals are scored by how
 sensitive the names are that they reach; those over the threshold are `lexed` spans.
 
-Null text: empty. Null doc_id: the row stays. Repeated rows: one result each. Empty table: no rows.
-Very long texts are read whole, in time that grows with their length: literals have no longest length, and those
-that end together (`a=b=c`) are read once, from the right.
+Null text: empty. Null doc_id: the row stays. Repeated rows: one result each. Empty table: no rows. Other columns,
+whatever their names, are not read by the scan and kept as they are by the redaction. Spans that start together are
+listed in the order of KINDS, then by their ends.
+Very long texts are read whole, in time that grows with their length: neither names nor literals have a longest
+length, those that end together (`a=b=c`) are read once, from the right, and scores reach each name once.
 """
 
 from __future__ import annotations
@@ -39,14 +41,14 @@ _SENSITIVE = {
 }
 _HARMLESS = re.compile(r"(?i)(?:true|false|none|null|nil|undefined|changeme|example|placeholder|x++|\*++|<.*>|\$\{.*\}|%.*%)$|your[_-]")
 _SIGN = re.compile(r":=|=>|=|:|</")
-_NAME_LEFT = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["'\]]?[ \t]*$""")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*+")
 _QUOTED = re.compile(r"""[ \t]*+(?:"([^"\n]++)"|'([^'\n]++)')""")
 _BLANK = re.compile(r"[ \t]*+")
 _PLAIN = re.compile(r"[A-Za-z0-9+/_.=\-]++")
 _TAG = re.compile(r"[A-Za-z_][\w.\-]*+")
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*+$")
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_LEFT = 80
 
 
 def sensitivity(name: str) -> float:
@@ -73,6 +75,25 @@ def plausibility(literal: str) -> float:
     return plausibilities(literal, [(0, len(literal))])[0]
 
 
+def _name_before(text: str, end: int) -> str | None:
+    """The name that ends before a sign of assignment, of any length; a quote or bracket and blanks may stand between."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    end -= end > 0 and text[end - 1] in "\"']"
+    start = end
+    while start and text[start - 1] in _NAME_CHARS:
+        start -= 1
+    while start < end and text[start] in "0123456789.-":
+        start += 1
+    return text[start:end] or None
+
+
+def _whole(pattern: re.Pattern, text: str, start: int, end: int) -> bool:
+    """Whether the pattern, of possessive runs, takes all of a span; it is read no further than the run goes."""
+    found = pattern.match(text, start, end)
+    return found is not None and found.end() == end
+
+
 def assignments(text: str) -> list[tuple[str, int, int, bool]]:
     """(name, start, end, quoted) for each assignment of a literal in the text, in order."""
     out, closed, plain = [], 0, 0
@@ -97,9 +118,9 @@ def assignments(text: str) -> list[tuple[str, int, int, bool]]:
                     continue
                 plain = right.end()
             end = plain
-        left = _NAME_LEFT.search(text[max(0, at - _LEFT) : at])
-        if left is not None:
-            out.append((left[1], start, end, right is not None and right.re is _QUOTED))
+        name = _name_before(text, at)
+        if name is not None:
+            out.append((name, start, end, right is not None and right.re is _QUOTED))
     return out
 
 
@@ -113,25 +134,23 @@ def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     pairs = assignments(text)
     if not pairs:
         return []
-    targets: dict[str, set[str]] = defaultdict(set)
+    sources: dict[str, set[str]] = defaultdict(set)
     for name, start, end, quoted in pairs:
-        if not quoted and _IDENTIFIER.match(text, start, end) and (literal := text[start:end]) != name:
-            targets[literal].add(name)
+        if not quoted and _whole(_IDENTIFIER, text, start, end):
+            sources[name].add(text[start:end])
     names = {p[0] for p in pairs}
+    # A name reaches whatever it is copied to: from the most sensitive name on, its sources take its score, each once.
     best: dict[str, float] = {}
-    for name in names:
-        seen, open_names, score = {name}, [name], 0.0
+    for score, name in sorted(((sensitivity(n), n) for n in names), reverse=True):
+        open_names = [name]
         while open_names:
             own = open_names.pop()
-            score = max(score, sensitivity(own))
-            fresh = targets.get(own, set()) - seen
-            seen |= fresh
-            open_names += fresh
-        best[name] = score
+            if own not in best:
+                best[own] = score
+                open_names += sources.get(own, ())
     held = []
     for name, start, end, quoted in pairs:
-        # No name is longer than _LEFT.
-        if not quoted and (end - start <= _LEFT and text[start:end] in names or _IDENTIFIER.match(text, start, end) and text[start:end].isalpha()):
+        if not quoted and (_whole(_NAME, text, start, end) and text[start:end] in names or _whole(_IDENTIFIER, text, start, end) and text[start:end].isalpha()):
             continue
         if best[name] > 0:
             held.append((start, end, best[name]))
