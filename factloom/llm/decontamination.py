@@ -1,18 +1,20 @@
 """Benchmark decontamination by a generalised suffix automaton over normalised test items.
 
-The items' words make one automaton, which is broadcast; its size is checked first (`max_words`). Each
-document's words stream through it, and the longest match that ends at each word gives the words that any
-window covers. Stretches that cannot hold a window, as some n-gram in them is in no item, are passed over
-without stepping the automaton; that changes no result.
+The items' words make one automaton, held in flat arrays and broadcast; its size is bounded first, by the words that
+it will hold (`max_bytes`). Each document's words stream through it, and the longest match that ends at each word
+gives the words that any window covers. Stretches that cannot hold a window, as some n-gram in them is in no item,
+are passed over without stepping the automaton; that changes no result.
 
 Null or empty text: no words, not contaminated. Null item text: no windows. Null item_id: counted as the
-id "null". Items with equal texts: each is counted. Repeated documents: one result each. Empty tables: no
-documents give no rows; no items hit nothing.
+id "null". Items with equal texts: each is counted, in order of their ids. Repeated documents: one result each, also
+where they share a doc_id. Very long texts: whole, one pass. Other columns, whatever their names, are not read by the
+scan and kept as they are by the cleaning. Empty tables: no documents give no rows; no items hit nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -23,7 +25,10 @@ from pyspark.sql import functions as F
 from .common import lean, table, texts
 
 WINDOW = 10
-MAX_WORDS = 4_000_000
+#: What the automaton of a benchmark may take in the driver and in each worker, and what its parts take at most:
+#: a word's two states, three transitions, their slots and its windows; a distinct word in the vocabulary; an item.
+MAX_BYTES = 512 << 20
+BYTES_A_WORD, BYTES_A_DISTINCT_WORD, BYTES_AN_ITEM = 160, 170, 400
 #: Of a document's words that are hit: from this share on the whole document goes in the pipeline.
 COVERAGE = 0.5
 
@@ -36,77 +41,110 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_TO_WORDS).split()
 
 
+_SPREAD = 0x9E3779B97F4A7C15
+_ALL = (1 << 64) - 1
+
+
 class Automaton:
-    """Suffix automaton over all items; states of windows know the items that hold them."""
+    """Suffix automaton over all items, in flat arrays; states of windows know the items that hold them.
+
+    A transition is an entry of `symbol`, `to` and `after` (the next one of its state) and a slot of an open hash table by
+    (state, symbol). Words are numbered from 1.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.window, self.vocabulary = window, {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        listed = []
+        self.names, listed = [], []
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text or "")]
             if ids:
-                listed.append((item_id, ids))
-        for _, ids in listed:
+                self.names.append(item_id)
+                listed.append(array("i", ids))
+        total = sum(map(len, listed))
+        self.mask = (1 << max(4, (4 * total).bit_length())) - 1  # there are under three transitions a word
+        self.slots = array("i", bytes(4 * (self.mask + 1)))  # a transition's number, from 1
+        self.owner, self.symbol, self.to, self.after = (array("i", [0]) for _ in range(4))
+        self.head, self.link, self.length = array("i", [0]), array("i", [-1]), array("i", [0])
+        for ids in listed:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        self.items_at: dict[int, set[str]] = defaultdict(set)
-        self.short: dict[int, list[tuple[int, set[str]]]] = defaultdict(list)
-        short: dict[tuple[int, int], set[str]] = defaultdict(set)
-        shortest = window
-        for item_id, ids in listed:
+        pairs, short, shortest = (array("q"), array("q")), defaultdict(set), window
+        for k, ids in enumerate(listed):
             if len(ids) < window:
                 state = 0
                 for c in ids:
-                    state = self.next[state][c]
-                short[state, len(ids)].add(item_id)
+                    state = self.to[self._find(state, c)]
+                short[state, len(ids)].add(k)
                 shortest = min(shortest, len(ids))
             else:
-                for state, _ in self.windows(ids):
-                    self.items_at[state].add(item_id)
-        for (state, n), names in short.items():
-            self.short[state].append((n, names))
+                for state in self._windows(ids):
+                    pairs[0].append(state)
+                    pairs[1].append(k)
+        #: Items by the state of a window that they hold, in order of states.
+        both = np.unique(np.array([np.frombuffer(x, np.int64) for x in pairs]).reshape(2, -1), axis=1).astype(np.int32)
+        self.window_states, self.window_items = both
+        self.short: dict[int, list[tuple[int, set[int]]]] = defaultdict(list)
+        for (state, n), held in short.items():
+            self.short[state].append((n, held))
         self.gram = min(3, shortest)
         self.least = shortest - self.gram + 1
-        base = len(self.vocabulary) + 1
-        self.grams = np.unique(np.array([self._code(ids[i : i + self.gram], base) for _, ids in listed for i in range(len(ids) - self.gram + 1)], np.int64))
-
-    @staticmethod
-    def _code(ids, base):
-        code = 0
-        for x in ids:
-            code = code * base + x
+        self.grams = np.unique(np.concatenate([self._codes(np.array(ids, np.uint64)) for ids in listed if len(ids) >= self.gram])) if listed else np.empty(0, np.uint64)
+
+    def _codes(self, ids: np.ndarray) -> np.ndarray:
+        """A number for each gram; different grams that share one only make the scan look where nothing is."""
+        code = np.zeros(len(ids) - self.gram + 1, np.uint64)
+        for j in range(self.gram):
+            code = code * np.uint64(_SPREAD) + ids[j : len(ids) - self.gram + 1 + j]
         return code
 
+    def _slot(self, state: int, c: int) -> int:
+        """Where the transition is, or would be."""
+        slots, owner, symbol, mask = self.slots, self.owner, self.symbol, self.mask
+        k = ((state * 0x2545F491 + c) * _SPREAD & _ALL) >> 24 & mask
+        while (e := slots[k]) and (owner[e] != state or symbol[e] != c):
+            k = k + 1 & mask
+        return k
+
+    def _find(self, state: int, c: int) -> int:
+        return self.slots[self._slot(state, c)]
+
+    def _add(self, state: int, c: int, to: int) -> None:
+        self.slots[self._slot(state, c)] = len(self.to)
+        self.owner.append(state)
+        self.symbol.append(c)
+        self.to.append(to)
+        self.after.append(self.head[state])
+        self.head[state] = len(self.to) - 1
+
+    def _state(self, length: int, link: int) -> int:
+        self.head.append(0)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.head) - 1
+
     def _extend(self, last: int, c: int) -> int:
-        into = self.next[last].get(c)
-        if into is not None:
-            if self.length[into] == self.length[last] + 1:
-                return into
-            return self._split(last, c, into)
-        new = len(self.next)
-        self.next.append({})
-        self.length.append(self.length[last] + 1)
-        self.link.append(0)
-        p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        if e := self._find(last, c):
+            into = self.to[e]
+            return into if self.length[into] == self.length[last] + 1 else self._split(last, c, into)
+        new, p = self._state(self.length[last] + 1, 0), last
+        while p >= 0 and not (e := self._find(p, c)):
+            self._add(p, c, new)
             p = self.link[p]
         if p >= 0:
-            into = self.next[p][c]
+            into = self.to[e]
             self.link[new] = into if self.length[into] == self.length[p] + 1 else self._split(p, c, into)
         return new
 
     def _split(self, p: int, c: int, into: int) -> int:
-        copy = len(self.next)
-        self.next.append(dict(self.next[into]))
-        self.length.append(self.length[p] + 1)
-        self.link.append(self.link[into])
+        copy = self._state(self.length[p] + 1, self.link[into])
+        e = self.head[into]
+        while e:
+            self._add(copy, self.symbol[e], self.to[e])
+            e = self.after[e]
         self.link[into] = copy
-        while p >= 0 and self.next[p].get(c) == into:
-            self.next[p][c] = copy
+        while p >= 0 and (e := self._find(p, c)) and self.to[e] == into:
+            self.to[e] = copy
             p = self.link[p]
         return copy
 
@@ -114,22 +152,24 @@ class Automaton:
         """(state, longest match ending here) after each id."""
         state = n = 0
         for c in ids:
-            while state and c not in self.next[state]:
+            while not (e := self._find(state, c)) and state:
                 state = self.link[state]
                 n = self.length[state]
-            if c in self.next[state]:
-                state, n = self.next[state][c], n + 1
-            else:
-                state = n = 0
+            state, n = (self.to[e], n + 1) if e else (0, 0)
             yield state, n
 
-    def windows(self, ids):
-        """(the state of the window that ends there, index of its last word) for each window found."""
-        for i, (state, n) in enumerate(self.lengths(ids)):
+    def _windows(self, ids):
+        """The state of each window of an item."""
+        for state, n in self.lengths(ids):
             if n >= self.window:
                 while self.length[self.link[state]] >= self.window:
                     state = self.link[state]
-                yield state, i
+                yield state
+
+    def _held(self, state: int) -> list[int]:
+        """The items that hold the window of a state; none for another state."""
+        low, high = np.searchsorted(self.window_states, [state, state + 1])
+        return self.window_items[low:high].tolist()
 
     def match(self, text: str) -> tuple[int, np.ndarray | None, set[str]]:
         """Number of words, which of them are hit (None: none), and the items found."""
@@ -139,51 +179,55 @@ class Automaton:
         get = self.vocabulary.get
         ids = np.fromiter([get(w, 0) for w in own], np.int64, len(own))
         known = ids > 0
-        code, whole = np.zeros(len(ids) - self.gram + 1, np.int64), np.ones(len(ids) - self.gram + 1, bool)
+        whole = np.ones(len(ids) - self.gram + 1, bool)
         for j in range(self.gram):
-            part = slice(j, len(ids) - self.gram + 1 + j)
-            code = code * (len(self.vocabulary) + 1) + ids[part]
-            whole &= known[part]
+            whole &= known[j : len(ids) - self.gram + 1 + j]
         at = np.flatnonzero(whole)
-        at = at[self.grams[np.minimum(np.searchsorted(self.grams, code[at]), len(self.grams) - 1)] == code[at]]
+        code = self._codes(ids.astype(np.uint64))[at]
+        at = at[self.grams[np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)] == code]
         if len(at) < self.least:
             return len(own), None, set()
-        hit, found = None, set()
+        hit, found = np.zeros(len(own), bool), set()
         for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
             if len(run) < self.least:
                 continue
             start = int(run[0])
             for i, (state, n) in enumerate(self.lengths(ids[start : int(run[-1]) + self.gram].tolist())):
-                top = n
                 while state > 0:
-                    if n >= self.window and self.length[self.link[state]] < self.window and state in self.items_at:
-                        found |= self.items_at[state]
-                        hit = np.zeros(len(own), bool) if hit is None else hit
+                    if n >= self.window and self.length[self.link[state]] < self.window and (held := self._held(state)):
+                        found.update(held)
                         hit[start + i + 1 - self.window : start + i + 1] = True
-                    for size, names in self.short.get(state, ()):
-                        if size <= top:
-                            found |= names
-                            hit = np.zeros(len(own), bool) if hit is None else hit
+                    for size, held in self.short.get(state, ()):
+                        if size <= n:
+                            found |= held
                             hit[start + i + 1 - size : start + i + 1] = True
                     if not self.short and self.length[state] < self.window:
                         break
                     state = self.link[state]
-                    n = top = self.length[state]
-        return len(own), hit, found
+                    n = self.length[state]
+        return len(own), hit if found else None, {self.names[k] for k in found}
+
+
+#: The words as a column; the same letters as `words` takes.
+_WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def automaton(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> Automaton:
-    """The automaton of a benchmark table, which must have at most max_words words as it is broadcast."""
+def automaton(benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES) -> Automaton:
+    """The automaton of a benchmark table, which must fit max_bytes as it is broadcast; that is known before anything is collected."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    if size["n"] > max_words or size["b"] > 16 * max_words:
-        raise ValueError(f"the benchmark has {size['n']} words; at most {max_words} fit one broadcast automaton, so run it in parts")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = items.select(F.explode(F.regexp_extract_all(lower, F.lit(_WORD_PATTERN), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    size = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("distinct"), F.coalesce(F.sum(F.octet_length("w")), F.lit(0)).alias("b")).first()
+    listed = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0)).alias("b")).first()
+    needed = BYTES_A_WORD * size["n"] + BYTES_A_DISTINCT_WORD * size["distinct"] + size["b"] + BYTES_AN_ITEM * listed["n"] + 2 * listed["b"]
+    if needed > max_bytes:
+        raise ValueError(f"the benchmark's {size['n']} words take up to {needed} bytes as an automaton; at most {max_bytes} are broadcast, so run it in parts")
     return Automaton([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()], window)
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of documents."""
-    held = documents.sparkSession.sparkContext.broadcast(automaton(benchmark, window, max_words))
+    held = documents.sparkSession.sparkContext.broadcast(automaton(benchmark, window, max_bytes))
 
     def scan(batches):
         for batch in batches:
@@ -211,12 +255,12 @@ def without_hits(text: str, hit: np.ndarray) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, max_words: int = MAX_WORDS) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, max_bytes: int = MAX_BYTES) -> DataFrame:
     """documents without the words that windows hit; a document goes if they cover `coverage` of it or more.
 
-    Other columns stay as they are, but n_chars is counted again where the text changes.
+    Other columns stay as they are, but n_chars is counted again where the text changes. Null texts stay.
     """
-    held = documents.sparkSession.sparkContext.broadcast(automaton(benchmark, window, max_words))
+    held = documents.sparkSession.sparkContext.broadcast(automaton(benchmark, window, max_bytes))
 
     def clean(batches):
         for batch in batches:
