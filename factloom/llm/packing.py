@@ -7,7 +7,9 @@ Whole runs of `length` ids fill sequences of their own; what is left of each doc
 neighbours' in shared sequences. A range's last sequence is cut into powers of two, which need no padding.
 
 Null text: empty, one piece that holds the closing id alone. Null doc_id: packed like any other, last
-among its curve ties. Repeated rows: packed once each. Empty table: no rows.
+among its curve ties. Ties on the curve: by doc_id; rows that share that too in any order. Repeated rows: packed once
+each. Very long texts: whole, as many full sequences as they fill. Other columns, whatever their names, are not read.
+Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .common import lean, table, tasks, texts, written
+from .common import lean, table, texts, written
 
 LENGTH = 1024
 DIMENSIONS, BITS, BUCKETS = 3, 10, 256
 END_ID = 0
-#: Rows that one range holds at about that many documents; a range is one task's work.
-RANGE_DOCUMENTS = 20_000
+#: A range, one task's work, holds about so many documents and leftover ids; there is no limit to the number of ranges.
+RANGE_DOCUMENTS, RANGE_IDS = 20_000, 8_000_000
 
 
 def hilbert_index(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -91,9 +93,10 @@ def _powers(n: int) -> list[int]:
 
 def pack(documents: DataFrame, tokenizer_path: str, length: int = LENGTH, ranges: int | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = documents.sparkSession
     encoded = written(_encoded(documents, tokenizer_path, length), "packing")
-    ranges = ranges or max(1, min(4 * tasks(spark), encoded.count() // RANGE_DOCUMENTS + 1))
+    if ranges is None:
+        size = encoded.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("doc_tokens") % length), F.lit(0)).alias("ids")).first()
+        ranges = 1 + max(size["n"] // RANGE_DOCUMENTS, size["ids"] // RANGE_IDS)
 
     def fill(batches):
         sequence = TaskContext.get().partitionId() << 40
