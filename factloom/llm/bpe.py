@@ -1,8 +1,10 @@
-"""Byte-level BPE, cut into chunks that no pre-token crosses.
+"""Byte-level BPE by distinct pre-tokens.
 
 A space that is followed by a non-space always starts a new pre-token in the vocabulary's split
-pattern, so a text is cut there and every distinct chunk (one word with its punctuation, that is one
-pre-token or a few) is encoded once for each worker. The memo is bounded and refills after it is emptied.
+pattern, so a text is cut there first; a chunk (one word with its punctuation) is one pre-token or a few.
+For counts, each distinct pre-token is counted once for each worker and each distinct short chunk has the sum of its
+pre-tokens; of a long chunk, as in scripts without spaces, the pre-tokens' frequencies are taken instead. The
+memos are bounded, in entries and in what one of them may hold, and refill after they are emptied.
 """
 
 from __future__ import annotations
@@ -11,21 +13,24 @@ import base64
 import functools
 import os
 import re
+from collections import Counter as Frequencies
 from operator import mul
 
 import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES, MEMO_LENGTH = 700_000, 64
 
 _SPECIAL = "<|endoftext|>"
 _SPECIAL_ID = 50256
 #: Characters on which all Unicode versions of the splitting pattern agree.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-ɏ]*")
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
+_PRE_TOKEN = regex.compile(public_tokenizers.PATTERN)
 _CUT = re.compile(r"(?= (?:\S|[\x1c-\x1f]))")
 
 
@@ -58,11 +63,14 @@ class _Memo(dict):
 
     def __init__(self, of, lead: str):
         self.of, self.lead = of, lead
+        self.known = self.__getitem__
 
     def __missing__(self, chunk: str):
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[chunk] = found = self.of(self.lead + chunk)
+        found = self.of(self.lead + chunk)
+        if len(chunk) <= MEMO_LENGTH:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[chunk] = found
         return found
 
 
@@ -75,21 +83,33 @@ def _chunks(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+def _weighed(count, frequency: dict[str, int]) -> int:
+    return sum(map(mul, map(count, frequency), frequency.values()))
+
+
 class Counter:
-    """Token counts from chunk frequencies; no list of ids is made for a text."""
+    """Token counts from the frequencies of pre-tokens; no list of ids is made for a text."""
 
     def __init__(self, path: str):
-        of = lambda chunk: len(encode_chunk(chunk, path)) if chunk else 0
-        self.first, self.rest = _Memo(of, ""), _Memo(of, " ")
+        self.fast, self.slow = _ranks(path.removesuffix(".json") + ".tiktoken"), _json_tokenizer(path)
+        self.plain = _Memo(lambda piece: len(self.fast.encode_ordinary(piece)), "")
+        self.other = _Memo(lambda piece: len(self.slow.model.tokenize(piece)), "")
+        self.first, self.rest = _Memo(self._chunk, ""), _Memo(self._chunk, " ")
+
+    def _chunk(self, chunk: str) -> int:
+        if self.fast is not None and (chunk.isascii() and chunk[1:].isalpha() or _PLAIN.fullmatch(chunk)):
+            pieces = [chunk] if chunk[1:].isalpha() and chunk[0] == " " else _PRE_TOKEN.findall(chunk)
+            if len(pieces) > 8:
+                return _weighed(self.plain.known, Frequencies(pieces))
+            return sum(map(self.plain.known, pieces)) if len(pieces) > 1 else len(self.fast.encode_ordinary(chunk))
+        # its pre-tokens come as the model reads them, a letter for each byte
+        return _weighed(self.other.known, Frequencies(piece for piece, _ in self.slow.pre_tokenizer.pre_tokenize_str(chunk)))
 
     def count(self, text: str) -> int:
-        from collections import Counter as Frequencies
-
         total = 0
         for k, part in enumerate(text.split(_SPECIAL)):
             first, rest = _chunks(part)
-            frequency = Frequencies(rest)
-            total += (k > 0) + self.first[first] + sum(map(mul, map(self.rest.__getitem__, frequency), frequency.values()))
+            total += (k > 0) + self.first.known(first) + _weighed(self.rest.known, Frequencies(rest))
         return total
 
 

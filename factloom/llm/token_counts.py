@@ -1,9 +1,11 @@
 """Token counts without token ids.
 
-Per task, chunks of pre-tokens are counted once each (a bounded memo for the worker), joined to the
-document's chunk frequencies and summed. No shuffle: a document's count needs its own text alone.
+Per task, each distinct pre-token is counted once (a bounded memo for the worker), joined to the document's
+frequencies and summed. No shuffle: a document's count needs its own text alone.
 
-Null text: empty, 0 tokens. Null doc_id: the row stays. Repeated rows: one result each. Empty table: no rows.
+Null text: empty, 0 tokens. Null doc_id: the row stays. Repeated rows, and rows that share a doc_id: one result each.
+Very long texts: whole, in time that grows with their length where their pre-tokens do not (a single pre-token is
+merged as the library does it). Other columns, whatever their names, are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
