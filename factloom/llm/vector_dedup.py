@@ -1,20 +1,23 @@
 """Embedding near-dedup by navigable small-world graphs.
 
-Equal vectors are one class. Classes are dealt to shards, each shard gets a hierarchical graph, and every
-block of classes is looked up in every shard. A beam search that comes back full of links is widened for
-that query, in the end to a scan of the shard; and a sample of each block's queries is held against brute
-force, all beams being widened until the recall of links passes. Candidates count only if their cosine in
-double precision does. Links leave a task contracted to (node, label) rows, at most one for each
-vector in it, and the labels are united over all tasks; counts are sums.
+Equal vectors are one class. Classes are dealt to shards of bounded bytes, each shard gets a hierarchical graph, and
+every block of classes is looked up in every shard. A beam search that comes back full of links is widened for
+that query, in the end to a scan of the shard. Each look-up is audited against brute force: a sample of its queries,
+and queries planted near vectors of the shard, so that there are always links to find. All beams are widened until
+the recall of these links passes, in the end to a scan; the least recall is handed to `on_recall`, and one below
+`LEAST_RECALL` fails the job. Candidates count only if their cosine in double precision does. Links leave a task
+contracted to (node, label) rows, at most one for each vector in it, and the labels are united over all tasks;
+counts are sums.
 
 Null, empty, zero vectors and those with null or non-finite components: linked with nothing, kept. Null
 vec_id: likewise. Repeated rows: one result each, counted as one vector. Vectors of different lengths are
-never compared. Empty table: no rows.
+never compared. Ties at the threshold: links. Other columns, whatever their names, are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,13 @@ from factloom.operators.components import components
 from .common import table, written
 
 THRESHOLD = 0.95
-#: Shards, and rows that one of them holds at most: beyond SHARDS * SHARD_ROWS there are more shards.
-SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 250_000, 16_384
+#: Shards, and bytes that a shard or a block of queries holds at about most: beyond that there are more of them.
+SHARDS, SHARD_BYTES, BLOCK_BYTES = 6, 256 << 20, 8 << 20
 NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, EXPAND = 16, 48, 48, 4
-AUDITED, RECALL = 256, 0.99
+#: Of a look-up, queries that are audited and as many planted ones; the recall that ends the widening, and the least one.
+AUDITED, RECALL, LEAST_RECALL = 128, 0.99, 0.9
+#: A beam of more than this part of a shard costs more than a scan of it.
+SCAN_PART = 16
 
 
 def _search(links, vectors, queries, entry, beam):
@@ -188,10 +194,21 @@ def contract(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = next_
 
 
+def planted(vectors: np.ndarray, threshold: float, most: int, seed: int = 17) -> np.ndarray:
+    """Unit vectors whose cosine with one of the given vectors is spread evenly from threshold to 1."""
+    random = np.random.default_rng(seed)
+    near = vectors[np.unique(random.integers(0, len(vectors), most))]
+    aside = random.normal(size=near.shape)
+    aside -= (aside * near).sum(1, keepdims=True) * near
+    norm = np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = np.where(norm > 1e-9, random.uniform(threshold, 1.0, (len(near), 1)), 1.0)  # one dimension has nothing aside
+    return cosine * near + np.sqrt(1 - cosine**2) * aside / np.maximum(norm, 1e-9)
+
+
 def range_links(graph: Graph, own: np.ndarray, queries: np.ndarray, threshold: float, take) -> float:
     """Hand all links of queries into the shard to take(query places, shard rows); own: the shard's vectors in double precision.
 
-    Returns the audited recall of the beam that was used.
+    Returns the audited recall of the beam that was used; 1 for a scan.
     """
     n = len(own)
 
@@ -201,44 +218,39 @@ def range_links(graph: Graph, own: np.ndarray, queries: np.ndarray, threshold: f
                 a, b = np.nonzero(queries[part] @ own.T >= threshold)
                 take(part[a], b)
 
-    if n <= 4 * FIRST_BEAM:
-        scan(np.arange(len(queries)))
-        return 1.0
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    truth = (queries[sample] @ own.T >= threshold).sum(1)
-    beam, open_, reached = FIRST_BEAM, np.arange(len(queries)), 1.0
-    low = queries.astype(np.float32)
-
-    def beam_links(places, beam):
-        """Links of these queries, and whether each beam was full of them."""
+    def beam_links(asked, beam):
+        """Links of these vectors, and whether each beam was full of them."""
         a, b, full = [], [], []
-        for k in range(0, len(places), 1024):
-            part = places[k : k + 1024]
-            ids, sims = graph.nearest(low[part], beam)
+        for k in range(0, len(asked), 1024):
+            part = asked[k : k + 1024]
+            ids, sims = graph.nearest(part.astype(np.float32), beam)
             i, j = np.nonzero(sims >= threshold - 1e-4)
             row = graph.order[ids[i, j]]
-            good = np.einsum("ij,ij->i", queries[part[i]], own[row]) >= threshold
-            a.append(part[i[good]])
+            good = np.einsum("ij,ij->i", part[i], own[row]) >= threshold
+            a.append(k + i[good])
             b.append(row[good])
             full.append(sims[:, -1] >= threshold - 1e-4)
         return np.concatenate(a), np.concatenate(b), np.concatenate(full)
 
-    while True:  # the beam that the audit accepts; saturated queries are not its matter
-        a, _, full = beam_links(sample, beam)
-        found = np.bincount(a, minlength=len(queries))[sample]
-        due = truth[~full].sum()
-        reached = found[~full].sum() / due if due else 1.0
-        if reached >= RECALL or 4 * beam >= n:
-            break
-        beam *= 2
-    while len(open_) and 4 * beam < n:
-        a, b, full = beam_links(open_, beam)
-        again = np.zeros(len(queries), bool)
-        again[open_[full]] = True
-        take(a[~again[a]], b[~again[a]])
+    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
+    audited = np.concatenate([queries[sample], planted(own, threshold, AUDITED)])
+    beam, open_, reached = FIRST_BEAM, np.arange(len(queries)), 1.0
+    if SCAN_PART * beam < n:
+        truth = (audited @ own.T >= threshold).sum(1)
+        while SCAN_PART * beam < n:  # the beam that the audit accepts; saturated queries are not its matter
+            a, _, full = beam_links(audited, beam)
+            due = truth[~full].sum()
+            reached = np.bincount(a, minlength=len(audited))[~full].sum() / due if due else 1.0
+            if reached >= RECALL:
+                break
+            beam *= 2
+    least = reached if SCAN_PART * beam < n else 1.0
+    while len(open_) and SCAN_PART * beam < n:
+        a, b, full = beam_links(queries[open_], beam)
+        take(open_[a[~full[a]]], b[~full[a]])
         open_, beam = open_[full], 4 * beam
     scan(open_)
-    return float(reached)
+    return float(least)
 
 
 def _pack(classes: DataFrame, by: str, make, name: str) -> DataFrame:
@@ -246,20 +258,23 @@ def _pack(classes: DataFrame, by: str, make, name: str) -> DataFrame:
 
     def pack(batches):
         def flush(key, rows):
-            rows.sort()
-            vectors = np.array([r[2] for r in rows], np.float64)
-            made = make(_normalised(vectors)) if make else b""
-            blobs = [np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.int64).tobytes(), _normalised(vectors).tobytes(), made]
+            ids, counts = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+            order = np.argsort(ids)
+            vectors = _normalised(np.stack([r[2] for r in rows])[order])
+            made = make(vectors) if make else b""
+            blobs = [ids[order].tobytes(), counts[order].tobytes(), vectors.tobytes(), made]
             return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["dim", by, f"{name}_ids", f"{name}_counts", f"{name}_vectors", f"{name}_graph"])
 
         now, rows = None, []
         for batch in batches:
-            for dim, part, rep, n, v in zip(*(batch.column(c).to_pylist() for c in ("dim", by, "rep", "n", "v"))):
+            v = batch.column("v")
+            held, ends = v.flatten().to_numpy(zero_copy_only=False), np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))
+            for end, dim, part, rep, n in zip(ends.tolist(), *(batch.column(c).to_pylist() for c in ("dim", by, "rep", "n"))):
                 if (dim, part) != now:
                     if rows:
                         yield flush(now, rows)
                     now, rows = (dim, part), []
-                rows.append((rep, n, v))
+                rows.append((rep, n, held[end - dim : end]))
         if rows:
             yield flush(now, rows)
 
@@ -267,15 +282,16 @@ def _pack(classes: DataFrame, by: str, make, name: str) -> DataFrame:
     return dealt.mapInArrow(pack, f"dim int, {by} int, {name}_ids binary, {name}_counts binary, {name}_vectors binary, {name}_graph binary")
 
 
-def vector_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, shards: int = SHARDS) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of embeddings."""
+def vector_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, shards: int = SHARDS, on_recall: Callable[[float], None] | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of embeddings; on_recall is given the least audited recall."""
     own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = own.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0)).withColumn("v", F.transform("v", lambda x: x + 0.0))
     classes = valid.dropDuplicates(["vec_id", "v"]).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = written(classes.withColumn("dim", F.size("v")), "classes")
-    n = classes.count()
-    shards, blocks = max(shards, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK_ROWS))
+    # A vector stands in its shard in both precisions, beside its links.
+    size = classes.agg(F.coalesce(F.sum(12 * F.col("dim") + 200), F.lit(0)).alias("shard"), F.coalesce(F.sum(8 * F.col("dim") + 16), F.lit(0)).alias("block")).first()
+    shards, blocks = max(shards, -(-size["shard"] // SHARD_BYTES)), max(1, -(-size["block"] // BLOCK_BYTES))
     part = lambda salt, k: F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(k)).cast("int")
     dealt = classes.withColumn("shard", part(1, shards)).withColumn("block", part(2, blocks))
     index = written(_pack(dealt, "shard", lambda v: Graph(v).packed(), "shard"), "graphs")
@@ -299,11 +315,17 @@ def vector_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, shard
                     np.add.at(counts, a, weights[b])
                     contract(labels, q[a], x[b])
 
-                range_links(Graph.unpacked(row["shard_graph"]), vectors, queries, threshold, take)
+                recall = range_links(Graph.unpacked(row["shard_graph"]), vectors, queries, threshold, take)
                 has = np.flatnonzero(labels != np.arange(len(nodes)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids, nodes[has]]), pa.array(np.r_[counts, np.zeros(len(has), np.int64)]), pa.array(np.r_[ids, nodes[labels[has]]])], ["src", "n_links", "dst"])
-
-    found = written(met.mapInArrow(look_up, "src long, n_links long, dst long"), "vector_links")
+                recalls = pa.array(np.full(len(ids) + len(has), recall))
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids, nodes[has]]), pa.array(np.r_[counts, np.zeros(len(has), np.int64)]), pa.array(np.r_[ids, nodes[labels[has]]]), recalls], ["src", "n_links", "dst", "recall"])
+
+    found = written(met.mapInArrow(look_up, "src long, n_links long, dst long, recall double"), "vector_links")
+    recall = found.agg(F.coalesce(F.min("recall"), F.lit(1.0))).first()[0]
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"the graphs' audited recall is {recall}")
+    if on_recall:
+        on_recall(recall)
     labels = components(found.where("src <> dst").select("src", "dst"), written)
     per_class = classes.join(found.groupBy("src").agg(F.sum("n_links").alias("links")).withColumnRenamed("src", "rep"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = per_class.select("v", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
