@@ -7,7 +7,10 @@ of which by pigeonhole one at least has no more than one error, and each chunk i
 symbols left out. MOST_ERRORS lies over six standard deviations above the mean at the least similarity.
 A `Measure` holds what belongs together: words a shingle, least similarity, symbols and errors.
 
-Sets that share a key are a family (components of member-to-smallest edges, linear in a group's size).
+Sets that share a key are candidates, whose signatures are compared before anything else: a bucket's members with
+its smallest one, and those too far from it with all others of the bucket, in blocks. Pairs within the distance
+make families (a spanning forest of them for each bucket, linear in its size), so that boilerplate, which lets
+many signatures share a key or two, does not chain a corpus together.
 Families are dealt in blocks of bounded size; within a block, and between blocks of which the members
 are not yet known to be connected, all pairs are compared on their full shingle sets, and only a spanning
 forest of the links leaves the task. A hot group thus costs several tasks, never one, and no pair is emitted
@@ -15,7 +18,8 @@ that adds nothing to the components.
 
 Null or empty text, or one without words: an empty set, linked with nothing. Null doc_id: left out of all
 groups, kept with a null component. Repeated rows: one result each; rows that share a doc_id are one
-document, which links as any of its texts does. Very long texts: whole. Empty table: no rows.
+document, which links as any of its texts does. Ties at the least similarity: links. Very long texts: whole. Other
+columns, whatever their names, are not read, and kept as they are by `first_of_each`. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from .common import lean, table, texts, written
 SHINGLE, PER_CENT = 3, 85
 SYMBOLS, MOST_ERRORS = 64, 27
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 4096, 4_000_000
+#: Signatures of a bucket that one task compares with as many others.
+BLOCK_SIGNATURES = 4096
 
 _WORD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,18 +127,20 @@ def chunk_keys(sig: np.ndarray, measure: Measure = OP8) -> np.ndarray:
 
 
 def _signed(documents: DataFrame, measure: Measure) -> DataFrame:
-    """Per row: doc, number of shingles, a hash of the set, and the keys."""
+    """Per row: doc, number of shingles, a hash of the set, the signature, and the keys."""
 
     def sign(batches):
         of = Shingler(measure.shingle)
         for batch in batches:
             sets = [of(x) for x in batch.column("text").to_pylist()]
-            keys = chunk_keys(np.array([signature(s, measure=measure) for s in sets]).reshape(len(sets), measure.symbols), measure)
+            signatures = np.array([signature(s, measure=measure) for s in sets]).reshape(len(sets), measure.symbols)
+            keys = chunk_keys(signatures, measure)
             columns = [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())]
             columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "n_shingles", "set_hash", "keys"])
+            columns.append(pa.array([x.tobytes() for x in signatures.astype("<u2")], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "n_shingles", "set_hash", "keys", "signature"])
 
-    return texts(documents).mapInArrow(lean(sign), "doc long, n_shingles long, set_hash binary, keys array<long>")
+    return texts(documents).mapInArrow(lean(sign), "doc long, n_shingles long, set_hash binary, keys array<long>, signature binary")
 
 
 class _Forest:
@@ -215,12 +223,98 @@ def _blocks(members: DataFrame) -> DataFrame:
     return slices.withColumn("block", F.struct("slice", place.cast("long").alias("k"))).drop("slice")
 
 
+def _unpacked(column, measure: Measure) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, measure.symbols)
+
+
+def _distances(pairs: DataFrame, measure: Measure) -> DataFrame:
+    """(src, dst, near) of pairs with both signatures."""
+
+    def measured(batches):
+        for batch in batches:
+            errors = (_unpacked(batch.column("x"), measure) != _unpacked(batch.column("y"), measure)).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst"), pa.array(errors <= measure.most_errors)], ["src", "dst", "near"])
+
+    return pairs.select("src", "dst", "x", "y").mapInArrow(lean(measured), "src long, dst long, near boolean")
+
+
+def near_signatures(docs: np.ndarray, signatures: np.ndarray, far: np.ndarray, second: np.ndarray, most_errors: int) -> list[tuple[int, int]]:
+    """A forest of the pairs that differ in at most so many symbols, one of each pair being far from its bucket's smallest.
+
+    Where second marks some of them, pairs are of one that it marks and one that it does not.
+    """
+    forest, out = _Forest(len(docs)), []
+    split = second.any() and not second.all()
+    rows = np.flatnonzero(far)
+    for k in range(0, len(rows), 64):
+        part = rows[k : k + 64]
+        near = (signatures[part][:, None, :] != signatures[None, :, :]).sum(2) <= most_errors
+        if split:
+            near &= second[part][:, None] != second[None, :]
+        for i, j in zip(*np.nonzero(near)):
+            if part[i] != j and forest.join(int(part[i]), int(j)):
+                out.append((int(docs[part[i]]), int(docs[j])))
+    return out
+
+
+def _met(dealt: DataFrame, measure: Measure) -> DataFrame:
+    """Near pairs of each bin (bucket, i, j): of block i with itself or with block j."""
+
+    def meet(batches):
+        now, held = None, []
+
+        def flush():
+            docs, far, second, signatures = (np.concatenate(x) for x in zip(*held))
+            found = near_signatures(docs, signatures, far, second, measure.most_errors)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else [(), ()])], ["src", "dst"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins, docs, far, second = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bin", "doc", "far", "second"))
+            signatures = _unpacked(batch.column("signature"), measure)
+            edges = [0, *(np.flatnonzero(bins[1:] != bins[:-1]) + 1).tolist(), len(bins)]
+            for a, b in zip(edges, edges[1:]):
+                if bins[a] != now:
+                    if held:
+                        yield flush()
+                    now, held = bins[a], []
+                held.append((docs[a:b], far[a:b], second[a:b], signatures[a:b]))
+        if held:
+            yield flush()
+
+    parts = dealt.repartition("bin").sortWithinPartitions("bin")
+    return parts.select("bin", "doc", "far", "second", "signature").mapInArrow(lean(meet), "src long, dst long")
+
+
+def candidates(signed: DataFrame, measure: Measure) -> DataFrame:
+    """(src, dst): pairs within the signature distance that connect whatever such pairs connect; signed has doc, keys and signature."""
+    keys = signed.select("doc", F.explode("keys").alias("key"))
+    members = [F.bit_xor(F.xxhash64("doc", F.lit(salt))).alias(f"of{salt}") for salt in (1, 2)]
+    buckets = keys.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("n"), *members).where("n > 1")
+    # Near copies share many keys: of buckets with the same members (by 128 bits) one is enough.
+    buckets = buckets.groupBy("least", "n", "of1", "of2").agg(F.min("key").alias("key")).select("key", "least", "n")
+    stars = written(keys.join(buckets, "key").where("doc <> least"), "stars")
+    signature = signed.select("doc", "signature")
+    pairs = stars.select(F.col("doc").alias("src"), F.col("least").alias("dst")).distinct()
+    pairs = pairs.join(signature.select(F.col("doc").alias("src"), F.col("signature").alias("x")), "src").join(signature.select(F.col("doc").alias("dst"), F.col("signature").alias("y")), "dst")
+    measured = written(_distances(pairs, measure), "distances")
+    near, far = (measured.where(c).select("src", "dst") for c in ("near", "not near"))
+    # Buckets of three or more with a member that is far from the smallest: whatever else is near in them.
+    marked = stars.where("n > 2").join(far.select(F.col("src").alias("doc"), F.col("dst").alias("least"), F.lit(True).alias("far")), ["doc", "least"], "left")
+    marked = marked.withColumn("far", F.coalesce("far", F.lit(False)))
+    open_ = marked.groupBy("key").agg(F.bool_or("far").alias("open")).where("open").select("key")
+    marked = marked.join(open_, "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK_SIGNATURES).cast("int"))
+    marked = marked.withColumn("own", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select("doc", "far", F.xxhash64("key", low, high).alias("bin"), (F.col("own") > F.col("other")).alias("second"))
+    return near.union(_met(dealt.join(signature, "doc"), measure))
+
+
 def links(text: DataFrame, signed: DataFrame, measure: Measure) -> DataFrame:
     """(src, dst): links that connect whatever pairs of at least the measure's similarity connect, among distinct sets; text has doc and text."""
-    keys = signed.select("doc", F.explode("keys").alias("key"))
-    least = keys.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    stars = keys.join(least, "key").where("doc <> least").select(F.col("doc").alias("src"), F.col("least").alias("dst")).distinct()
-    family = components(stars, written)
+    family = components(candidates(signed, measure), written)
     members = family.select(F.col("node").alias("doc"), F.col("component").alias("family")).join(signed.select("doc", "n_shingles"), "doc")
     members = written(members.join(members.groupBy("family").agg(F.count("*").alias("members")), "family"), "families")
     blocks = written(_blocks(members.withColumn("group", F.col("doc"))), "blocks")
@@ -263,10 +357,19 @@ def near_duplicates(documents: DataFrame, measure: Measure = OP8) -> DataFrame:
 
 
 def first_of_each(documents: DataFrame, measure: Measure = OP8) -> DataFrame:
-    """The rows of documents that are the smallest of their group; rows without an id stay."""
-    kept = near_duplicates(documents, measure).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).hint("merge")
-    ided = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return ided.union(documents.where("doc_id is null")).select(documents.columns)
+    """The rows of documents that are the smallest of their group; rows without an id stay.
+
+    Rows that share a doc_id stay or go together; of those whose texts are equal too one stays, the smallest by a hash of
+    all columns (but maps, which have none).
+    """
+    kept = near_duplicates(documents, measure).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id"))
+    hashed = [c for c, kind in documents.dtypes if "map<" not in kind]
+    own = documents.where("doc_id is not null").withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+    rows = own.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.min("_row").alias("_kept_row"))
+    rows = rows.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").select(F.col("doc_id").alias("_kept_id"), "_kept_row").hint("merge")
+    ided = own.join(rows, (F.col("doc_id") == F.col("_kept_id")) & (F.col("_row") == F.col("_kept_row")), "left_semi").dropDuplicates(["doc_id", "_row"])
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    return ided.select(*columns).union(documents.where("doc_id is null").select(*columns))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
