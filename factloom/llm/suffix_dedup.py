@@ -7,20 +7,23 @@ too many suffixes for one array, so texts are first brought together where they
 2. Each string of LENGTH bytes has an anchor, the least hash of its 32-byte grams, leftmost at ties, which
    every occurrence of the string has in the same place. Neighbouring strings mostly share one, so a text is
    cut into runs, one for about 35 bytes, known by hashes of the anchor and of the run's whole stretch.
-3. Runs meet by anchor. Those whose whole stretch came earlier are removed; of the others, those that also
-   agree beyond the anchor, on one side as far as each of its strings reaches, are asked for.
+3. Runs meet by anchor, in buckets of bounded bytes. Those whose whole stretch came earlier are removed, by two
+   independent 64-bit hashes of it, beside the anchor's; of the others, those that also agree beyond the anchor, on
+   one side as far as each of its strings reaches, are asked for.
 4. The stretches asked for are dealt by what they share, and each block gets a suffix array: suffixes that
    are smaller than their successors are sorted, the rest induced by bucket scans, and adjacent common
    prefixes of LENGTH bytes mark strings that came earlier. A key with many stretches is split by more
-   of what they share, down to single strings, whose first is an aggregate; no task gathers one.
+   of what they share, down to single strings, whose first is an aggregate by their bytes; no task gathers one.
 
 Rows are told apart by doc_id. Null text: empty. Null doc_id: compared with nothing, nothing removed.
 Repeated rows and rows that share a doc_id: one result, for the text with the smallest hash. Texts under
-LENGTH bytes keep all. Very long texts are read whole. Empty table: no rows.
+LENGTH bytes keep all. Very long texts are read whole. Ties: of equal strings the one of the smallest doc_id and
+start is the first. Other columns, whatever their names, are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 
@@ -29,19 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table, tasks, texts, written
+from .common import shared_folder, table, tasks, texts, written
 from .suffix_array import shared_prefixes, suffix_array, words_at
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # places of the anchor in a string: 0 to SPAN - 1
 HALF = (SPAN - 1) // 2
-BATCH_BYTES, BLOCK_BYTES, MOST_OF_A_KEY = 4 << 20, 4 << 20, 20_000
+#: Texts whose runs leave a task together, and parts of them whose arrays fit a processor's cache, as do blocks of stretches.
+BATCH_BYTES, PART_BYTES, BLOCK_BYTES = 4 << 20, 256 << 10, 256 << 10
+MOST_OF_A_KEY = 20_000
+#: Text whose runs one task meets, and buckets that it takes one after the other.
+MEET_BYTES, BUCKETS_A_TASK = 128 << 20, 8
 
-_RUN = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("right", "<u4"), ("left", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("place", "u1"), ("more", "u1")])
+_RUN = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("check", "<u8"), ("right", "<u4"), ("left", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("place", "u1"), ("more", "u1")])
 _RANDOM = np.random.default_rng(5)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
+_BYTE_CHECK = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE_CHECK = np.uint64(0xD1342543DE82EF95)
+_INVERSE_CHECK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _ODD = _RANDOM.integers(1, 1 << 63, GRAM // 8, dtype=np.uint64) | np.uint64(1)
 
 
@@ -85,13 +95,17 @@ def runs(docs: np.ndarray, raw: list[bytes]) -> np.ndarray:
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])])
     last = np.r_[first[1:], len(own)] - 1
     a, p0, p1, doc = at[first], own[first], own[last], owner[first]
-    sums = np.zeros(len(t) + 1, np.uint64)
-    np.cumsum(_BYTE[t] * _powers(_BASE, len(t)), out=sums[1:])
-    back = _powers(_INVERSE, len(t) + 1)
-    of = lambda s, e: _mixed((sums[e] - sums[s]) * back[s])
+
+    def hashes(byte, base, inverse):
+        sums, back = np.zeros(len(t) + 1, np.uint64), _powers(inverse, len(t) + 1)
+        np.cumsum(byte[t] * _powers(base, len(t)), out=sums[1:])
+        return lambda s, e: _mixed((sums[e] - sums[s]) * back[s])
+
+    of = hashes(_BYTE, _BASE, _INVERSE)
     out = np.zeros(len(first), _RUN)
     out["anchor"] = code[a]
     out["whole"] = _mixed(of(p0, p1 + LENGTH) + (a - p0).astype(np.uint64) * np.uint64(977) + (p1 - p0).astype(np.uint64))
+    out["check"] = hashes(_BYTE_CHECK, _BASE_CHECK, _INVERSE_CHECK)(p0, p1 + LENGTH)
     has_right, has_left = a - p1 <= HALF, a - p0 > HALF
     out["right"] = np.where(has_right, of(a, np.where(has_right, a + LENGTH - HALF, a)) >> np.uint64(33) | np.uint64(1), 0)
     out["left"] = np.where(has_left, of(np.where(has_left, a - HALF - 1, a), a) >> np.uint64(33) | np.uint64(1), 0)
@@ -101,9 +115,9 @@ def runs(docs: np.ndarray, raw: list[bytes]) -> np.ndarray:
 
 def _firsts(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted by anchor, stretch and place; and which are not the first of their stretch."""
-    run = run[np.lexsort((run["start"], run["doc"], run["whole"], run["anchor"]))]
-    again = np.r_[False, (run["anchor"][1:] == run["anchor"][:-1]) & (run["whole"][1:] == run["whole"][:-1])] if len(run) else np.empty(0, bool)
-    return run, again
+    run = run[np.lexsort((run["start"], run["doc"], run["check"], run["whole"], run["anchor"]))]
+    same = [run[c][1:] == run[c][:-1] for c in ("anchor", "whole", "check")]
+    return run, np.r_[False, same[0] & same[1] & same[2]] if len(run) else np.empty(0, bool)
 
 
 _FOUND = "doc long, start long, stop long, key long, anchor_at long, low int, high int"
@@ -119,7 +133,9 @@ def _scanned(firsts: DataFrame, buckets: int) -> DataFrame:
 
     def scan(batches):
         def emit(docs, raw):
-            run, again = _firsts(runs(np.array(docs, np.int64), raw))
+            ids, part = np.array(docs, np.int64), np.cumsum([len(x) for x in raw]) // PART_BYTES
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(raw)]
+            run, again = _firsts(np.concatenate([runs(ids[a:b], raw[a:b]) for a, b in zip(cuts, cuts[1:])]))
             # What repeats within a batch is pre-aggregated: its copies need only say that they go.
             gone, run = run[again], run[~again]
             bucket = (run["anchor"] >> np.uint64(20)) % np.uint64(buckets)
@@ -161,7 +177,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
-def _met(scanned: DataFrame, buckets: int) -> DataFrame:
+def _met(scanned: DataFrame, partitions: int) -> DataFrame:
     """Stretches that go (low null) and stretches that are asked for, with the key of what they share."""
 
     def shared(run: np.ndarray, side: str) -> np.ndarray:
@@ -210,7 +226,7 @@ def _met(scanned: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return scanned.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _FOUND)
+    return scanned.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _FOUND)
 
 
 _PIECE = "key long, doc long, start long, anchor_at long, low int, high int, piece binary"
@@ -315,8 +331,9 @@ def _resolved(pieces: DataFrame) -> DataFrame:
         out.append(_sorted_blocks(pieces.join(size.where(F.col("n") <= MOST_OF_A_KEY), "key", "left_semi")))
         many = pieces.join(hot, "key", "left_semi")
         single = many.where("low = high")
-        first = single.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("first"))
-        out.append(single.join(first, "key").where(F.struct("doc", "start") != F.col("first")).select("doc", "start", (F.col("start") + LENGTH).alias("stop")))
+        # a single string is its piece: these are equal byte by byte
+        first = single.groupBy("key", "piece").agg(F.min(F.struct("doc", "start")).alias("first"))
+        out.append(single.join(first, ["key", "piece"]).where(F.struct("doc", "start") != F.col("first")).select("doc", "start", (F.col("start") + LENGTH).alias("stop")))
         pieces = written(_halves(many.where("low < high")), "halves")
 
 
@@ -355,34 +372,42 @@ def _kept(firsts: DataFrame, spans: DataFrame) -> DataFrame:
     return firsts.join(lists, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _by_document(spark: SparkSession, df: DataFrame, buckets: int) -> DataFrame:
-    """df, which is dealt to so many partitions by doc_id, as a table in the shared folder, bucketed alike: later joins on it move the other side alone."""
-    name = f"suffix_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{scratch(spark)}/{name}").format("parquet").saveAsTable(name)
-    return spark.table(name)
+@contextlib.contextmanager
+def _by_document(df: DataFrame, buckets: int):
+    """df, which is dealt to so many partitions by doc_id, as a table in the shared folder, bucketed alike: joins on it move the other side alone.
+
+    The catalog forgets the table afterwards.
+    """
+    spark, name = df.sparkSession, f"suffix_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def substring_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document."""
-    spark = documents.sparkSession
     own = texts(documents).withColumn("h", F.sha2("text", 256))
     ids = own.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"))
     known = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h", "n_bytes")).alias("x")).select("doc_id", "x.*")
     copies = known.groupBy("h").agg(F.min("doc_id").alias("first"))
     known = written(known.join(copies, "h"), "known")
-    buckets = tasks(spark)
+    size = known.where("doc_id = first").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    partitions = max(tasks(documents.sparkSession), -(-size // MEET_BYTES))
     chosen = known.where("doc_id = first").select("doc_id", F.col("h").alias("own_h"))
     # The hashes are compared by an expression that the join does not take for a key: texts are dealt by doc_id once.
     same = F.when(F.col("h") == F.col("own_h"), True)
-    firsts = own.repartition(buckets, "doc_id").join(chosen, "doc_id").where(same).select("doc_id", "text").dropDuplicates(["doc_id"])
-    firsts = _by_document(spark, firsts, buckets)
-    met = written(_met(_scanned(firsts, buckets), buckets), "met")
-    pieces = written(_pieces(firsts, met.where("low is not null")), "pieces")
-    spans = met.where("low is null").select("doc", "start", "stop").union(_resolved(pieces))
+    firsts = own.repartition(partitions, "doc_id").join(chosen, "doc_id").where(same).select("doc_id", "text").dropDuplicates(["doc_id"])
     short = F.col("n_bytes") < LENGTH
     rest = known.where("doc_id <> first").select("doc_id", "n_bytes", F.when(short, 0).otherwise(F.col("n_bytes")).alias("n_removed"), F.when(short, 0).otherwise(1).cast("long").alias("n_spans"), F.when(short, F.col("h")).otherwise(F.sha2(F.lit(""), 256)).alias("kept_sha256"))
     nameless = ids.where("doc_id is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("h").alias("kept_sha256"))
-    return _kept(firsts, spans).union(rest).union(nameless)
+    with _by_document(firsts, partitions) as firsts:
+        met = written(_met(_scanned(firsts, BUCKETS_A_TASK * partitions), partitions), "met")
+        pieces = written(_pieces(firsts, met.where("low is not null")), "pieces")
+        spans = met.where("low is null").select("doc", "start", "stop").union(_resolved(pieces))
+        kept = written(_kept(firsts, spans), "kept")
+    return kept.union(rest).union(nameless)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
