@@ -1,6 +1,7 @@
 """Corpus operators against brute force, over texts with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import pickle
 import re
 import time
 import zlib
@@ -96,9 +97,10 @@ def test_token_counts_and_ids():
 
 
 def test_token_count_rows(documents, nothing):
-    rows = token_counts.token_counts(documents, bpe.vocabulary_path()).collect()
-    assert len(rows) == documents.count()
-    assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in rows)
+    rows, tok = token_counts.token_counts(documents, bpe.vocabulary_path()).collect(), Tokenizer.from_file(bpe.vocabulary_path())
+    of = {d: (len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 1024) for d, t in enumerate(TEXTS)}
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows if r["doc_id"] is not None) == sorted((d, *of[d]) for d in [*of, 4, 2])
+    assert sorted(r["n_tokens"] for r in rows if r["doc_id"] is None) == [0, of[0][1]]
     assert token_counts.token_counts(nothing, bpe.vocabulary_path()).count() == 0
 
 
@@ -161,6 +163,41 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert {d: (r["n_shingles"], r["component_id"], r["kept"]) for d, r in found.items()} == groups_by_brute_force(texts)
 
 
+def test_boilerplate_makes_no_families(spark, monkeypatch):
+    """Half of each text is the same: many share keys, yet none are candidates; near copies among them are, in bins of several blocks too."""
+    common, r = [f"c{i}" for i in range(120)], np.random.default_rng(3)
+    texts = {i: " ".join([*common, *(f"d{i}x{j}" for j in range(r.integers(90, 200)))]) for i in range(150)}
+    texts |= {200 + i: texts[i] + f" tail{i}" for i in range(0, 150, 10)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signed = near_dedup._signed(frame, near_dedup.OP8)
+    keys = [set(x["keys"]) for x in signed.collect()]
+    assert sum(bool(a & b) for k, a in enumerate(keys) for b in keys[:k]) > 500
+    for block in (near_dedup.BLOCK_SIGNATURES, 7):
+        monkeypatch.setattr(near_dedup, "BLOCK_SIGNATURES", block)
+        assert {tuple(sorted((x["src"], x["dst"]))) for x in near_dedup.candidates(signed, near_dedup.OP8).collect()} == {(i, 200 + i) for i in range(0, 150, 10)}
+
+
+def test_candidates_connect_all_near_signatures(spark):
+    """Against the distances of all pairs, with buckets whose smallest member is far from others."""
+    m, r = near_dedup.Measure(symbols=8, most_errors=2), np.random.default_rng(1)
+    sig = r.integers(0, 4, (300, 8)).astype(np.uint64)
+    rows = [(i, bytearray(s.astype("<u2").tobytes()), k.tolist()) for i, (s, k) in enumerate(zip(sig, near_dedup.chunk_keys(sig, m)))]
+    found = near_dedup.candidates(spark.createDataFrame(rows, "doc long, signature binary, keys array<long>"), m).collect()
+    near = (sig[:, None] != sig[None]).sum(2) <= 2
+    assert all(near[x["src"], x["dst"]] for x in found)
+    want, got = np.arange(300), np.arange(300)
+    vector_dedup.contract(want, *np.nonzero(near))
+    vector_dedup.contract(got, np.array([x["src"] for x in found]), np.array([x["dst"] for x in found]))
+    assert (want == got).all() and len(set(want)) > 3
+
+
+def test_first_of_each_keeps_texts_that_share_an_id(spark):
+    rows = [(1, A, "x"), (1, A, "y"), (1, B, "x"), (1, B, "x"), (2, A + " end", "x"), (3, None, None), (3, None, None), (3, None, "z"), (None, A, "x"), (None, A, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").repartition(4)
+    kept = sorted([(r["doc_id"] or 0, r["text"] or "") for r in near_dedup.first_of_each(frame).collect()])
+    assert kept == sorted([(1, A), (1, B), (3, ""), (0, A), (0, A)])
+
+
 def test_chunk_keys_keep_the_guarantee():
     r = np.random.default_rng(4)
     sig = r.integers(0, 1 << 16, (200, near_dedup.SYMBOLS)).astype(np.uint64)
@@ -196,7 +233,125 @@ def test_contamination(spark, documents, nothing):
     assert cleaned.columns == documents.columns
     assert decontamination.contamination(cleaned, bench).where("contaminated").count() == 0
     with pytest.raises(ValueError):
-        decontamination.automaton(bench, max_words=3)
+        decontamination.automaton(bench, max_bytes=1000)
+
+
+@pytest.mark.parametrize("window", [3, 10])
+def test_automaton_against_brute_force(window):
+    r = np.random.default_rng(window)
+    for letters in ("ab", "abc", "abcdefgh") * 60:
+        some = lambda n: " ".join(r.choice(list(letters), n))
+        items = [(f"i{k}", some(r.integers(0, 14))) for k in range(r.integers(0, 5))]
+        held = pickle.loads(pickle.dumps(decontamination.Automaton(items, window)))
+        own = (text := some(r.integers(0, 40))).split()
+        hit, names = set(), set()
+        for name, item in items:
+            w = item.split()
+            for g in {tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1))} if w else ():
+                for i in range(len(own) - len(g) + 1):
+                    if tuple(own[i : i + len(g)]) == g:
+                        hit |= set(range(i, i + len(g)))
+                        names.add(name)
+        n, found, found_names = held.match(text)
+        assert (n, set() if found is None else set(np.flatnonzero(found)), found_names) == (len(own), hit, names)
+
+
+def test_automaton_of_many_words(spark):
+    """The size that is checked is that of the words which are built; an automaton at the limit is no larger than it says."""
+    items = [(f"i{k}", "-".join(f"w{k * 50 + j}.x" for j in range(50))) for k in range(2000)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    words = sum(len(decontamination.words(t)) for _, t in items)
+    limit = decontamination.BYTES_A_WORD * words + decontamination.BYTES_A_DISTINCT_WORD * (words // 2 + 1)
+    with pytest.raises(ValueError, match=str(words)):
+        decontamination.automaton(bench, max_bytes=limit)
+    held = decontamination.automaton(bench)
+    assert len(pickle.dumps(held)) < limit
+    assert held.match(f"a {items[7][1]} b")[2] == {"i7"} and held.match("w1 x w1 x w1 x w1 x w1 x w1 x")[1] is None
+
+
+def lexed_by_brute_force(lines):
+    """Literals of quoted assignments whose name reaches a sensitive one, by trying all paths from name to name."""
+    copies, out = {(v, n) for n, v, quoted in lines if not quoted}, set()
+    for name, value, quoted in lines:
+        reached, grown = {name}, True
+        while grown:
+            grown = {b for a, b in copies if a in reached} - reached
+            reached |= grown
+        if quoted and max(map(secrets.sensitivity, reached)) + secrets.plausibility(value) >= secrets.THRESHOLD + 0.7:
+            out.add(value)
+    return out
+
+
+def test_constants_reach_secrets_by_any_path():
+    r = np.random.default_rng(2)
+    names = [*(f"name_{c}" for c in "abcdefgh"), "db_password", "api_key", "colour"]
+    for _ in range(300):
+        lines = [(str(r.choice(names)), f"Value{r.integers(10**9)}xyz", True) if r.random() < 0.4 else (str(r.choice(names)), str(r.choice(names)), False) for _ in range(r.integers(1, 14))]
+        lines += [(n, "aaaaaaaaaa", True) for n in names]  # each is a name, whatever else it may look like
+        text = "\n".join(f'{n} = "{v}"' if quoted else f"{n} = {v}" for n, v, quoted in lines)
+        assert {text[a:b] for a, b in secrets.lexed(text)} == lexed_by_brute_force(lines), text
+
+
+def test_names_of_any_length():
+    text = "x" * 500 + '_password   = "hunter2hunter2"'
+    assert [text[a:b] for a, b in secrets.lexed(text)] == ["hunter2hunter2"]
+
+
+@pytest.mark.parametrize("of", [lambda k: f"n{k} = n{k + 1}\n", lambda k: f"n{k} = n0\nn0 = n{k}\n", lambda k: f"password = n{k}\nn{k} = n{k + 1}\n"])
+def test_chains_of_constants_in_time_that_grows_with_the_text(of):
+    began = time.process_time()
+    secrets.lexed("".join(map(of, range(60_000))))
+    assert time.process_time() - began < 20
+
+
+def digest(spans, kinds):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], kinds.index(s[2]), s[1]))).encode()).hexdigest()
+
+
+def test_rows_of_scans(documents):
+    """Nulls, empty texts, repeated rows and clashing columns: each row has what its text alone gives."""
+    patterns = {"assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8), "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32)}
+    of = {}
+    for doc, text in [*enumerate(TEXTS), (None, None)]:
+        spans = [(*m.span(), k) for k, (p, ok) in patterns.items() for m in re.finditer(p, text or "", re.A | (re.I if k == "assign" else 0)) if ok(m)]
+        of[doc] = (*(sum(s[2] == k for s in spans) for k in patterns), digest(spans, list(patterns)))
+    rows = secrets.secret_scan(documents).collect()
+    assert sorted((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in rows if r["doc_id"] is not None) == sorted((d, *of[d]) for d in [*range(len(TEXTS)), 4, 2])
+    assert of[12][0] == of[12][2] == 1
+    assert sum(r["doc_id"] is None for r in rows) == sum(r["doc_id"] is None for r in pii.personal_data(documents).collect()) == 2
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {(r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"], r["spans"]) for r in pii.personal_data(documents).collect()} == {(0, 0, 0, 0, empty, "")}
+    assert {(r["n_blocks"], r["n_licenses"], r["licenses"], r["spans"]) for r in licenses.license_scan(documents).collect()} == {(0, 0, "", "")}
+
+
+def base_by_regex(text):
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    found = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    found += [(*m.span(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return found + [(*m.span(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_personal_data_against_the_base_patterns():
+    r = np.random.default_rng(5)
+    parts = [*"aZ09.@+-() :%_\n", "1.2.3.4", "4111 1111 1111 1111", "+1 555 0100 200", "x@y.de", "é", "iban", "account", "://", "12", "255", "İ"]
+    for _ in range(20_000):
+        text = "".join(r.choice(parts, r.integers(0, 25)))
+        assert sorted(s for s in set(pii.personal_spans(text)) if s[2] in pii.BASE) == sorted(set(base_by_regex(text))), text
+
+
+@pytest.mark.parametrize("unit", ["account ", "account\t", " ", "iban: ", "iban", "a:", "+1(", "a@", "@a.", "1.", "+", "://", "://a:b", "1-", "account #", "9", "a", "(", "account" + " " * 200_000])
+def test_personal_data_in_time_that_grows_with_the_text(unit):
+    for lead in ("", "account", "https://a:", "iban"):
+        began = time.process_time()
+        pii.personal_spans(lead + unit * (200_000 // len(unit) + 1))
+        assert time.process_time() - began < 5
+
+
+def test_logins_of_any_length():
+    text = f"https://{'u' * 3000}:{'p' * 3000}@host/"
+    assert (8, 8 + 6001, "login") in pii.personal_spans(text)
 
 
 def test_secrets(documents, nothing):
@@ -248,10 +403,36 @@ def test_quality(spark):
     assert ((rows.score >= 0) & (rows.score <= 1)).all()
 
 
+def test_class_prior_comes_from_positives_and_unlabelled_rows():
+    """Figures of two classes, of which few positives are labelled and none of the other class; the share is not to be read off the labels."""
+    r = np.random.default_rng(7)
+
+    class Local(quality.Unlabelled):
+        def __init__(self, rows):
+            self.rows = rows
+            super().__init__(None)
+
+        def total(self, of, size):
+            return np.asarray(of(self.rows), float)
+
+    for share in (0.3, 0.6, 0.85):
+        own = r.random(20_000) < share
+        rows = r.normal(size=(20_000, quality.WIDTH)) + 1.2 * own[:, None] * (np.arange(quality.WIDTH) < 8)
+        u = Local(rows)
+        p = quality._scaled(rows[own][:800], u.mean, u.scale)
+        prior = quality.class_prior(p, u, first := quality.fit(p, u, 0.5))
+        assert abs(prior - share) < 0.06
+        weights = quality.fit(p, u, prior, first)
+        assert ((quality._scaled(rows, u.mean, u.scale) @ weights >= 0) == own).mean() > 0.94
+        assert u.risk(weights)[0] >= prior * np.logaddexp(0, p @ weights).mean()  # the negatives' part
+
+
 def test_quality_of_odd_rows(spark, documents, nothing):
     labels = spark.createDataFrame([(0, 1, 0), (4, 1, 0), (5, 0, 0), (None, 1, None), (1, None, None), (7, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.quality_scores(documents, labels).count() == documents.count()
     assert quality.quality_scores(documents, labels.limit(0)).where("score < 1").count() == 0
+    assert quality.accepted(documents, labels.limit(0)).count() == documents.count() and quality.accepted(nothing, labels).count() == 0
+    assert quality.accepted(documents, labels).columns == documents.columns
     assert quality.quality_scores(nothing, labels).count() == 0
 
 
@@ -263,7 +444,9 @@ def test_vector_duplicates(spark):
     x[300] = 3 * x[301]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] + [1.0] * 15), (703, [None] + [1.0] * 15), (704, []), (705, [1.0, 2.0]), (200, x[200].tolist())]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = {r["vec_id"]: r for r in vector_dedup.vector_duplicates(frame, shards=2).collect()}
+    recalls, frame = [], frame.withColumn("rep", frame.vec_id % 3).withColumn("n", frame.vec_id).withColumn("v", frame.vec_id)
+    found = {r["vec_id"]: r for r in vector_dedup.vector_duplicates(frame, shards=2, on_recall=recalls.append).collect()}
+    assert len(recalls) == 1 and recalls[0] >= vector_dedup.RECALL
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = unit @ unit.T >= 0.95
     label = np.arange(700)
@@ -273,6 +456,21 @@ def test_vector_duplicates(spark):
     assert vector_dedup.vector_duplicates(frame.limit(0)).count() == 0
 
 
+def test_audits_always_have_links():
+    """No two vectors are near: the planted ones still hold the beam to its recall."""
+    r = np.random.default_rng(9)
+    x = vector_dedup._normalised(r.normal(size=(3000, 32)))
+    q = vector_dedup.planted(x, 0.95, 128)
+    best = (q @ x.T).max(1)
+    assert len(q) > 100 and (best >= 0.95 - 1e-9).all() and np.allclose(np.linalg.norm(q, axis=1), 1)
+    assert vector_dedup.range_links(vector_dedup.Graph(x), x, x, 0.95, lambda a, b: None) >= vector_dedup.RECALL
+    blind = vector_dedup.Graph(x)
+    blind.links[0][:] = -1  # a graph that leads nowhere fails the audit until its shard is scanned
+    got = set()
+    assert vector_dedup.range_links(blind, x, x, 0.95, lambda a, b: got.update(zip(a.tolist(), b.tolist()))) == 1.0
+    assert {(i, i) for i in range(3000)} <= got
+
+
 def test_graph_recall():
     r = np.random.default_rng(8)
     base = r.normal(size=(2000, 32))
