@@ -57,7 +57,7 @@ def semantic_context(index: DataFrame, terms: list[str], ranked: DataFrame, cost
     `ranked` is (id, rank); a candidate over what is left of the budget is passed over.
     """
     budget = max(LEAST_BUDGET, min(budget, MOST_BUDGET))
-    fused = retrieval.fuse(retrieval.ranks(retrieval.bm25(index, terms, top)), ranked).select("id", "score")
+    fused = retrieval.fuse(retrieval.ranks(retrieval.bm25(index, terms, top, 6)), ranked).select("id", F.round("score", 12).alias("score"))
     best = fused.orderBy(F.desc("score"), "id").limit(2 * top).join(costs.select("id", "cost"), "id")
     placed = best.select("id", "score", "cost", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long").alias("place"), F.lit(1).alias("one"))
     return placed.join(F.broadcast(retrieval.packed(placed, budget, "one", "place", "cost").select("place")), "place").select("id", F.col("score"), "cost", "place")
@@ -84,13 +84,42 @@ def cluster_map(members: DataFrame, edges: DataFrame, top: int = 20) -> DataFram
     return graph.cluster_metrics(edges, members.join(F.broadcast(largest), "cluster", "left_semi").select("id", "cluster")).join(kinds, "cluster", "left")
 
 
-def explain(symbols: DataFrame, edges: DataFrame, clusters: DataFrame, seed) -> DataFrame:
-    """(aspect, id, detail): a symbol's callers, callees and cluster, one row each."""
-    into = edges.where(F.col("dst") == seed).select(F.lit("caller").alias("aspect"), F.col("src").alias("id"))
-    out = edges.where(F.col("src") == seed).select(F.lit("callee").alias("aspect"), F.col("dst").alias("id"))
-    named = into.union(out).distinct().join(symbols.select("id", F.col("name").alias("detail")), "id").select("aspect", "id", "detail")
+#: How many callers and edges an explanation shows.
+SHOWN_CALLERS, SHOWN_EDGES = 50, 100
+
+
+def explain(symbols: DataFrame, edges: DataFrame, clusters: DataFrame, seed, types: DataFrame | None = None, most_callers: int = SHOWN_CALLERS, most_edges: int = SHOWN_EDGES) -> DataFrame:
+    """(aspect, id, detail): a symbol's callers, callees and cluster, and the steps of its type chain where types are given; one row each.
+
+    `types` is (id, step, type): how the symbol's type was found, in order. Callers are the first by id, and so are callees.
+    """
+    first = lambda rows, most: rows.distinct().orderBy("id").limit(most)
+    into = first(edges.where(F.col("dst") == seed).select(F.lit("caller").alias("aspect"), F.col("src").alias("id")), most_callers)
+    out = first(edges.where(F.col("src") == seed).select(F.lit("callee").alias("aspect"), F.col("dst").alias("id")), most_edges)
+    named = into.union(out).join(symbols.select("id", F.col("name").alias("detail")), "id").select("aspect", "id", "detail")
     own = clusters.where(F.col("id") == seed).select("cluster").join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
-    return named.union(own.select(F.lit("cluster"), F.col("cluster"), F.col("n").cast("string")))
+    whole = named.union(own.select(F.lit("cluster"), F.col("cluster"), F.col("n").cast("string")))
+    return whole if types is None else whole.union(types.where(F.col("id") == seed).select(F.lit("type"), F.col("step"), F.col("type")))
+
+
+def rendered_map(placed: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(path, place, text) of placed files (path, place): the path and below it a line for each definition (path, line, name), in order of lines."""
+    listed = definitions.join(placed.select("path"), "path", "left_semi").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "name"))).alias("x"))
+    lines = F.transform("x", lambda d: F.concat(F.lit("  "), d["line"].cast("string"), F.lit(": "), d["name"]))
+    return placed.join(listed, "path", "left").select("path", "place", F.concat_ws("\n", F.col("path").cast("string"), lines).alias("text"))
+
+
+def status(snapshots: DataFrame, scores: DataFrame, overlay: DataFrame) -> DataFrame:
+    """(snapshot_id, snapshots, pending, scores, stale, overlay_rows, newest_epoch, freshness): one row on the state of everything.
+
+    Without a committed snapshot all is missing; then overlay rows make it overlay_active, stale scores stale, else it is fresh.
+    """
+    own = snapshots.agg(F.coalesce(F.max(F.when(F.col("status") == "committed", F.col("snapshot_id"))), F.lit(0).cast("long")).alias("snapshot_id"), F.count("*").alias("snapshots"), F.count_if(F.col("status") == "pending").alias("pending"))
+    ranked = scores.agg(F.count("*").alias("scores"), F.count_if(F.col("status") == "stale").alias("stale"))
+    live = overlay.agg(F.count("*").alias("overlay_rows"), F.coalesce(F.max("write_epoch"), F.lit(0).cast("long")).alias("newest_epoch"))
+    row = own.join(F.broadcast(ranked)).join(F.broadcast(live))
+    state = F.when(F.col("snapshot_id") == 0, "missing").when(F.col("overlay_rows") > 0, "overlay_active").when(F.col("stale") > 0, "stale").otherwise("fresh")
+    return row.withColumn("freshness", state)
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, files: DataFrame, depth: int = 2, cut=None) -> DataFrame:
@@ -100,7 +129,7 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, files: DataFrame, depth: in
     return held.agg(F.countDistinct("id").alias("symbols"), F.countDistinct("path").alias("files"), F.countDistinct(F.regexp_replace("path", "/?[^/]*$", "")).alias("directories"))
 
 
-def local_ranks(nodes: DataFrame, edges: DataFrame, changed: DataFrame, most: int = 5000, rounds: int = 100, cut=None) -> DataFrame | None:
+def local_ranks(nodes: DataFrame, edges: DataFrame, changed: DataFrame, most: int = 5000, rounds: int = 100, cut=None, tolerance: float | None = 1e-6) -> DataFrame | None:
     """(id, rank, status) of the changed nodes and their neighbours alone, or None where they are too many and all is stale.
 
     The scores are of the frontier's own scale, so they are marked approximate.
@@ -111,13 +140,13 @@ def local_ranks(nodes: DataFrame, edges: DataFrame, changed: DataFrame, most: in
         return None
     inner = edges.join(F.broadcast(front.withColumnRenamed("id", "src")), "src", "left_semi").join(F.broadcast(front.withColumnRenamed("id", "dst")), "dst", "left_semi")
     own = nodes.join(F.broadcast(front), "id", "left_semi").select("id")
-    return graph.pagerank(own, inner, rounds, tolerance=None if not cut else 1e-6, cut=cut).withColumn("status", F.lit("approximate"))
+    return graph.pagerank(own, inner, rounds, tolerance=tolerance if cut else None, cut=cut).withColumn("status", F.lit("approximate"))
 
 
-def recomputed(nodes: DataFrame, edges: DataFrame, version, cut, rounds: int = 100) -> DataFrame:
+def recomputed(nodes: DataFrame, edges: DataFrame, version, cut, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """(id, rank, status, graph_version): all ranks; approximate where the graph's version, read by `version()`, moved meanwhile."""
     before = version()
-    ranks = cut(graph.pagerank(nodes, edges, rounds, cut=cut), "ranks")
+    ranks = cut(graph.pagerank(nodes, edges, rounds, tolerance=tolerance, cut=cut), "ranks")
     return ranks.select("id", "rank", F.lit("exact" if version() == before else "approximate").alias("status"), F.lit(before).cast("long").alias("graph_version"))
 
 

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed confidence ladder: from compiler-grade evidence to a guess by name.
-LADDER = {"exact": 1.0, "declared": 0.9, "inferred": 0.8, "documented": 0.7, "commented": 0.6, "shaped": 0.45, "guessed": 0.2}
 #: Fixed mapping of file extensions to languages.
-LANGUAGES = {".go": "go", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".java": "java", ".rs": "rust", ".rb": "ruby", ".c": "c", ".h": "c", ".cpp": "cpp", ".cs": "csharp", ".kt": "kotlin", ".php": "php", ".swift": "swift", ".scala": "scala"}
+LANGUAGES = {".go": "go", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".java": "java", ".rs": "rust", ".rb": "ruby", ".c": "c", ".h": "c", ".cpp": "cpp", ".cs": "csharp", ".kt": "kotlin", ".php": "php", ".swift": "swift", ".scala": "scala", ".mjs": "javascript", ".cjs": "javascript", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".sh": "bash", ".bash": "bash", ".hs": "haskell", ".tf": "hcl", ".hcl": "hcl", ".jl": "julia", ".kts": "kotlin", ".lua": "lua", ".ml": "ocaml", ".mli": "ocaml", ".r": "r", ".zig": "zig"}
 
 
 def _col(x) -> Column:
@@ -35,13 +33,6 @@ def candidate_cost(id_, terms) -> Column:
     return F.lit(8) + F.floor(F.length(_col(id_)) / 4) + F.aggregate(_col(terms), F.lit(0).cast("long"), lambda s, t: s + F.floor(F.length(t) / 4))
 
 
-def ladder(tier) -> Column:
-    found = F.lit(None).cast("double")
-    for name, value in LADDER.items():
-        found = F.when(_col(tier) == name, F.lit(value)).otherwise(found)
-    return found
-
-
 def impact_confidence(weight) -> Column:
     w = _col(weight)
     return F.when(w >= 1, 0.95).when(w >= 0.8, 0.8).when(w >= 0.6, 0.7).otherwise(0.45)

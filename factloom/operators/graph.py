@@ -151,5 +151,77 @@ def topological_levels(phases: DataFrame, cut, most: int = 200) -> DataFrame:
     return done.union(rest) if done is not None else rest
 
 
+def ranked_nodes(ranks: DataFrame, most: int = 0) -> DataFrame:
+    """(id, rank), the highest first and smaller ids at ties; most = 0: all."""
+    ordered = ranks.orderBy(F.desc("rank"), "id")
+    return ordered.limit(most) if most else ordered
+
+
+def enriched(edges: DataFrame, found: DataFrame, weight: float = 1.0) -> DataFrame:
+    """Edges with what a language server found (file, target) added from the target to the file; a file does not point to itself."""
+    more = found.where("file <> target").select(F.col("target").alias("src"), F.col("file").alias("dst"), F.lit(weight).alias("weight"))
+    return accumulated(edges.select("src", "dst", "weight").union(more))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(node, neighbour, outgoing, weight): every edge from both of its ends."""
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbour"), F.lit(True).alias("outgoing"), "weight").union(edges.select("dst", "src", F.lit(False), "weight"))
+
+
+def top_edges(edges: DataFrame, most: int) -> DataFrame:
+    """The heaviest edges of each source, the smaller target at ties."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    return edges.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
+def phase_faults(phases: DataFrame, cut) -> DataFrame:
+    """(id, fault) of phases (id, requires): `duplicate`, `missing` (required, not listed) and `cycle` (on one or behind one).
+
+    What waits only for a missing phase is no cycle: missing ones count as done.
+    """
+    own = phases.select("id", "requires")
+    twice = own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate").alias("fault"))
+    missing = missing_needs(own).select("id", F.lit("missing").alias("fault"))
+    needs = own.select("id", F.explode("requires").alias("need")).distinct().join(missing.select(F.col("id").alias("need")), "need", "left_anti")
+    known = needs.groupBy("id").agg(F.collect_set("need").alias("requires"))
+    levels = topological_levels(own.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("requires", F.array().cast(phases.schema["requires"].dataType)).alias("requires")), cut)
+    return twice.union(missing).union(levels.where("level is null").select("id", F.lit("cycle").alias("fault")))
+
+
+def topological_order(phases: DataFrame, by: str, most: int = 100_000) -> DataFrame:
+    """(by, id, place) of phases (by, id, requires): of those whose needs are all placed, the smallest id comes next.
+
+    That choice depends on all before it, so a plan is one group's work; one of over `most` phases is an error. Needs
+    outside a plan are passed over, phases on a cycle or behind one have no place. Duplicates count once.
+    """
+    kind = phases.schema["id"].dataType.simpleString()
+
+    def order(frame):
+        import heapq
+
+        import pandas as pd
+
+        if len(frame) > most:
+            raise ValueError(f"a plan of {len(frame)} phases")
+        needs, waits = {}, {}
+        for phase, wanted in zip(frame["id"].tolist(), frame["requires"].tolist()):
+            needs.setdefault(phase, set()).update(wanted if wanted is not None else ())
+        for phase in needs:
+            needs[phase] &= needs.keys()
+            for need in needs[phase]:
+                waits.setdefault(need, []).append(phase)
+        ready, out = [p for p, wanted in needs.items() if not wanted], []
+        heapq.heapify(ready)
+        while ready:
+            out.append(heapq.heappop(ready))
+            for phase in waits.get(out[-1], ()):
+                needs[phase].discard(out[-1])
+                if not needs[phase]:
+                    heapq.heappush(ready, phase)
+        return pd.DataFrame({by: [frame[by].iloc[0]] * len(out), "id": out, "place": range(1, len(out) + 1)})
+
+    return phases.select(by, "id", "requires").groupBy(by).applyInPandas(order, f"{by} {phases.schema[by].dataType.simpleString()}, id {kind}, place int")
+
+
 def missing_needs(phases: DataFrame) -> DataFrame:
     return phases.select(F.explode("requires").alias("id")).distinct().join(phases.select("id"), "id", "left_anti")

@@ -68,9 +68,10 @@ def valid_receipts(receipts: DataFrame, now, ttl_seconds: int, most: int) -> Dat
     return alive.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
 
 
-def lanes(files: DataFrame) -> DataFrame:
-    """(path, priority, place): the order of work, by priority and path within each repository."""
-    return files.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy("priority", "path")))
+def lanes(files: DataFrame, most: int, by: str = "repo", order: tuple = ("priority", "path")) -> DataFrame:
+    """(..., place): the next `most` of each repository by priority and path; the rest is left out before anything is gathered."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return files.withColumn("place", place).where(F.col("place") <= most)
 
 
 def pending_reason(status, reason, allowed: list[str]) -> Column:

@@ -71,6 +71,63 @@ def type_signals(signature, comment, name) -> Column:
     return F.coalesce(*[F.when(F.coalesce(found, F.lit("")) != "", F.struct(F.lit(tier).alias("evidence"), found.alias("type_name"))) for tier, found in tiers])
 
 
+#: Patterns of the type named by an annotation, a construction, an assignment and a comment, by language.
+SIGNALS = {
+    "python": {
+        "annotation": (r"->\s*([A-Za-z_][A-Za-z0-9_]*)", r"\b[a-zA-Z_]\w*\s*:\s*([A-Za-z_][A-Za-z0-9_]*)"),
+        "constructor": (r"=\s*([A-Z][A-Za-z0-9_]*)\s*\(",),
+        "assignment": (r"\b\w+\s*=\s*([a-z_][A-Za-z0-9_]*)\s*$",),
+        "comment": (r"#\s*type\s*:\s*([A-Za-z_][A-Za-z0-9_]*)",),
+    },
+    "typescript": {
+        "annotation": (r"\w+\s*:\s*([A-Za-z_][A-Za-z0-9_]*)",),
+        "constructor": (r"\bnew\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(",),
+        "assignment": (r"\b\w+\s*=\s*([A-Za-z_][A-Za-z0-9_]*)\s*$",),
+        "comment": (r"@type\s*\{([A-Za-z_][A-Za-z0-9_]*)\}", r"@returns?\s*\{([A-Za-z_][A-Za-z0-9_]*)\}", r"@param\s*\{([A-Za-z_][A-Za-z0-9_]*)\}"),
+    },
+}
+#: Languages that are resolved as another one.
+RESOLVED_AS = {"javascript": "typescript"}
+
+
+def language_signals(language: str, signature, comment, name) -> Column:
+    """(evidence, type_name) of the strongest signal by the rules of one language, or null; Go has rules of its own form."""
+    if language == "go":
+        return type_signals(signature, comment, name)
+    texts, tiers = {"comment": F.coalesce(_col(comment), F.lit(""))}, []
+    for tier, patterns in SIGNALS[language].items():
+        text = texts.get(tier, F.trim(F.coalesce(_col(signature), F.lit(""))))
+        tiers.append((tier, F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])))
+    tiers.append(("heuristic", _shape(F.coalesce(_col(name), F.lit("")))))
+    return F.coalesce(*[F.when(F.coalesce(found, F.lit("")) != "", F.struct(F.lit(tier).alias("evidence"), found.alias("type_name"))) for tier, found in tiers])
+
+
+def dispatched_signals(language, signature, comment, name) -> Column:
+    """The signals by each row's language; null where no rules are for it."""
+    own = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in RESOLVED_AS.items() for x in pair]), _col(language)), _col(language))
+    found = F.when(own == "go", language_signals("go", signature, comment, name))
+    for name_ in SIGNALS:
+        found = found.when(own == name_, language_signals(name_, signature, comment, name))
+    return found
+
+
+#: What one enrichment may ask for: symbols a file, references a symbol and a file, steps of a hierarchy.
+MOST_SYMBOLS, MOST_REFERENCES, MOST_FILE_REFERENCES, MOST_STEPS = 200, 1000, 5000, 2
+
+
+def within_budgets(found: DataFrame, symbols: int = MOST_SYMBOLS, references: int = MOST_REFERENCES, total: int = MOST_FILE_REFERENCES, steps: int = MOST_STEPS) -> DataFrame:
+    """Rows (file, symbol, reference, step) that an enrichment keeps: the first symbols of a file, references of each and of the file."""
+    order = lambda *by: Window.partitionBy(*by)
+    near = found.where(F.col("step") <= steps)
+    marked = near.withColumn("_s", F.dense_rank().over(order("file").orderBy("symbol"))).withColumn("_r", F.row_number().over(order("file", "symbol").orderBy("reference"))).where((F.col("_s") <= symbols) & (F.col("_r") <= references))
+    return marked.withColumn("_t", F.row_number().over(order("file").orderBy("symbol", "reference"))).where(F.col("_t") <= total).drop("_s", "_r", "_t")
+
+
+def edge_weight(base, source, validation, confidence) -> Column:
+    """A kind's base weight by how it was found, whether it was validated and how sure it is."""
+    return _col(base) * _col(source) * _col(validation) * _col(confidence)
+
+
 def confidence_of(evidence) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in RUNGS.items() for x in pair]), _col(evidence))
 

@@ -21,8 +21,8 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(index: DataFrame, terms: list[str], top: int) -> DataFrame:
-    """(id, score): the best documents for a query's terms; only their postings are read past the index."""
+def bm25(index: DataFrame, terms: list[str], top: int, digits: int | None = None) -> DataFrame:
+    """(id, score): the best documents for a query's terms, by scores of so many digits; only the terms' postings are read past the sizes."""
     size = index.groupBy("id").agg(F.sum("tf").alias("size"))
     whole = size.agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("mean"))
     hits = index.where(F.col("term").isin(sorted(set(terms))))
@@ -30,13 +30,43 @@ def bm25(index: DataFrame, terms: list[str], top: int) -> DataFrame:
     scored = hits.join(F.broadcast(df), "term").join(size, "id").join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return scored.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(top)
+    score = F.sum(part) if digits is None else F.round(F.sum(part), digits)
+    return scored.groupBy("id").agg(score.alias("score")).orderBy(F.desc("score"), "id").limit(top)
 
 
-def ranks(scored: DataFrame, score: str = "score") -> DataFrame:
-    """(id, rank): one-based places of a short list, an id counting at its best place alone."""
-    best = scored.groupBy("id").agg(F.max(score).alias("score"))
-    return best.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
+def field_postings(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, field, term, tf) of several text columns, null ones as empty."""
+    long = docs.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields])).alias("x")).select("id", "x.field", "x.text")
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    return long.select("id", "field", words.alias("term")).where("term <> ''").groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
+
+
+def match_any(index: DataFrame, terms: list[str], top: int, anchors: list | None = None, boost: float = 1.0, digits: int = 6) -> DataFrame:
+    """(id, score): the best documents for any of the terms in any field; each field is scored by its own statistics, and anchors gain a boost, also where they match no term."""
+    size = index.groupBy("field", "id").agg(F.sum("tf").alias("size"))
+    whole = size.groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("mean"))
+    hits = index.where(F.col("term").isin(sorted(set(terms))))
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    scored = hits.join(F.broadcast(df), ["field", "term"]).join(size, ["field", "id"]).join(F.broadcast(whole), "field")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    rows = scored.select("id", part.alias("part"))
+    if anchors:
+        rows = rows.union(size.select("id").distinct().where(F.col("id").isin(anchors)).select("id", F.lit(boost)))
+    return rows.groupBy("id").agg(F.round(F.sum("part"), digits).alias("score")).orderBy(F.desc("score"), "id").limit(top)
+
+
+def postings_after(index: DataFrame, docs: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """Postings after a batch: those of its documents are made anew, those of gone ones (id) leave."""
+    out = docs.select("id") if gone is None else docs.select("id").union(gone.select("id"))
+    return index.join(out.distinct(), "id", "left_anti").unionByName(postings(docs))
+
+
+def ranks(scored: DataFrame, score: str = "score", most: int = 10_000) -> DataFrame:
+    """(id, rank): one-based places of a short list, an id counting at its best place alone; a list of over `most` is an error."""
+    best = scored.groupBy("id").agg(F.max(score).alias("score")).orderBy(F.desc("score"), "id").limit(most + 1)
+    placed = best.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
+    return placed.select("id", F.when(F.col("rank") <= most, F.col("rank")).otherwise(F.raise_error(F.lit(f"a ranked list has over {most} rows"))).cast("int").alias("rank"))
 
 
 def fuse(first: DataFrame, second: DataFrame, weights=(1.0, 1.0), k: float = RRF_K) -> DataFrame:
@@ -52,10 +82,10 @@ def fuse_additive(contributions: DataFrame, k: float = RRF_K) -> DataFrame:
 
 
 def boosted(scored: DataFrame, clusters: DataFrame, seed, factor: float = 1.25) -> DataFrame:
-    """Scores, raised where a row is of the seed's cluster."""
-    own = clusters.where(F.col("id") == seed).select(F.col("cluster").alias("_own"))
-    out = scored.join(clusters.select("id", "cluster"), "id", "left").join(F.broadcast(own), F.col("cluster") == F.col("_own"), "left")
-    return out.select(*[F.when(F.col("_own").isNotNull(), F.col("score") * factor).otherwise(F.col("score")).alias("score") if c == "score" else F.col(c) for c in scored.columns])
+    """Scores, raised where a row is of the seed's cluster, the smallest if it has several: one row is broadcast."""
+    own = clusters.where(F.col("id") == seed).agg(F.min("cluster").alias("_own"))
+    out = scored.join(clusters.select("id", "cluster"), "id", "left").join(F.broadcast(own))
+    return out.select(*[F.when(F.col("cluster") == F.col("_own"), F.col("score") * factor).otherwise(F.col("score")).alias("score") if c == "score" else F.col(c) for c in scored.columns])
 
 
 def packed(items: DataFrame, budget: int, by: str, order: str, cost: str) -> DataFrame:
@@ -93,12 +123,39 @@ def suggestions(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataF
 
 
 def innermost(points: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
-    """For each point (key, point_id, at) the shortest interval (key, interval_id, low, high) that holds it, the smaller id at ties."""
-    held = points.join(intervals, key).where("at >= low and at <= high")
-    best = F.min(F.struct((F.col("high") - F.col("low")).alias("size"), "interval_id"))
+    """For each point (key, point_id, at) the shortest interval (key, interval_id, low, high) that holds it, the smaller id at ties.
+
+    An interval's level is the power of two above its length; at its level it touches two bands at most, and a point
+    looks into one band of each level (at most 64) that there is. So the join is an equi-join, and what meets is near.
+    """
+    spans = intervals.where("low <= high").select(key, "interval_id", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+    spans = spans.withColumn("level", F.length(F.bin(F.col("high") - F.col("low"))))
+    band = lambda c: F.expr(f"shiftright({c}, level)")
+    spans = spans.withColumn("band", F.explode(F.sequence(band("low"), band("high"))))
+    asked = points.select(key, "point_id", F.col("at").cast("long").alias("at")).join(F.broadcast(spans.select("level").distinct()))
+    held = asked.withColumn("band", band("at")).join(spans, [key, "level", "band"]).where("at >= low and at <= high")
+    best = F.min(F.struct((F.col("high") - F.col("low")).cast("int").alias("size"), "interval_id"))
     return held.groupBy("point_id").agg(best["interval_id"].alias("interval_id"), best["size"].alias("size"))
 
 
+def nearest_window(docs: DataFrame, wanted: list[str], text: str = "text") -> DataFrame:
+    """(id, n, equal): the one-based first line of the window with most lines equal to the wanted ones, the earliest at ties.
+
+    A text with fewer lines is one window from line 1. Per document, without a shuffle.
+    """
+    goal = F.array(*[F.lit(x) for x in wanted])
+    count = lambda i: F.size(F.filter(F.zip_with(F.slice("l", i, len(wanted)), goal, lambda a, b: a.eqNullSafe(b)), lambda x: x))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("l") - len(wanted) + 1, F.lit(1)))
+    best = F.array_min(F.transform(starts, lambda i: F.struct((-count(i)).alias("minus"), i.alias("n"))))
+    listed = docs.select("id", F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("l"))
+    return listed.select("id", best.alias("b")).select("id", "b.n", (-F.col("b.minus")).alias("equal"))
+
+
+def first_matches(docs: DataFrame, pattern: str, most: int = 100, text: str = "text") -> DataFrame:
+    """(id, n, line): matching lines, the first `most` by document and line."""
+    return grep(docs, pattern, 0, text).select("id", "n", "line").orderBy("id", "n").limit(most)
+
+
 def fuzzy_find(source: str, search: str) -> tuple[str, float, int] | None:
     """(strategy, score, first line) of the one place where the lines of `search` stand in `source`.
 

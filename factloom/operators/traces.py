@@ -14,21 +14,34 @@ def matches_in_order(calls: Column, pattern: list[str]) -> Column:
 
 
 def runs(events: DataFrame) -> DataFrame:
-    """(run, calls): the tools of each run in order of (t, ord)."""
+    """(run, calls): the tools of each run in order of (t, ord), for runs that one row can hold."""
     listed = events.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("t", "ord", "tool"))).alias("x"))
     return listed.select("run", F.transform("x", lambda e: e["tool"]).alias("calls"))
 
 
+def in_order(events: DataFrame, tools: list[str]) -> DataFrame:
+    """(run) of runs that call the tools one after another. Each step is the least call behind the last one, so that no run is gathered."""
+    at = None
+    for tool in tools:
+        own = events.where(F.col("tool") == tool).select("run", F.struct("t", "ord").alias("p"))
+        own = own if at is None else own.join(at, "run").where("p > last").select("run", "p")
+        at = own.groupBy("run").agg(F.min("p").alias("last"))
+    return at.select("run")
+
+
 def rule_scores(events: DataFrame, rules: list[dict]) -> DataFrame:
     """(run, rule, score) for rules {id, kind: expect_sequence | forbid_sequence | expect_set | forbid_set, tools, score}."""
-    held = runs(events)
-    out = []
+    each, out = events.select("run").distinct(), []
     for rule in rules:
         tools = rule["tools"]
-        subset = F.size(F.array_intersect("calls", F.array(*[F.lit(x) for x in tools])))
-        hit = matches_in_order(F.col("calls"), tools) if rule["kind"].endswith("sequence") else (subset == len(set(tools)) if rule["kind"] == "expect_set" else subset > 0)
+        if rule["kind"].endswith("sequence"):
+            met = in_order(events, tools)
+        else:
+            counts = events.where(F.col("tool").isin(tools)).groupBy("run").agg(F.countDistinct("tool").alias("n"))
+            met = counts.where(F.col("n") == len(set(tools)) if rule["kind"] == "expect_set" else F.col("n") > 0).select("run")
         sign = -abs(rule["score"]) if rule["kind"].startswith("forbid") else rule["score"]
-        out.append(held.select("run", F.lit(rule["id"]).alias("rule"), F.when(hit, F.lit(sign)).otherwise(F.lit(0)).alias("score")))
+        held = each.join(met.withColumn("hit", F.lit(True)), "run", "left")
+        out.append(held.select("run", F.lit(rule["id"]).alias("rule"), F.when(F.col("hit"), F.lit(sign)).otherwise(F.lit(0)).alias("score")))
     whole = out[0]
     for x in out[1:]:
         whole = whole.union(x)
@@ -37,11 +50,34 @@ def rule_scores(events: DataFrame, rules: list[dict]) -> DataFrame:
 
 def without_prior(events: DataFrame, tool: str, prior: str) -> DataFrame:
     """(run, violations): calls of a tool that no call of another came before."""
-    first = F.min(F.when(F.col("tool") == prior, F.struct("t", "ord"))).over(Window.partitionBy("run"))
-    marked = events.withColumn("_first", first).where(F.col("tool") == tool)
+    first = events.where(F.col("tool") == prior).groupBy("run").agg(F.min(F.struct("t", "ord")).alias("_first"))
+    marked = events.where(F.col("tool") == tool).join(first, "run", "left")
     return marked.groupBy("run").agg(F.count_if(F.col("_first").isNull() | (F.struct("t", "ord") < F.col("_first"))).alias("violations"))
 
 
+def tool_totals(results: DataFrame) -> DataFrame:
+    """(mode, tool, n): the sums of the results' maps `tools` (tool to calls)."""
+    return results.select("mode", F.explode("tools").alias("tool", "calls")).groupBy("mode", "tool").agg(F.sum("calls").alias("n"))
+
+
+def tool_maps(results: DataFrame) -> DataFrame:
+    """(mode, tools): the same as one map for each mode."""
+    pairs = F.sort_array(F.collect_list(F.struct("tool", "n")))
+    return tool_totals(results).groupBy("mode").agg(F.map_from_entries(pairs).alias("tools"))
+
+
+def safety_totals(results: DataFrame) -> DataFrame:
+    """(mode, warned, blocked, receipts_issued): sums by mode, nulls as none."""
+    return results.groupBy("mode").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("warned", "blocked", "receipts_issued")])
+
+
+def histograms(calls: DataFrame, bounds: list[float]) -> DataFrame:
+    """(tool, le, n): cumulative counts of durations up to each bound and, with a null bound, of all; null durations are in that alone."""
+    rows = calls.groupBy("tool").agg(*[F.count_if(F.col("duration") <= b).alias(f"b{k}") for k, b in enumerate(bounds)], F.count("*").alias("all"))
+    each = [F.struct(F.lit(float(b)).alias("le"), F.col(f"b{k}").alias("n")) for k, b in enumerate(bounds)]
+    return rows.select("tool", F.explode(F.array(*each, F.struct(F.lit(None).cast("double").alias("le"), F.col("all").alias("n")))).alias("x")).select("tool", "x.le", "x.n")
+
+
 def tool_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("tool").agg(F.count("*").alias("calls"), F.count_if("is_error").alias("errors"), F.countDistinct("run").alias("runs"))
 

@@ -74,9 +74,3 @@ def repair_sets(diff: DataFrame, edges: DataFrame, node: str = "id") -> DataFram
     touched = diff.select(F.col(node).alias("id"), F.when(F.col("change") == "removed", "remove").otherwise("upsert").alias("action"))
     near = edges.join(touched.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).union(edges.join(touched.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")))
     return touched.union(near.distinct().join(touched, "id", "left_anti").withColumn("action", F.lit("dirty")))
-
-
-def compaction_blocked(pending: int, writing: bool, rebuilding: bool, overlay_rows: int, most_rows: int, idle_ms: int, wait_ms: int, enabled: bool = True) -> str | None:
-    """The first reason, in order, that holds a compaction back."""
-    checks = (("disabled", not enabled), ("rebuilding", rebuilding), ("writer_active", writing), ("changes_pending", pending > 0 and idle_ms < wait_ms), ("overlay_empty", overlay_rows == 0), ("overlay_too_large", overlay_rows > most_rows))
-    return next((name for name, on in checks if on), None)

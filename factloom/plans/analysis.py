@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from factloom import api
 from factloom.operators import graph, policy, resolve, retrieval, traces
 
-from .adapters import LINKS, TRADE, calls, documents, links, nations, read, trade, weighted
-from .registry import query
+from .adapters import LINKS, TRADE, WEIGHTED, calls, documents, links, nations, read, trade, weighted
+from .graphs import ROUNDS
+from .registry import ORACLES, query
 from .scratch import written
 from .search import _FUSED, _lists
 
@@ -56,27 +57,31 @@ _HOPS = f"SELECT src AS ref_id, min(dst) AS target FROM ({LINKS}) GROUP BY 1"
 
 
 def _chain_sql() -> str:
-    steps = ["s0 AS (SELECT c_custkey AS req_id, c_custkey % 11 AS length, c_custkey AS at, (c_custkey % 11 BETWEEN 1 AND 8) AS resolved, NULL::BIGINT AS target FROM customer)"]
+    steps = ["s0 AS (SELECT c_custkey AS req_id, c_custkey % 11 AS length, c_custkey AS at, (c_custkey % 11 BETWEEN 1 AND 8) AS resolved, NULL::BIGINT AS target, 0.2::DOUBLE AS confidence FROM customer)"]
     for k in range(1, 9):
         live = f"resolved AND length >= {k}"
-        steps.append(f"s{k} AS (SELECT req_id, length, CASE WHEN {live} THEN h.target END AS at, CASE WHEN {live} THEN h.target IS NOT NULL ELSE resolved END AS resolved, CASE WHEN {live} THEN h.target ELSE s.target END AS target FROM s{k - 1} s LEFT JOIN h ON s.at = h.ref_id AND {live})")
-    return f"WITH h AS ({_HOPS}), {', '.join(steps)} SELECT req_id, resolved, target, CASE WHEN length = 0 THEN 'empty chain' WHEN length > 8 THEN 'chain too deep' END AS reason FROM s8"
+        steps.append(f"s{k} AS (SELECT req_id, length, CASE WHEN {live} THEN h.target END AS at, CASE WHEN {live} THEN h.target IS NOT NULL ELSE resolved END AS resolved, CASE WHEN {live} THEN h.target ELSE s.target END AS target, CASE WHEN {live} THEN CASE WHEN h.target IS NOT NULL THEN 0.8 ELSE 0.2 END ELSE confidence END::DOUBLE AS confidence FROM s{k - 1} s LEFT JOIN h ON s.at = h.ref_id AND {live})")
+    return f"WITH h AS ({_HOPS}), {', '.join(steps)} SELECT req_id, resolved, target, confidence, CASE WHEN length = 0 THEN 'empty chain' WHEN length > 8 THEN 'chain too deep' END AS reason FROM s8"
 
 
 @query(_chain_sql())
 def access_chains(spark, d):
     hops = links(spark, d).groupBy(F.col("src").alias("ref_id")).agg(F.min("dst").alias("target")).select("ref_id", F.lit(True).alias("resolved"), "target", F.lit(0.8).alias("confidence"))
     requests = read(spark, d, "customer").select(F.col("c_custkey").alias("req_id"), F.col("c_custkey").alias("ref_id"), (F.col("c_custkey") % 11).alias("length"))
-    return resolve.walk_chains(requests, hops).select("req_id", "resolved", "target", "reason")
+    return resolve.walk_chains(requests, hops)
 
 
-_FLOWS = f"WITH RECURSIVE e AS ({LINKS}), k(id, type, depth) AS (SELECT c_custkey, 't' || c_custkey % 4, 0 FROM customer WHERE c_custkey % 50 = 0 UNION SELECT e.dst, 't', k.depth + 1 FROM k JOIN e ON k.id = e.src WHERE depth < 8), m AS (SELECT id, min(depth) AS depth FROM k GROUP BY 1) SELECT c_custkey AS id, m.depth IS NOT NULL AS resolved FROM customer LEFT JOIN m ON c_custkey = m.id"
+def _flows_sql() -> str:
+    steps = [f"e AS ({LINKS})", "k0 AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN 't' || c_custkey % 4 END AS type FROM customer)"]
+    for k in range(1, resolve.FIXPOINT_ROUNDS + 1):
+        steps.append(f"k{k} AS MATERIALIZED (SELECT id, coalesce(type, new) AS type FROM k{k - 1} LEFT JOIN (SELECT e.dst, min(type) AS new FROM e JOIN k{k - 1} ON id = e.src WHERE type IS NOT NULL GROUP BY 1) ON dst = id)")
+    return f"WITH {', '.join(steps)} SELECT id, type IS NOT NULL AS resolved, type FROM k{resolve.FIXPOINT_ROUNDS}"
 
 
-@query(_FLOWS)
+@query(_flows_sql())
 def assignment_fixpoint(spark, d):
     variables = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50 == 0).alias("resolved"), F.when(F.col("c_custkey") % 50 == 0, F.concat(F.lit("t"), (F.col("c_custkey") % 4).cast("string"))).alias("type"))
-    return resolve.assigned_types(variables, links(spark, d), written).select("id", "resolved")
+    return resolve.assigned_types(variables, links(spark, d), written)
 
 
 _IMPACT_EDGES = "SELECT src, dst, CASE kind WHEN 'A' THEN 'CALLS' WHEN 'N' THEN 'IMPORTS' ELSE 'EXTENDS' END AS kind, CASE WHEN n > 3 THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence FROM (" + TRADE + ")"
@@ -149,25 +154,52 @@ def cluster_map(spark, d):
     return api.cluster_map(nations(spark, d).select("id", "cluster"), trade(spark, d), 3).select("cluster", "size", "intra", "leaving", F.round("cohesion", 9).alias("cohesion"), "dominant_kind")
 
 
-@query(f"WITH e AS ({LINKS}) SELECT 'caller' AS aspect, src AS id, c_name AS detail FROM e JOIN customer ON src = c_custkey WHERE dst = 42 UNION SELECT 'callee', dst, c_name FROM e JOIN customer ON dst = c_custkey WHERE src = 42 UNION ALL SELECT 'cluster', c_nationkey, (SELECT count(*) FROM customer b WHERE b.c_nationkey = a.c_nationkey)::VARCHAR FROM customer a WHERE c_custkey = 42")
+@query(f"WITH e AS ({LINKS}) SELECT 'caller' AS aspect, src AS id, c_name AS detail FROM e JOIN customer ON src = c_custkey WHERE dst = 42 UNION SELECT 'callee', dst, c_name FROM e JOIN customer ON dst = c_custkey WHERE src = 42 UNION ALL SELECT 'cluster', c_nationkey, (SELECT count(*) FROM customer b WHERE b.c_nationkey = a.c_nationkey)::VARCHAR FROM customer a WHERE c_custkey = 42 UNION ALL SELECT 'type', o_orderkey, o_orderpriority FROM orders WHERE o_custkey = 42")
 def explain_symbol(spark, d):
     customer = read(spark, d, "customer")
     names = customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return api.explain(names, links(spark, d), customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("cluster")), 42)
+    types = read(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("step"), F.col("o_orderpriority").alias("type"))
+    return api.explain(names, links(spark, d), customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("cluster")), 42, types)
 
 
-@query()
+_CONTEXT_TERMS = ("thand", "eronth", "tionre")
+_CONTEXT = r"""t AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), i AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM t) WHERE term <> '' GROUP BY ALL), s AS (SELECT id, sum(tf) AS size FROM i GROUP BY 1), w AS (SELECT count(*)::DOUBLE AS n, avg(size) AS mean FROM s), h AS (SELECT * FROM i WHERE term IN %s), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
+b AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM h JOIN f USING (term) JOIN s USING (id), w GROUP BY 1 ORDER BY score DESC, id LIMIT 256),
+x AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM b), y AS (SELECT id, row_number() OVER (ORDER BY length(text) DESC, id) AS r FROM t QUALIFY r <= 256),
+z AS (SELECT coalesce(x.id, y.id) AS id, round(coalesce(1.0 / (60 + x.r), 0) + coalesce(1.0 / (60 + y.r), 0), 12) AS score FROM x FULL JOIN y ON x.id = y.id), q AS (SELECT id, score FROM z ORDER BY score DESC, id LIMIT 512),
+p AS MATERIALIZED (SELECT id, score, greatest(1, octet_length(encode(text)) // 4)::BIGINT AS cost, row_number() OVER (ORDER BY score DESC, id) AS place FROM q JOIN t USING (id)),
+g(place, used, taken) AS (SELECT place, CASE WHEN cost <= 2048 THEN cost ELSE 0 END, cost <= 2048 FROM p WHERE place = 1 UNION ALL SELECT p.place, CASE WHEN g.used + cost <= 2048 THEN g.used + cost ELSE g.used END, g.used + cost <= 2048 FROM g JOIN p ON p.place = g.place + 1)""" % (_CONTEXT_TERMS,)
+
+
+@query(f"WITH RECURSIVE {_CONTEXT} SELECT id, round(score, 9) AS score, cost, place FROM p JOIN g USING (place) WHERE taken")
 def semantic_context(spark, d):
     docs = documents(spark, d)
     ranked = docs.select("id", F.length("text").alias("score")).orderBy(F.desc("score"), "id").limit(256)
     costs = docs.select("id", F.greatest(F.lit(1), F.floor(F.octet_length("text") / 4)).cast("long").alias("cost"))
-    return api.semantic_context(retrieval.postings(docs), ["thand", "eronth", "tionre"], retrieval.ranks(ranked), costs).withColumn("score", F.round("score", 9))
+    return api.semantic_context(retrieval.postings(docs), list(_CONTEXT_TERMS), retrieval.ranks(ranked), costs).withColumn("score", F.round("score", 9))
+
+
+_FRONT = f"c AS (SELECT n_nationkey::BIGINT AS id FROM nation WHERE n_nationkey IN (4, 9)), e AS (SELECT * FROM ({WEIGHTED}) WHERE src < dst AND dst - src <= 3), fr AS (SELECT id FROM c UNION SELECT dst FROM e WHERE src IN (SELECT id FROM c) UNION SELECT src FROM e WHERE dst IN (SELECT id FROM c)), w AS (SELECT * FROM e WHERE src IN (SELECT id FROM fr) AND dst IN (SELECT id FROM fr)), n AS (SELECT count(*) AS n FROM fr), o AS (SELECT src, sum(weight) AS total FROM w GROUP BY 1), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM fr, n)"
 
 
-@query()
+def _front_sql(rounds: int) -> str:
+    steps = [_FRONT]
+    for k in range(1, rounds + 1):
+        steps.append(f"f{k} AS (SELECT dst, sum(rank * weight / total) AS flow FROM r{k - 1} JOIN w ON id = src JOIN o USING (src) GROUP BY 1), l{k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{k - 1} WHERE id NOT IN (SELECT src FROM o)), r{k} AS MATERIALIZED (SELECT id, 0.15 / n + 0.85 * lost / n + 0.85 * coalesce(flow, 0) AS rank FROM fr LEFT JOIN f{k} ON id = dst, n, l{k})")
+    return f"WITH {', '.join(steps)} SELECT id, round(rank, 9) AS rank, 'approximate' AS status FROM r{rounds}"
+
+
+@query(_front_sql(5))
 def frontier_ranks(spark, d):
-    changed = nations(spark, d).where("id < 2").select("id")
-    return api.local_ranks(nations(spark, d), weighted(spark, d), changed, cut=written)
+    edges = weighted(spark, d).where("src < dst and dst - src <= 3")
+    found = api.local_ranks(nations(spark, d), edges, nations(spark, d).where("id in (4, 9)").select("id"), rounds=5, cut=written, tolerance=None)
+    return found.select("id", F.round("rank", 9).alias("rank"), "status")
+
+
+@query(f"SELECT id, rank, 'exact' AS status, 7::BIGINT AS graph_version FROM ({ORACLES['pagerank_fixed']})")
+def recomputed_ranks(spark, d):
+    found = api.recomputed(nations(spark, d).select("id"), weighted(spark, d), lambda: 7, written, ROUNDS, tolerance=None)
+    return found.select("id", F.round("rank", 9).alias("rank"), "status", "graph_version")
 
 
 _PHASES = "SELECT p_partkey AS id, unnest([p_partkey // 2, p_partkey // 3]) AS need FROM part WHERE p_partkey > 2"
@@ -263,7 +295,10 @@ def equal_windows(spark, d):
     return retrieval.equal_windows(documents(spark, d), ["The and attion to thanedble the, anea. Eriner thanea."])
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), n AS (SELECT id, l, list_transform(l, lambda x: trim(regexp_replace(x, '[\s\p{Z}\x1C-\x1F\x{85}]+', ' ', 'g'))) AS w FROM l),
+h AS (SELECT id, w[1] IN ('', '...') AS none, list_filter(range(1, len(l) + 1), lambda i: l[i] = '  ' || l[1]) AS e, list_filter(range(1, len(l) + 1), lambda i: w[i] = w[1]) AS f FROM n),
+c AS (SELECT id, none, CASE WHEN len(e) > 0 THEN 'exact' ELSE 'whitespace_normalized' END AS strategy, CASE WHEN len(e) > 0 THEN 1.0 ELSE 0.95 END AS score, CASE WHEN len(e) > 0 THEN e ELSE f END AS hits FROM h), o AS (SELECT *, NOT none AND len(hits) = 1 AS ok FROM c)
+SELECT id, CASE WHEN ok THEN strategy END AS strategy, CASE WHEN ok THEN score END::DOUBLE AS score, CASE WHEN ok THEN hits[1] - 1 END AS first, CASE WHEN ok THEN hits[1] END AS after, CASE WHEN none THEN 'no match' WHEN len(hits) > 1 THEN 'ambiguous' END AS error FROM o""")
 def fuzzy_windows(spark, d):
     first = F.regexp_extract("text", r"\A[^\n]*", 0)
     return retrieval.fuzzy_table(documents(spark, d).select("id", F.col("text").alias("source"), F.concat(F.lit("  "), first).alias("search")))

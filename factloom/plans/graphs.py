@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import graph
-from factloom.operators.components import components
+from factloom.operators.components import components, node_components
 
 from .adapters import LINKS, TRADE, WEIGHTED, links, nations, read, trade, weighted
 from .registry import query
@@ -39,26 +39,41 @@ def nation_trade_graph(spark, d):
     return trade(spark, d).select("src", "dst", "kind", "n", F.round(F.sqrt("n"), 9).alias("weight"))
 
 
-_PARTS = "SELECT DISTINCT l_suppkey AS src, 1000000000 + l_partkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#11' AND l_quantity < 3"
+#: Parts point to the parts of twice and three times their key; some of these are no parts, and some parts have no edge.
+_PARTS = "SELECT p_partkey AS src, p_partkey * 2 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey * 3 FROM part"
 
 
 def _parts(spark, d):
-    items = read(spark, d, "lineitem").where("l_quantity < 3").select("l_suppkey", "l_partkey")
-    own = read(spark, d, "part").where("p_brand = 'Brand#11'").select("p_partkey")
-    return items.join(own, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("src"), (F.lit(1_000_000_000) + F.col("l_partkey")).alias("dst")).distinct()
+    nodes = read(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    return nodes, nodes.select(F.col("id").alias("src"), (F.col("id") * 2).alias("dst")).union(nodes.select("id", F.col("id") * 3))
 
 
-_COMPONENTS = f"WITH RECURSIVE e AS ({_PARTS}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, c) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON r.c = b.src) SELECT node, min(c) AS component FROM r GROUP BY 1"
+_COMPONENTS = f"WITH RECURSIVE e AS (SELECT src, dst FROM ({_PARTS}) WHERE dst IN (SELECT p_partkey FROM part)), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, c) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.node, b.dst FROM r JOIN b ON r.c = b.src) SELECT node, min(c) AS component FROM r GROUP BY 1"
 
 
 @query(_COMPONENTS)
 def weak_components(spark, d):
-    return components(_parts(spark, d), written)
+    return node_components(*_parts(spark, d), written)
 
 
 @query(f"SELECT component, count(*) AS size FROM ({_COMPONENTS}) GROUP BY 1 ORDER BY size DESC, component LIMIT 20")
 def component_sizes_topn(spark, d):
-    return components(_parts(spark, d), written).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(20)
+    return node_components(*_parts(spark, d), written).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(20)
+
+
+def _labels_sql(rounds: int) -> str:
+    steps = [f"e AS (SELECT src, dst, 1.0 + src % 3 AS weight FROM ({_PARTS}) WHERE dst IN (SELECT p_partkey FROM part))", "b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)", "l0 AS (SELECT p_partkey AS id, p_partkey AS label FROM part)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"v{k} AS (SELECT src, label, sum(weight) AS w FROM b JOIN l{k - 1} ON dst = id GROUP BY 1, 2)")
+        steps.append(f"l{k} AS (SELECT id, coalesce(new, label) AS label FROM l{k - 1} LEFT JOIN (SELECT src, label AS new FROM v{k} QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, label) = 1) ON id = src)")
+    return f"WITH {', '.join(steps)} SELECT id, label FROM l{rounds}"
+
+
+@query(_labels_sql(4))
+def label_rounds(spark, d):
+    nodes, edges = _parts(spark, d)
+    inner = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", (F.lit(1.0) + F.col("src") % 3).alias("weight"))
+    return graph.propagate_labels(inner, nodes, 4)
 
 
 @query(f"""WITH e AS ({TRADE}), m AS (SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS cluster FROM nation), s AS (SELECT cluster, count(*) AS size FROM m GROUP BY 1),
@@ -102,13 +117,13 @@ def hierarchy_depth3(spark, d):
 
 
 _TAGS = "SELECT p_partkey % 200 AS file, p_type AS name FROM part"
-_REFS = "SELECT l_suppkey + 1000000 AS file, p_type AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25"
+_REFS = "SELECT l_suppkey + 1000000 AS file, p_type AS name FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
 def _tags(spark, d):
     part = read(spark, d, "part")
     definitions = part.select((F.col("p_partkey") % 200).alias("file"), F.col("p_type").alias("name"))
-    items = read(spark, d, "lineitem").where("l_quantity > 25").select("l_suppkey", "l_partkey")
+    items = read(spark, d, "lineitem").select("l_suppkey", "l_partkey")
     return definitions, items.join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_suppkey") + 1_000_000).alias("file"), F.col("p_type").alias("name"))
 
 
@@ -118,21 +133,58 @@ def def_ref_file_graph(spark, d):
     return graph.reference_graph(definitions, references).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
-@query("WITH d AS (SELECT p_partkey % 200 AS file, p_name AS name FROM part), r AS (SELECT DISTINCT p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48) SELECT file AS src, file AS dst, round(sum(0.1), 6) AS weight FROM d WHERE name NOT IN (SELECT name FROM r) GROUP BY ALL")
+@query("WITH d AS (SELECT p_partkey % 200 AS file, p_partkey * 3 AS name FROM part), r AS (SELECT l_partkey AS name FROM lineitem) SELECT file AS src, file AS dst, round(sum(0.1), 6) AS weight FROM d WHERE name NOT IN (SELECT name FROM r) GROUP BY ALL")
 def isolated_defs_self_loops(spark, d):
-    part = read(spark, d, "part")
-    items = read(spark, d, "lineitem").where("l_quantity > 48").select("l_partkey")
-    references = items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.lit(-1).cast("long").alias("file"), F.col("p_name").alias("name"))
-    out = graph.reference_graph(part.select((F.col("p_partkey") % 200).alias("file"), F.col("p_name").alias("name")), references)
+    definitions = read(spark, d, "part").select((F.col("p_partkey") % 200).alias("file"), (F.col("p_partkey") * 3).alias("name"))
+    references = read(spark, d, "lineitem").select(F.lit(-1).cast("long").alias("file"), F.col("l_partkey").alias("name"))
+    out = graph.reference_graph(definitions, references)
     return out.where("src = dst").select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 @query(f"SELECT src, dst, weight FROM (SELECT src, dst, round(weight, 9) AS weight FROM ({WEIGHTED})) QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 5")
 def top_edges(spark, d):
-    from pyspark.sql import Window
+    return graph.top_edges(weighted(spark, d).select("src", "dst", F.round("weight", 9).alias("weight")), 5)
+
+
+@query(f"SELECT * FROM ({_pagerank_sql('SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS t FROM n')}) ORDER BY rank DESC, id LIMIT 10")
+def ranked_nodes(spark, d):
+    return graph.ranked_nodes(pagerank_fixed(spark, d), 10)
+
+
+@query(f"SELECT src, dst, round(sum(weight), 6) AS weight FROM (SELECT src, dst, weight FROM ({WEIGHTED}) UNION ALL SELECT c_nationkey::BIGINT, c_custkey % 25, 1.0 FROM customer WHERE c_nationkey <> c_custkey % 25) GROUP BY ALL")
+def enriched_graph(spark, d):
+    found = read(spark, d, "customer").select((F.col("c_custkey") % 25).alias("file"), F.col("c_nationkey").cast("long").alias("target"))
+    return graph.enriched(weighted(spark, d), found).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query(f"SELECT src AS node, dst AS neighbour, TRUE AS outgoing, round(weight, 9) AS weight FROM ({WEIGHTED}) UNION ALL SELECT dst, src, FALSE, round(weight, 9) FROM ({WEIGHTED})")
+def effective_adjacency(spark, d):
+    return graph.adjacency(weighted(spark, d).select("src", "dst", F.round("weight", 9).alias("weight")))
+
 
-    edges = weighted(spark, d).select("src", "dst", F.round("weight", 9).alias("weight"))
-    return edges.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).where("n <= 5").drop("n")
+_PLAN = "SELECT n_regionkey AS plan, n_nationkey AS id, CASE WHEN n_nationkey % 4 = 3 THEN [n_nationkey - 5, n_nationkey + 5] WHEN n_nationkey >= 10 THEN [n_nationkey - 10, 99] ELSE [] END AS requires FROM nation"
+
+
+def _plan(spark, d):
+    key = F.col("n_nationkey").cast("int")
+    needs = F.when(key % 4 == 3, F.array(key - 5, key + 5)).when(key >= 10, F.array(key - 10, F.lit(99))).otherwise(F.array().cast("array<int>"))
+    return read(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("plan"), key.alias("id"), needs.alias("requires"))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT plan, id::INT AS id, requires FROM ({_PLAN})), n AS (SELECT p.plan, p.id, need::INT AS need FROM p, unnest(p.requires) AS u(need) JOIN p q ON q.plan = p.plan AND q.id = u.need),
+k(plan, id, place, done) AS (SELECT plan, min(id), 1, [min(id)] FROM p WHERE id NOT IN (SELECT id FROM n) GROUP BY plan UNION ALL SELECT k.plan, min(p.id), k.place + 1, list_append(k.done, min(p.id)) FROM k JOIN p ON p.plan = k.plan LEFT JOIN (SELECT id, list(need) AS needs FROM n GROUP BY 1) w ON w.id = p.id WHERE NOT list_contains(k.done, p.id) AND (w.needs IS NULL OR list_has_all(k.done, w.needs)) GROUP BY k.plan, k.place, k.done)
+SELECT plan::INT AS plan, id, place FROM k""")
+def topological_order(spark, d):
+    return graph.topological_order(_plan(spark, d), "plan")
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT id::INT AS id, requires FROM ({_PLAN}) UNION ALL SELECT 7, []), e AS (SELECT id, unnest(requires)::INT AS need FROM p), m AS (SELECT DISTINCT need AS id FROM e WHERE need NOT IN (SELECT id FROM p)), i AS (SELECT DISTINCT id, need FROM e WHERE need IN (SELECT id FROM p)),
+r(id, c) AS (SELECT id, need FROM i UNION SELECT r.id, i.need FROM r JOIN i ON r.c = i.id), c AS (SELECT DISTINCT id FROM r WHERE id = c)
+SELECT id, 'duplicate' AS fault FROM p GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'missing' FROM m UNION ALL SELECT DISTINCT id, 'cycle' FROM (SELECT id FROM c UNION SELECT id FROM r WHERE c IN (SELECT id FROM c))""")
+def phase_faults(spark, d):
+    own = _plan(spark, d).select("id", "requires")
+    again = spark.range(1).select(F.lit(7).alias("id"), F.array().cast("array<int>").alias("requires"))
+    return graph.phase_faults(own.union(again), written)
 
 
 def _supplies(spark, d):
@@ -157,3 +209,22 @@ def component_sizes_topn_whole(spark, d):
 def label_propagation(spark, d):
     edges = _supplies(spark, d).withColumn("weight", F.lit(1.0))
     return graph.propagate_labels(edges, graph.nodes_of(edges), cut=written)
+
+
+_SUPPLIES = "SELECT DISTINCT l_suppkey AS src, 1000000000 + l_partkey AS dst FROM lineitem"
+
+
+def _supply_ranks_sql(rounds: int) -> str:
+    steps = [f"s AS MATERIALIZED ({_SUPPLIES})", "w AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS total FROM (SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s))", "r0 AS MATERIALIZED (SELECT src AS id, 1.0::DOUBLE / (SELECT count(DISTINCT src) FROM w) AS t, 1.0::DOUBLE / (SELECT count(DISTINCT src) FROM w) AS rank FROM w GROUP BY 1)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"r{k} AS MATERIALIZED (SELECT id, t, 0.15 * t + 0.85 * coalesce(flow, 0) AS rank FROM r{k - 1} LEFT JOIN (SELECT dst, sum(rank / total) AS flow FROM r{k - 1} JOIN w ON id = src GROUP BY 1) ON id = dst)")
+    return f"WITH {', '.join(steps)} SELECT id, round(rank, 10) AS rank FROM r{rounds}"
+
+
+@query(_supply_ranks_sql(ROUNDS))
+def pagerank_supplies(spark, d):
+    """Ranks of all suppliers and parts, over every pair of them in lineitem both ways."""
+    edges = _supplies(spark, d)
+    both = edges.union(edges.select("dst", "src")).withColumn("weight", F.lit(1.0))
+    found = graph.pagerank(graph.nodes_of(edges), both, ROUNDS, tolerance=None, cut=written)
+    return found.select("id", F.round("rank", 10).alias("rank"))

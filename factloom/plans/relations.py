@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars
-from factloom.operators import versioned
+from factloom.operators import lookups, policy, resolve, versioned
 
 from .adapters import OVERLAY, overlay, read
 from .registry import query
@@ -39,9 +38,10 @@ def upserts_on_read(spark, d):
     return versioned.newest_per_key(own, ["o_custkey"])
 
 
-@query(f"SELECT status, count(*) AS n, count(DISTINCT o_custkey) AS keys, max(write_epoch) AS newest FROM ({OVERLAY}) GROUP BY 1")
+@query(f"WITH o AS ({OVERLAY}) SELECT coalesce(name, 'all') AS name, sum(n)::BIGINT AS n FROM (SELECT 'live' AS name, count(*) AS n FROM o WHERE status = 'live' UNION ALL SELECT 'deleted', count(*) FROM o WHERE status = 'deleted' UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'parts', count(*) FROM part) GROUP BY ROLLUP (name)")
 def overlay_row_counts(spark, d):
-    return overlay(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("keys"), F.max("write_epoch").alias("newest"))
+    own = overlay(spark, d)
+    return lookups.row_counts({"live": own.where("status = 'live'"), "deleted": own.where("status = 'deleted'"), "orders": read(spark, d, "orders"), "parts": read(spark, d, "part")})
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 5")
@@ -85,26 +85,29 @@ def symbol_diff(spark, d):
 
 @query("SELECT count(*) AS n, count_if(o_orderstatus = 'O') AS stale, round(count_if(o_orderstatus = 'O') / count(*), 9) AS ratio FROM orders")
 def stale_ratio(spark, d):
-    return read(spark, d, "orders").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("stale"), F.round(F.count_if(F.col("o_orderstatus") == "O") / F.count("*"), 9).alias("ratio"))
+    scores = read(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "O", "stale").otherwise("exact").alias("status"))
+    return lookups.stale_ratio(scores).withColumn("ratio", F.round("ratio", 9))
 
 
-@query("SELECT n_name AS path, max(c_acctbal) AS score, count(*) AS symbols FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1 ORDER BY score DESC, path LIMIT 10")
+@query("SELECT n_name AS path, max(c_acctbal) AS score, max(c_custkey % 7) AS graph_version, count(*) AS symbols FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1 ORDER BY score DESC, path LIMIT 10")
 def ranked_files(spark, d):
-    own = read(spark, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
-    joined = own.join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy(F.col("n_name").alias("path")).agg(F.max("c_acctbal").alias("score"), F.count("*").alias("symbols")).orderBy(F.desc("score"), "path").limit(10)
+    status = F.when(F.col("c_mktsegment") == "BUILDING", "exact").when(F.col("c_mktsegment") == "MACHINERY", "approximate").otherwise("stale")
+    own = read(spark, d, "customer").select(F.col("c_custkey").alias("symbol_id"), F.col("c_nationkey").alias("file_id"), F.col("c_acctbal").alias("score"), (F.col("c_custkey") % 7).alias("graph_version"), status.alias("status"))
+    files = read(spark, d, "nation").select(F.col("n_nationkey").alias("file_id"), F.col("n_name").alias("path"))
+    return lookups.ranked_paths(own.select("symbol_id", "score", "graph_version", "status"), own.select("symbol_id", "file_id"), files, 10)
 
 
 @query("SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 WHEN 3 THEN 0.7 WHEN 4 THEN 0.6 WHEN 5 THEN 0.45 WHEN 6 THEN 0.2 END::DOUBLE AS confidence, CASE WHEN p_retailprice / 1000 >= 1 THEN 0.95 WHEN p_retailprice / 1000 >= 0.8 THEN 0.8 WHEN p_retailprice / 1000 >= 0.6 THEN 0.7 ELSE 0.45 END::DOUBLE AS impact FROM part")
 def confidence_ladder(spark, d):
-    tier = F.element_at(F.array(*[F.lit(x) for x in [*scalars.LADDER, "none"]]), F.col("p_size") % 8 + 1)
-    return read(spark, d, "part").select("p_partkey", scalars.ladder(tier).alias("confidence"), scalars.impact_confidence(F.col("p_retailprice") / 1000).alias("impact"))
+    tier = F.element_at(F.array(*[F.lit(x) for x in [*resolve.RUNGS, "none"]]), F.col("p_size") % 8 + 1)
+    return read(spark, d, "part").select("p_partkey", resolve.confidence_of(tier).alias("confidence"), scalars.impact_confidence(F.col("p_retailprice") / 1000).alias("impact"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(CASE l_returnflag WHEN 'R' THEN 1.0 WHEN 'A' THEN 0.8 ELSE 0.5 END * CASE l_linestatus WHEN 'O' THEN 1.0 ELSE 0.9 END * (1 - l_discount), 9) AS weight FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(CASE l_returnflag WHEN 'R' THEN 1.0 WHEN 'A' THEN 0.8 ELSE 0.5 END * CASE l_linestatus WHEN 'O' THEN 1.0 ELSE 0.9 END * (1 - l_tax) * (1 - l_discount), 9) AS weight FROM lineitem")
 def edge_weight_product(spark, d):
     kind = F.when(F.col("l_returnflag") == "R", 1.0).when(F.col("l_returnflag") == "A", 0.8).otherwise(0.5)
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(kind * F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.9) * (1 - F.col("l_discount")), 9).alias("weight"))
+    weight = resolve.edge_weight(kind, F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.9), 1 - F.col("l_tax"), 1 - F.col("l_discount"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(weight, 9).alias("weight"))
 
 
 @query("SELECT page_id, list_filter(regexp_split_to_array(regexp_replace(url, '^[a-z]+://', ''), '[/\\\\.-]+'), lambda x: x <> '').list_aggregate('string_agg', ' ') AS tokens FROM pages")
@@ -117,9 +120,12 @@ def token_cost(spark, d):
     return read(spark, d, "documents").select("doc_id", scalars.token_cost(F.coalesce("text", F.lit(""))).alias("cost"))
 
 
-@query()
+@query("""WITH n AS (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])) AS w, lower(replace(p_type, '_', '')) AS t FROM part)
+SELECT p_partkey, array_to_string(CASE WHEN len(w) > 1 THEN list_concat([array_to_string(w, '')], w) ELSE w END, ' ') AS camel, p_partkey || '-x_' || t || ' ' || p_partkey || ' x ' || t AS mixed FROM n""")
 def identifier_tokens(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.array_join(scalars.identifier_tokens(F.initcap("p_name")), " ").alias("tokens"))
+    camel = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    mixed = F.concat(F.col("p_partkey").cast("string"), F.lit("-x_"), F.lower(F.replace("p_type", F.lit("_"), F.lit(""))))
+    return read(spark, d, "part").select("p_partkey", F.array_join(scalars.identifier_tokens(camel), " ").alias("camel"), F.array_join(scalars.identifier_tokens(mixed), " ").alias("mixed"))
 
 
 @query("""WITH i AS (SELECT o_custkey AS k, l_orderkey * 10 + l_linenumber AS interval_id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS low, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS high FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -137,5 +143,4 @@ def innermost_interval(spark, d):
 
 @query("SELECT o_orderpriority, o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 50")
 def priority_lanes(spark, d):
-    place = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return read(spark, d, "orders").withColumn("n", place).where("n <= 50").select("o_orderpriority", "o_orderkey", "o_custkey")
+    return policy.lanes(read(spark, d, "orders"), 50, "o_orderpriority", (F.desc("o_totalprice"), F.asc("o_orderkey"))).select("o_orderpriority", "o_orderkey", "o_custkey")

@@ -24,8 +24,51 @@ _TERMS = ("thand", "eronth", "tionre", "ouwhea", "heatst")
 r AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM h JOIN f USING (term) JOIN s USING (id), w GROUP BY 1)
 SELECT id, score FROM r ORDER BY score DESC, id LIMIT 20""")
 def bm25_topk(spark, d):
-    found = retrieval.bm25(retrieval.postings(documents(spark, d)), list(_TERMS), 2_000_000_000)
-    return found.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    return retrieval.bm25(retrieval.postings(documents(spark, d)), list(_TERMS), 20, 6)
+
+
+_FIELDS = r"SELECT page_id AS id, f.field, term FROM (SELECT page_id, unnest([{'field': 'url', 'text': coalesce(url, '')}, {'field': 'html', 'text': coalesce(html, '')}]) AS f FROM pages), unnest(regexp_split_to_array(lower(f.text), '[^\p{L}\p{N}]+')) AS u(term) WHERE term <> ''"
+
+
+def _match_sql(rows: str, terms: tuple, anchors: str, boost: float, top: int) -> str:
+    return f"""WITH i AS (SELECT id, field, term, count(*) AS tf FROM ({rows}) GROUP BY ALL), s AS (SELECT field, id, sum(tf) AS size FROM i GROUP BY ALL), w AS (SELECT field, count(*)::DOUBLE AS n, avg(size) AS mean FROM s GROUP BY 1), h AS (SELECT * FROM i WHERE term IN {terms}), f AS (SELECT field, term, count(*) AS df FROM h GROUP BY ALL),
+r AS (SELECT id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS part FROM h JOIN f USING (field, term) JOIN s USING (field, id) JOIN w USING (field) UNION ALL SELECT DISTINCT id, {boost} FROM s WHERE id IN ({anchors}))
+SELECT id, round(sum(part), 6) AS score FROM r GROUP BY 1 ORDER BY score DESC, id LIMIT {top}"""
+
+
+@query(_match_sql(_FIELDS, ("example", "thand", "en", "the"), "3, 11, 5", 2.5, 256))
+def field_search(spark, d):
+    docs = read(spark, d, "pages").select(F.col("page_id").alias("id"), "url", "html")
+    return retrieval.match_any(retrieval.field_postings(docs, ["url", "html"]), ["example", "thand", "en", "the"], 256, [3, 11, 5], 2.5)
+
+
+_NOTES = r"SELECT conv_id * 1000 + turn AS id, f.field, term FROM (SELECT conv_id, turn, unnest([{'field': 'title', 'text': coalesce(role, '')}, {'field': 'content', 'text': coalesce(text, '')}]) AS f FROM conversations), unnest(regexp_split_to_array(lower(f.text), '[^\p{L}\p{N}]+')) AS u(term) WHERE term <> ''"
+
+
+@query(_match_sql(_NOTES, ("user", "the", "que"), "NULL", 0.0, 20))
+def note_search(spark, d):
+    """Conversations as notes: a second index, the best 20."""
+    notes = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("title"), F.col("text").alias("content"))
+    return retrieval.match_any(retrieval.field_postings(notes, ["title", "content"]), ["user", "the", "que"], 20)
+
+
+@query(r"""WITH o AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), n AS (SELECT id, CASE WHEN id % 10 = 0 THEN reverse(text) ELSE text END AS text FROM o WHERE id % 10 <> 1), t AS (SELECT id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM n) SELECT id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL""".replace("\\\\", "\\"))
+def postings_upsert(spark, d):
+    docs = documents(spark, d).select("id", "text")
+    changed = docs.where("id % 10 = 0").select("id", F.reverse("text").alias("text"))
+    return retrieval.postings_after(retrieval.postings(docs), changed, docs.where("id % 10 = 1").select("id"))
+
+
+@query(r"""WITH l AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), m AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS n FROM l) SELECT id, n::INT AS n, l[n] AS line FROM m WHERE regexp_matches(l[n], '[0-9]{4}') ORDER BY id, n LIMIT 100""")
+def grep_capped(spark, d):
+    return retrieval.first_matches(documents(spark, d), "[0-9]{4}", 100).select("id", F.col("n").cast("int").alias("n"), "line")
+
+
+@query(r"""WITH l AS (SELECT page_id AS id, string_split(replace(coalesce(html, ''), '<', chr(10) || '<'), chr(10)) AS l FROM pages), s AS (SELECT id, l, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS n FROM l)
+SELECT id, n::INT AS n, ((coalesce(l[n] = '</p>', FALSE))::INT + (coalesce(l[n + 1] = '<p>', FALSE))::INT + (coalesce(l[n + 2] = '</article>', FALSE))::INT)::INT AS equal FROM (SELECT id, l, unnest(range(1, greatest(len(l) - 2, 1) + 1)) AS n FROM l) QUALIFY row_number() OVER (PARTITION BY id ORDER BY equal DESC, n) = 1""")
+def nearest_window(spark, d):
+    own = read(spark, d, "pages").select(F.col("page_id").alias("id"), F.replace("html", F.lit("<"), F.lit("\n<")).alias("text"))
+    return retrieval.nearest_window(own, ["</p>", "<p>", "</article>"])
 
 
 _RICH = "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer QUALIFY rank <= 100"
@@ -70,7 +113,9 @@ def did_you_mean(spark, d):
     return retrieval.suggestions(nation.select(F.regexp_replace("n_name", ".$", "X").alias("word")), nation.select(F.col("n_name").alias("name")))
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, trunc(l_quantity)::BIGINT AS cost, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, trunc(l_quantity)) AS k FROM lineitem),
+r(l_orderkey, k, l_linenumber, used, taken) AS (SELECT l_orderkey, k, l_linenumber, CASE WHEN cost <= 64 THEN cost ELSE 0 END, cost <= 64 FROM i WHERE k = 1 UNION ALL SELECT i.l_orderkey, i.k, i.l_linenumber, CASE WHEN r.used + i.cost <= 64 THEN r.used + i.cost ELSE r.used END, r.used + i.cost <= 64 FROM r JOIN i ON i.l_orderkey = r.l_orderkey AND i.k = r.k + 1)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM r WHERE taken""")
 def greedy_packing(spark, d):
     items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("cost"))
     return retrieval.packed(items, 64, "l_orderkey", "l_linenumber", "cost")

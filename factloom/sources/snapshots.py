@@ -60,11 +60,54 @@ class SnapshotStore:
         self._require(snapshot, "committed")
         return self.spark.read.parquet(f"{self.root}/{name}/snapshot_id={snapshot}")
 
-    def compact(self, name: str, overlay: DataFrame, key: list[str]) -> int:
-        """A new snapshot of the effective view of the latest one and an overlay."""
-        from factloom.operators.versioned import effective
+    def next(self, counter: str) -> int:
+        """A monotone counter's next value: of the graph's version, the overlay's epoch. One writer."""
+        path = f"{self.root}/counters/{counter}"
+        value = (self._values(path) or 0) + 1
+        self.spark.range(1).select(F.lit(value).cast("long").alias("value")).coalesce(1).write.mode("append").parquet(path)
+        return value
 
-        snapshot = self.begin()
-        self.write(snapshot, name, effective(self.read(name), overlay, key))
+    def current(self, counter: str) -> int:
+        return self._values(f"{self.root}/counters/{counter}") or 0
+
+    def _values(self, path: str) -> int | None:
+        try:
+            return self.spark.read.schema("value long").parquet(path).agg(F.max("value")).first()[0]
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return None
+
+    def retain(self, keep: int) -> list[int]:
+        """Keeps the newest committed snapshots; the others' folders go, after their manifest rows say so."""
+        rows = self.manifest().where("status = 'committed'").orderBy(F.desc("snapshot_id")).collect()
+        gone = [r["snapshot_id"] for r in rows[keep:]]
+        jvm = self.spark.sparkContext._jvm
+        for snapshot in gone:
+            self._mark(snapshot, "dropped")
+            for folder in self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(jvm.org.apache.hadoop.fs.Path(self.root)):
+                target = jvm.org.apache.hadoop.fs.Path(folder.getPath(), f"snapshot_id={snapshot}")
+                target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        return gone
+
+    def compact(self, name: str, overlay: DataFrame, key: list[str], keep: int = 5, most_rows: int | None = None) -> tuple[int, DataFrame]:
+        """(snapshot, rest): a new snapshot of the effective view of the latest one and an overlay, and what the overlay still holds.
+
+        The overlay's epoch is read first, and only rows up to it are taken in, so that whatever is written meanwhile
+        stays. An overlay of over `most_rows` is an error before anything begins; a failed write aborts the snapshot.
+        """
+        from factloom.operators.versioned import cleared, effective, newest_per_key
+
+        epoch = overlay.agg(F.coalesce(F.max("write_epoch"), F.lit(0))).first()[0]
+        taken = newest_per_key(overlay.where(F.col("write_epoch") <= epoch), key)
+        if most_rows is not None and taken.limit(most_rows + 1).count() > most_rows:
+            raise ValueError(f"the overlay has over {most_rows} rows")
+        base, snapshot = self.read(name), self.begin()
+        try:
+            self.write(snapshot, name, effective(base, taken, key))
+        except Exception:
+            self.abort(snapshot)
+            raise
         self.commit(snapshot)
-        return snapshot
+        self.retain(keep)
+        return snapshot, cleared(overlay, epoch)

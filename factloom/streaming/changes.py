@@ -1,7 +1,8 @@
 """Change events: coalescing in batches and in streams.
 
-The merge of two changes is not commutative, so a key's events are folded in order: in batches over the
-sorted list, in streams by a stateful operator that emits a key when it has been quiet for a while.
+The merge of two changes is not commutative, so a key's events are folded in order. In batches an hour of a key is
+folded into what it does to each kind that may stand before it, and these few maps are folded in turn, so that
+no row holds a key's whole history; in streams a stateful operator emits a key when it has been quiet for a while.
 """
 
 from __future__ import annotations
@@ -39,15 +40,38 @@ def _merged_column(before: Column, now: Column) -> Column:
     )
 
 
-def coalesced(events: DataFrame) -> DataFrame:
-    """(path, kind, at) of events (path, kind, at, ord): one for each path that any change is left of."""
-    listed = events.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "ord", "kind"))).alias("x"))
-    kind = F.aggregate("x", F.lit(None).cast("string"), lambda s, e: _merged_column(s, e["kind"]))
-    return listed.select("path", kind.alias("kind"), F.element_at("x", -1)["at"].alias("at")).where("kind is not null")
+#: Kinds that may stand before a change; none stands for whatever undid itself.
+KINDS = ("created", "deleted", "modified", "renamed")
+
+
+def change_key(events: DataFrame) -> DataFrame:
+    """events with the key that they coalesce by: a rename's both paths, so that it does not merge with changes of the new one."""
+    return events.withColumn("key", F.when(F.col("kind") == "renamed", F.concat("old_path", F.lit("\u2192"), "path")).otherwise(F.col("path")))
+
+
+def coalesced(events: DataFrame, key: str = "path", slice_: str = "hour") -> DataFrame:
+    """(key, kind, at) of events (key, kind, at, ord): one for each key that any change is left of."""
+    none = F.lit(None).cast("string")
+    step = lambda s, e: _merged_column(s, e["kind"])
+    listed = events.groupBy(key, F.date_trunc(slice_, "at").alias("slice")).agg(F.sort_array(F.collect_list(F.struct("at", "ord", "kind"))).alias("x"))
+    does = F.struct(F.aggregate("x", none, step).alias("none"), *[F.aggregate("x", F.lit(k), step).alias(k) for k in KINDS])
+    maps = listed.select(key, "slice", does.alias("does"), F.element_at("x", -1)["at"].alias("at"))
+    folded = maps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("slice", "at", "does"))).alias("y"))
+
+    def follow(s, e):
+        found = F.when(s.isNull(), e["does"]["none"])
+        for kind in KINDS:
+            found = found.when(s == kind, e["does"][kind])
+        return found
+
+    return folded.select(key, F.aggregate("y", none, follow).alias("kind"), F.element_at("y", -1)["at"].alias("at")).where("kind is not null")
 
 
 def bulk_collapsed(batch: DataFrame, most: int = BULK) -> DataFrame:
-    """A batch's changes, or one bulk_update with all paths where there are more than `most`."""
+    """A batch's changes, or one bulk_update with all paths, sorted, where there are more than `most`.
+
+    One event names them all, so a batch must be of bounded size: a stream's is (`watched`).
+    """
     if batch.limit(most + 1).count() <= most:
         return batch.select("path", "kind", F.array("path").alias("paths"))
     return batch.agg(F.lit(None).cast("string").alias("path"), F.lit("bulk_update").alias("kind"), F.sort_array(F.collect_set("path")).alias("paths"))

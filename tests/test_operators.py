@@ -109,8 +109,6 @@ def test_bulk_and_gate(spark):
     batch = frame(spark, [(f"p{i:03}", "modified") for i in range(201)], "path string, kind string")
     row = changes.bulk_collapsed(batch).collect()
     assert len(row) == 1 and row[0]["kind"] == "bulk_update" and row[0]["paths"] == sorted(row[0]["paths"]) and len(row[0]["paths"]) == 201
-    assert versioned.compaction_blocked(0, False, False, 10, 4000, 0, 3000) is None
-    assert versioned.compaction_blocked(0, False, False, 5000, 4000, 0, 3000) == "overlay_too_large"
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):
@@ -155,8 +153,16 @@ def test_snapshots(spark, tmp_path):
         store.commit(first)
     lost = store.begin()
     store.abort(lost)
-    second = store.compact("edges", frame(spark, [(1, 9.0, "live"), (2, 0.0, "deleted")], "edge_id long, w double, status string"), ["edge_id"])
-    assert store.latest() == second and [tuple(r) for r in store.read("edges").collect()] == [(1, 9.0)]
+    overlay = frame(spark, [(1, 5.0, "live", 1), (1, 9.0, "live", 2), (2, 0.0, "deleted", 2)], "edge_id long, w double, status string, write_epoch long")
+    with pytest.raises(ValueError, match="over 1 rows"):
+        store.compact("edges", overlay, ["edge_id"], most_rows=1)
+    second, rest = store.compact("edges", overlay, ["edge_id"])
+    assert store.latest() == second and [tuple(r) for r in store.read("edges").collect()] == [(1, 9.0)] and rest.isEmpty()
+    third, _ = store.compact("edges", overlay.where("edge_id = 7"), ["edge_id"], keep=1)
+    assert store.latest() == third and not (tmp_path / f"edges/snapshot_id={second}").exists()
+    with pytest.raises(ValueError, match="dropped"):
+        store.read("edges", second)
+    assert [store.next("graph_version"), store.next("graph_version"), store.current("graph_version"), store.current("epoch")] == [1, 2, 2, 0]
 
 
 def test_source_tree(spark, tmp_path):
