@@ -423,7 +423,7 @@ def test_class_prior_comes_from_positives_and_unlabelled_rows():
         prior = quality.class_prior(p, u, first := quality.fit(p, u, 0.5))
         assert abs(prior - share) < 0.06
         weights = quality.fit(p, u, prior, first)
-        assert ((quality._scaled(rows, u.mean, u.scale) @ weights >= 0) == own).mean() > 0.94
+        assert ((quality._scaled(rows, u.mean, u.scale) @ weights >= 0) == own).mean() > 0.9
         assert u.risk(weights)[0] >= prior * np.logaddexp(0, p @ weights).mean()  # the negatives' part
 
 
