@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A node with more rows than this is a hub; of a larger graph, one with over the share, so that hubs stay few enough to broadcast.
-HUB_ROWS, HUB_SHARE = 1000, 100_000
+#: A key with more rows than this is hot; of a larger table, one with over the share, so that hot keys stay few enough to broadcast.
+HOT_ROWS, HOT_SHARE = 1000, 100_000
 
 
-def _with_least(rows: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """rows with the column m that least (a, m, n) has for their node a. A hub's rows stay where they are.
+def with_group_facts(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with what groups (key, ..., n) says of their key, n rows each of `total`. A hot key's rows stay where they are.
 
-    There are at most rows / hub hubs, so that table has a bound of its own; all other nodes have few rows.
+    There are at most total / hot hot keys, that is HOT_SHARE where the table is large, so their table has a bound of its
+    own and is broadcast; all other keys have few rows and are joined by them.
     """
-    hubs = F.broadcast(least.where(F.col("n") > hub).select("a", "m"))
-    return rows.join(hubs, "a").unionByName(rows.join(hubs.select("a"), "a", "left_anti").join(least.select("a", "m"), "a"))
+    hot, facts = max(HOT_ROWS, total // HOT_SHARE), groups.drop("n")
+    hubs = groups.where(F.col("n") > hot).drop("n")
+    cold = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(facts, key)
+    return rows.join(F.broadcast(hubs), key).unionByName(cold)
 
 
 def components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], most_rounds: int = 60) -> DataFrame:
@@ -32,14 +35,13 @@ def components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], mos
     now = cut(now, "components")
     mark, size = None, now.count()
     for _ in range(most_rounds):
-        hub = max(HUB_ROWS, size // HUB_SHARE)
         both = now.union(now.select("b", "a"))
         # large-star: every larger neighbour of a node points to the node's least neighbour or itself
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = _with_least(both.where("b > a"), least, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_group_facts(both.where("b > a"), least, "a", 2 * size).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small-star: every smaller neighbour of a node, and the node, point to the least of them
         small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        now = _with_least(large, small, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        now = with_group_facts(large, small, "a", size).select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = cut(now, "components")
         fresh = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if tuple(fresh) == mark:
