@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.components import components
+from factloom.operators.components import components, with_group_facts
 
 from .common import lean, table, texts, written
 
@@ -345,11 +345,11 @@ def near_duplicates(documents: DataFrame, measure: Measure = OP8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents."""
     signed = written(_signed(documents, measure), "signed")
     known = signed.where("n_shingles > 0 and doc is not null")
-    same = known.groupBy("set_hash").agg(F.min("doc").alias("rep"))
-    firsts = known.join(same.withColumnRenamed("rep", "doc"), ["doc", "set_hash"], "left_semi").dropDuplicates(["doc", "set_hash"])
+    same = known.groupBy("set_hash").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
+    firsts = known.join(same.select("set_hash", F.col("rep").alias("doc")), ["doc", "set_hash"], "left_semi").dropDuplicates(["doc", "set_hash"])
     # The same join at every size: a small corpus must not hide what a large one has to move.
     text = texts(documents).where("doc_id is not null").withColumnRenamed("doc_id", "doc").hint("merge")
-    sets = known.select("doc", "set_hash").join(same, "set_hash").select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
+    sets = with_group_facts(known.select("doc", "set_hash"), same, "set_hash", known.count()).select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
     labels = components(links(text, firsts, measure).union(sets), written)
     out = signed.select(F.col("doc").alias("doc_id"), "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.components import with_group_facts
+
 from .common import shared_folder, table, tasks, texts, written
 from .suffix_array import shared_prefixes, suffix_array, words_at
 
@@ -391,8 +393,9 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     own = texts(documents).withColumn("h", F.sha2("text", 256))
     ids = own.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"))
     known = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h", "n_bytes")).alias("x")).select("doc_id", "x.*")
-    copies = known.groupBy("h").agg(F.min("doc_id").alias("first"))
-    known = written(known.join(copies, "h"), "known")
+    known = written(known, "known")
+    copies = known.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    known = written(with_group_facts(known, copies, "h", known.count()), "known")
     size = known.where("doc_id = first").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     partitions = max(tasks(documents.sparkSession), -(-size // MEET_BYTES))
     chosen = known.where("doc_id = first").select("doc_id", F.col("h").alias("own_h"))
