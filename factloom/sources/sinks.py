@@ -7,6 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.retrieval import postings, postings_after
+from factloom.plans.scratch import written
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -78,9 +81,58 @@ def notes_after(notes: DataFrame, edits: DataFrame) -> DataFrame:
     return best.select("name", "x.content")
 
 
-def compacted_files(spark: SparkSession, source: str, target: str, files: int) -> None:
-    """The same rows in fewer files; the reader switches to the target once it is whole."""
-    spark.read.parquet(source).coalesce(files).write.mode("overwrite").parquet(target)
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """What a folder holds, by its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+def compacted_files(spark: SparkSession, source: str, target: str, file_bytes: int = 256 << 20) -> int:
+    """The same rows in files of about so many bytes, and how many these are; the reader switches to the target once it is whole."""
+    files = max(1, -(-stored_bytes(spark, source) // file_bytes))
+    spark.read.parquet(source).repartition(files).write.mode("overwrite").parquet(target)
+    return files
+
+
+def vacuumed(spark: SparkSession, source: str, target: str, last_ms: int | None, now_ms: int, interval_ms: int, file_bytes: int = 256 << 20) -> bool:
+    """Compacts a folder where its last time, if any, is an interval ago or more, and tells whether it did."""
+    due = last_ms is None or now_ms - last_ms >= interval_ms
+    if due:
+        compacted_files(spark, source, target, file_bytes)
+    return due
+
+
+class PostingStore:
+    """A text index on Parquet in buckets by document; a batch rewrites the buckets that it touches."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.buckets, self.table = spark, buckets, VersionedTable(spark, path, ["bucket"])
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int"))
+
+    def read(self) -> DataFrame | None:
+        found = self.table.read()
+        return None if found is None else found.select("id", "term", "tf")
+
+    def upsert(self, docs: DataFrame, gone: DataFrame | None = None) -> None:
+        """Documents (id, text) replace their postings, gone ones (id) lose theirs."""
+        held = self.table.read()
+        if held is None:
+            self.rebuild(docs)
+            return
+        ids = docs.select("id") if gone is None else docs.select("id").union(gone.select("id"))
+        touched = self._bucketed(ids).select("bucket").distinct()
+        after = postings_after(held.join(F.broadcast(touched), "bucket", "left_semi").select("id", "term", "tf"), docs, gone)
+        # A bucket that loses all its documents would not be overwritten: its folder holds one row that says nothing.
+        empty = touched.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"), "bucket")
+        self.table.upsert(written(self._bucketed(after).unionByName(empty), "postings"))
+
+    def rebuild(self, docs: DataFrame) -> None:
+        self.table.upsert(self._bucketed(postings(docs)))
+
+    def postings(self) -> DataFrame:
+        return self.read().where("id is not null")
 
 
 def written_json(report: DataFrame, path: str) -> None:

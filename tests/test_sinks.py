@@ -44,5 +44,5 @@ def test_reports(spark, tmp_path):
     edges = spark.createDataFrame([("b", 'a"'), ("a", "b"), ("a", "b")], "src string, dst string")
     assert sinks.dot(edges) == 'digraph {\n  "a" -> "b";\n  "b" -> "a\\"";\n}\n'
     frame.write.parquet(str(tmp_path / "many"))
-    sinks.compacted_files(spark, str(tmp_path / "many"), str(tmp_path / "few"), 1)
+    sinks.compacted_files(spark, str(tmp_path / "many"), str(tmp_path / "few"))
     assert spark.read.parquet(str(tmp_path / "few")).count() == 2

@@ -12,7 +12,7 @@ from factloom.operators import graph, lookups, retrieval
 from factloom.operators.components import components, node_components
 from factloom.plans.scratch import shared_folder, written
 from factloom.sources import files, rules
-from factloom.sources.sinks import VersionedTable
+from factloom.sources.sinks import PostingStore, VersionedTable, vacuumed
 from factloom.streaming import watching
 
 
@@ -174,6 +174,22 @@ def test_versioned_table_replaces_partitions(spark, tmp_path):
     assert sorted((r["name"], r["graph_version"], r["x"]) for r in table.read().collect()) == [("a", 1, 5), ("a", 2, 8)]
 
 
+def test_posting_store(spark, tmp_path):
+    store, docs = PostingStore(spark, str(tmp_path / "index"), 4), spark.createDataFrame([(i, f"w{i} w{i % 3} all") for i in range(20)], "id long, text string")
+    store.upsert(docs)
+    changed, gone = spark.createDataFrame([(3, "new all"), (99, "w0")], "id long, text string"), spark.range(10, 15)
+    store.upsert(changed, gone)
+    want = {(i, w) for i in range(20) for w in {f"w{i}", f"w{i % 3}", "all"} if i != 3 and not 10 <= i < 15} | {(3, "new"), (3, "all"), (99, "w0")}
+    assert {(r["id"], r["term"]) for r in store.postings().collect()} == want
+
+
+def test_vacuum_waits_for_its_interval(spark, tmp_path):
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "many"))
+    assert not vacuumed(spark, str(tmp_path / "many"), str(tmp_path / "few"), 1000, 1999, 1000)
+    assert vacuumed(spark, str(tmp_path / "many"), str(tmp_path / "few"), 1000, 2000, 1000)
+    assert len(list((tmp_path / "few").glob("*.parquet"))) == 1 and spark.read.parquet(str(tmp_path / "few")).count() == 100
+
+
 def test_listing_of_a_folder(spark):
     rows = [("a/b/c.py", 1), ("a/b/d.py", 2), ("a/x.py", 3), ("ab/y.py", 4), ("a", 5)]
     found = lookups.listing(spark.createDataFrame(rows, "path string, size long"), "a/")
