@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys of an answer that its payload may not override.
@@ -128,6 +129,17 @@ def reflowed(replacement, searched, matched) -> Column:
     return indented(dedented(replacement, common_margin(searched)), _margin(first))
 
 
+def signature_hashes(symbols: DataFrame) -> DataFrame:
+    """(id, signature, hash) of symbols (id, signature): the canonical form, which renamed type parameters do not change, in batches."""
+
+    def each(frames):
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "signature": [canonical_signature(x or "") for x in frame["signature"]]})
+
+    own = symbols.select("id", "signature").mapInPandas(each, f"id {symbols.schema['id'].dataType.simpleString()}, signature string")
+    return own.withColumn("hash", F.substring(F.sha2("signature", 256), 1, 16))
+
+
 def canonical_signature(text: str) -> str:
     """A signature without its body, with single blanks and type parameters named by their place. Plain Python, for batches."""
     own = " ".join(text.partition("{")[0].split())

@@ -261,3 +261,13 @@ def elided(text: str, keep: int = 1) -> str:
                 hidden = margin
                 out.append(" " * (margin + 4) + "...")
     return "\n".join(out)
+
+
+def elided_files(files: DataFrame, keep: int = 1) -> DataFrame:
+    """(path, text) of files (path, text) with the bodies of their definitions left out, in batches."""
+
+    def each(frames):
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "text": [elided(x or "", keep) for x in frame["text"]]})
+
+    return files.select("path", "text").mapInPandas(each, f"path {files.schema['path'].dataType.simpleString()}, text string")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import codes, scalars
-from factloom.operators import resolve, traces
+from factloom.operators import resolve, retrieval, traces
+from factloom.sources import files
 from factloom.streaming import changes
 
 from .adapters import read
@@ -112,3 +113,45 @@ def coalesced_renames(spark, d):
 def bulk_update(spark, d):
     batch = read(spark, d, "customer").select(F.col("c_name").alias("path"), F.lit("modified").alias("kind"))
     return changes.bulk_collapsed(batch, 50).select("path", "kind", F.array_join("paths", ",").alias("paths"))
+
+
+@query("SELECT p_partkey AS id, 'func ' || replace(p_name, ' ', '') || '[T0 any, T1 any](a T0, K2 T1) T0' AS signature, sha256('func ' || replace(p_name, ' ', '') || '[T0 any, T1 any](a T0, K2 T1) T0')[1:16] AS hash FROM part")
+def canonical_signatures(spark, d):
+    key = F.when(F.col("p_partkey") % 2 == 0, "K").otherwise("Elem")
+    text = F.concat(F.lit("func  "), F.replace("p_name", F.lit(" "), F.lit("")), F.lit("["), key, F.lit(" any, V any](a "), key, F.lit(",\n\tK2 V) "), key, F.lit(" { return a }"))
+    return codes.signature_hashes(read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("signature")))
+
+
+@query("SELECT p_partkey AS path, 'import x' || chr(10) || 'class A:' || chr(10) || '    def f(self):' || chr(10) || '        ...' || chr(10) || 'y = ' || p_size AS text FROM part")
+def elided_bodies(spark, d):
+    text = F.concat(F.lit("import x\nclass A:\n    def f(self):\n        z = "), F.col("p_partkey").cast("string"), F.lit("\n        return z\ny = "), F.col("p_size").cast("string"))
+    return retrieval.elided_files(read(spark, d, "part").select(F.col("p_partkey").alias("path"), text.alias("text")), 2)
+
+
+#: A file for each of five languages, and the definitions and relations in it: name, qualified name, line; relation, of, to.
+_SOURCES = (
+    ("a.go", 'package a\nimport "fmt"\nfunc (s *Store) Put(k string) {\n}\n', (("Put", "Store.Put", 3),), (("imports", "", "fmt"),)),
+    ("b.py", "import os\nclass A(B):\n    def m(self):\n        pass\n", (("A", "A", 2), ("m", "A.m", 3)), (("imports", "", "os"), ("inherits", "A", "B"))),
+    ("c.ts", 'import {x} from "./x";\nclass P extends Q {\n  speak(a: string) {\n  }\n}\n', (("P", "P", 2), ("speak", "P.speak", 3)), (("imports", "", "./x"), ("inherits", "P", "Q"))),
+    ("d.lua", "function run(a)\nend\n", (("run", "run", 1),), ()),
+    ("e.sh", "deploy() {\n  x\n}\n", (("deploy", "deploy", 1),), ()),
+)
+
+
+def _sources(spark, d):
+    pick = lambda k: F.get(F.array(*[F.lit(x[k]) for x in _SOURCES]), (F.col("p_partkey") % 5).cast("int"))
+    return read(spark, d, "part").select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), pick(0)).alias("path"), pick(1).alias("content"))
+
+
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows) + ")"
+
+
+@query(f"SELECT 'src/' || p_partkey || f AS file, name, qualified, line FROM part JOIN {_values((k, x[0], *t) for k, x in enumerate(_SOURCES) for t in x[2])} AS v(k, f, name, qualified, line) ON k = p_partkey % 5")
+def extracted_definitions(spark, d):
+    return files.tags(_sources(spark, d)).where("kind = 'def'").select("file", "name", "qualified", "line")
+
+
+@query(f"SELECT 'src/' || p_partkey || f AS file, relation, of, \"to\" FROM part JOIN {_values((k, x[0], *t) for k, x in enumerate(_SOURCES) for t in x[3])} AS v(k, f, relation, of, \"to\") ON k = p_partkey % 5")
+def extracted_relations(spark, d):
+    return files.structure(_sources(spark, d)).select("file", "relation", F.coalesce("of", F.lit("")).alias("of"), "to")
