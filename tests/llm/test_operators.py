@@ -530,3 +530,55 @@ def test_licenses_in_wrapped_and_commented_texts():
                 assert [(x[2], x[3]) for x in licenses.licenses(f"{A}\n{wrapped(text, n, mark)}\n{B}", listed)[1]] == [(name, 0)], (name, n, mark)
     own = (("own", "Copies of these recipes belong to whoever cooks them."),)
     assert [x[2:] for x in licenses.licenses(f"{A} Copies of those recipes\nbelong to whoever cooks them. {B}", own)[1]] == [("own", 1)]
+
+
+LONG = " ".join(f"v{k % 4999}q{k // 4999}" for k in range(60_000))
+
+
+def test_very_long_texts(spark):
+    """Whole texts of 60,000 words: what stands at their end counts as anywhere."""
+    item, mit = prose(77, 40), licenses.TEMPLATES["mit"]
+    text = f"{LONG} {item} {mit} pwd = 'hunter2hunter2ab' a.b@c.de"
+    docs = spark.createDataFrame([(1, text, "x"), (2, LONG, "y"), (3, text, "z")], "doc_id long, text string, spans string")
+    assert [r["licenses"] for r in licenses.license_scan(docs).orderBy("doc_id").collect()] == ["mit", "", "mit"]
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    assert [r["n_hit"] for r in decontamination.contamination(docs, bench).orderBy("doc_id").collect()] == [40, 0, 40]
+    at = text.index("hunter2")
+    assert [r["spans"] for r in secrets.secret_scan(docs).orderBy("doc_id").collect()] == [f"lexed:{at}:{at + 16}", "", f"lexed:{at}:{at + 16}"]
+    assert [r["n_email"] for r in pii.personal_data(docs).orderBy("doc_id").collect()] == [1, 0, 1]
+    labels = spark.createDataFrame([(k, 1) for k in (1, 2, 3)], "doc_id long, quality int")
+    scores = [r["score"] for r in quality.quality_scores(docs, labels).orderBy("doc_id").collect()]
+    assert scores[0] == scores[2] and all(0 <= x <= 1 for x in scores)
+    assert [r["n_removed"] for r in suffix_dedup.substring_dedup(docs).orderBy("doc_id").collect()] == [0, len(LONG), len(text)]
+    assert [r["component_id"] for r in near_dedup.near_duplicates(docs).orderBy("doc_id").collect()] == [1, 1, 1]
+
+
+def differences_by_brute_force(words, template):
+    """The fewest words to insert, delete or replace until some stretch of the words is the template."""
+    wanted = [w.lower() for w in licenses._WORD.findall(template)]
+    row = [0] * (len(words) + 1)
+    for k, w in enumerate(wanted, 1):
+        now = [k]
+        for j, x in enumerate(words, 1):
+            now.append(min(row[j - 1] + (x != w), row[j] + 1, now[-1] + 1))
+        row = now
+    return min(row), len(wanted)
+
+
+def test_licenses_with_one_word_changed():
+    """Each template with one word changed, alone and beside an intact copy of another: never lost, never taken for what differs more."""
+    listed = tuple(sorted(licenses.TEMPLATES.items()))
+    r = np.random.default_rng(4)
+    for name, template in listed:
+        words = template.split()
+        allowed = int(licenses.MOST_DIFFERENT * len(licenses._template_words(template)))
+        for at in sorted({0, len(words) - 1, *r.integers(0, len(words), 3).tolist()}):
+            changed = " ".join("xyzzy" if k == at else w for k, w in enumerate(words))
+            other = str(r.choice([n for n, _ in listed if n != name and not n.startswith(name[:6])]))
+            for text in (f"{A} {changed} {B}", f"{licenses.TEMPLATES[other]} {A} {changed}"):
+                found = licenses.licenses(text, listed)[1]
+                for a, b, n, d in found:
+                    best, size = differences_by_brute_force([w.lower() for w in licenses._WORD.findall(text[a:b])], licenses.TEMPLATES[n])
+                    assert best <= d <= licenses.MOST_DIFFERENT * size
+                if allowed:
+                    assert any(n == name for _, _, n, _ in found) or any(d <= 1 for *_, d in found), (name, at, found)
