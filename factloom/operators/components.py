@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key with more rows than this is hot; of a larger table, one with over the share, so that hot keys stay few enough to broadcast.
-HOT_ROWS, HOT_SHARE = 1000, 100_000
+HOT_ROWS, HOT_SHARE = 2000, 100_000
 
 
-def with_group_facts(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
-    """rows with what groups (key, ..., n) says of their key, n rows each of `total`. A hot key's rows stay where they are.
+def with_group_facts(rows: DataFrame, groups: DataFrame, key: str, total: int, most: int) -> DataFrame:
+    """rows with what groups (key, ..., n) says of their key, n rows each, `total` in all and `most` at most. A hot key's rows stay where they are.
 
     There are at most total / hot hot keys, that is HOT_SHARE where the table is large, so their table has a bound of its
     own and is broadcast; all other keys have few rows and are joined by them.
     """
     hot, facts = max(HOT_ROWS, total // HOT_SHARE), groups.drop("n")
+    if most <= hot:
+        return rows.join(facts, key)
     hubs = groups.where(F.col("n") > hot).drop("n")
     cold = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(facts, key)
     return rows.join(F.broadcast(hubs), key).unionByName(cold)
@@ -32,21 +34,22 @@ def components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], mos
     materialises a round.
     """
     now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
-    now = cut(now, "components")
-    mark, size = None, now.count()
-    for _ in range(most_rounds):
+    now, mark = cut(now, "components"), None
+    for _ in range(most_rounds + 1):
         both = now.union(now.select("b", "a"))
+        # what the rows are, by a sum of hashes, and the most that a node has of them
+        own = both.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        size, most, hashes = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.sum("h")).first()
+        if (size, hashes) == mark or not size:
+            break
+        mark = (size, hashes)
         # large-star: every larger neighbour of a node points to the node's least neighbour or itself
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = with_group_facts(both.where("b > a"), least, "a", 2 * size).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_group_facts(both.where("b > a"), least, "a", size, most).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small-star: every smaller neighbour of a node, and the node, point to the least of them
         small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        now = with_group_facts(large, small, "a", size).select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        now = with_group_facts(large, small, "a", size, most).select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = cut(now, "components")
-        fresh = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        if tuple(fresh) == mark:
-            break
-        mark, size = tuple(fresh), fresh[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
