@@ -349,7 +349,8 @@ def near_duplicates(documents: DataFrame, measure: Measure = OP8) -> DataFrame:
     firsts = known.join(same.select("set_hash", F.col("rep").alias("doc")), ["doc", "set_hash"], "left_semi").dropDuplicates(["doc", "set_hash"])
     # The same join at every size: a small corpus must not hide what a large one has to move.
     text = texts(documents).where("doc_id is not null").withColumnRenamed("doc_id", "doc").hint("merge")
-    sets = with_group_facts(known.select("doc", "set_hash"), same, "set_hash", known.count()).select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
+    total, most = same.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    sets = with_group_facts(known.select("doc", "set_hash"), same, "set_hash", total, most).select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
     labels = components(links(text, firsts, measure).union(sets), written)
     out = signed.select(F.col("doc").alias("doc_id"), "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -395,7 +395,8 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     known = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h", "n_bytes")).alias("x")).select("doc_id", "x.*")
     known = written(known, "known")
     copies = known.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    known = written(with_group_facts(known, copies, "h", known.count()), "known")
+    total, most = copies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    known = written(with_group_facts(known, copies, "h", total, most), "known")
     size = known.where("doc_id = first").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     partitions = max(tasks(documents.sparkSession), -(-size // MEET_BYTES))
     chosen = known.where("doc_id = first").select("doc_id", F.col("h").alias("own_h"))
