@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .automaton import SPREAD, SuffixAutomaton
 from .common import lean, table, texts
 
 WINDOW = 10
@@ -41,16 +42,8 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_TO_WORDS).split()
 
 
-_SPREAD = 0x9E3779B97F4A7C15
-_ALL = (1 << 64) - 1
-
-
-class Automaton:
-    """Suffix automaton over all items, in flat arrays; states of windows know the items that hold them.
-
-    A transition is an entry of `symbol`, `to` and `after` (the next one of its state) and a slot of an open hash table by
-    (state, symbol). Words are numbered from 1.
-    """
+class Automaton(SuffixAutomaton):
+    """Suffix automaton over all items; states of windows know the items that hold them. Words are numbered from 1."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.window, self.vocabulary = window, {}
@@ -60,22 +53,11 @@ class Automaton:
             if ids:
                 self.names.append(item_id)
                 listed.append(array("i", ids))
-        total = sum(map(len, listed))
-        self.mask = (1 << max(4, (4 * total).bit_length())) - 1  # there are under three transitions a word
-        self.slots = array("i", bytes(4 * (self.mask + 1)))  # a transition's number, from 1
-        self.owner, self.symbol, self.to, self.after = (array("i", [0]) for _ in range(4))
-        self.head, self.link, self.length = array("i", [0]), array("i", [-1]), array("i", [0])
-        for ids in listed:
-            last = 0
-            for c in ids:
-                last = self._extend(last, c)
+        super().__init__(listed)
         pairs, short, shortest = (array("q"), array("q")), defaultdict(set), window
         for k, ids in enumerate(listed):
             if len(ids) < window:
-                state = 0
-                for c in ids:
-                    state = self.to[self._find(state, c)]
-                short[state, len(ids)].add(k)
+                short[self.ends[k], len(ids)].add(k)
                 shortest = min(shortest, len(ids))
             else:
                 for state in self._windows(ids):
@@ -95,75 +77,13 @@ class Automaton:
         """A number for each gram; different grams that share one only make the scan look where nothing is."""
         code = np.zeros(len(ids) - self.gram + 1, np.uint64)
         for j in range(self.gram):
-            code = code * np.uint64(_SPREAD) + ids[j : len(ids) - self.gram + 1 + j]
+            code = code * np.uint64(SPREAD) + ids[j : len(ids) - self.gram + 1 + j]
         return code
 
-    def _slot(self, state: int, c: int) -> int:
-        """Where the transition is, or would be."""
-        slots, owner, symbol, mask = self.slots, self.owner, self.symbol, self.mask
-        k = ((state * 0x2545F491 + c) * _SPREAD & _ALL) >> 24 & mask
-        while (e := slots[k]) and (owner[e] != state or symbol[e] != c):
-            k = k + 1 & mask
-        return k
-
-    def _find(self, state: int, c: int) -> int:
-        return self.slots[self._slot(state, c)]
-
-    def _add(self, state: int, c: int, to: int) -> None:
-        self.slots[self._slot(state, c)] = len(self.to)
-        self.owner.append(state)
-        self.symbol.append(c)
-        self.to.append(to)
-        self.after.append(self.head[state])
-        self.head[state] = len(self.to) - 1
-
-    def _state(self, length: int, link: int) -> int:
-        self.head.append(0)
-        self.length.append(length)
-        self.link.append(link)
-        return len(self.head) - 1
-
-    def _extend(self, last: int, c: int) -> int:
-        if e := self._find(last, c):
-            into = self.to[e]
-            return into if self.length[into] == self.length[last] + 1 else self._split(last, c, into)
-        new, p = self._state(self.length[last] + 1, 0), last
-        while p >= 0 and not (e := self._find(p, c)):
-            self._add(p, c, new)
-            p = self.link[p]
-        if p >= 0:
-            into = self.to[e]
-            self.link[new] = into if self.length[into] == self.length[p] + 1 else self._split(p, c, into)
-        return new
-
-    def _split(self, p: int, c: int, into: int) -> int:
-        copy = self._state(self.length[p] + 1, self.link[into])
-        e = self.head[into]
-        while e:
-            self._add(copy, self.symbol[e], self.to[e])
-            e = self.after[e]
-        self.link[into] = copy
-        while p >= 0 and (e := self._find(p, c)) and self.to[e] == into:
-            self.to[e] = copy
-            p = self.link[p]
-        return copy
-
-    def lengths(self, ids):
-        """(state, longest match ending here) after each id."""
-        state = n = 0
-        for c in ids:
-            while not (e := self._find(state, c)) and state:
-                state = self.link[state]
-                n = self.length[state]
-            state, n = (self.to[e], n + 1) if e else (0, 0)
-            yield state, n
-
     def _windows(self, ids):
         """The state of each window of an item."""
-        for state, n in self.lengths(ids):
-            if n >= self.window:
-                while self.length[self.link[state]] >= self.window:
-                    state = self.link[state]
+        for state, n in self.lengths(ids, self.window):
+            if n == self.window:
                 yield state
 
     def _held(self, state: int) -> list[int]:
@@ -187,15 +107,17 @@ class Automaton:
         at = at[self.grams[np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)] == code]
         if len(at) < self.least:
             return len(own), None, set()
-        hit, found = np.zeros(len(own), bool), set()
+        hit, found, seen = np.zeros(len(own), bool), set(), {}
         for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
             if len(run) < self.least:
                 continue
             start = int(run[0])
-            for i, (state, n) in enumerate(self.lengths(ids[start : int(run[-1]) + self.gram].tolist())):
-                while state > 0:
-                    if n >= self.window and self.length[self.link[state]] < self.window and (held := self._held(state)):
+            for i, (state, n) in enumerate(self.lengths(ids[start : int(run[-1]) + self.gram].tolist(), self.window)):
+                while state > 0:  # at most `window` links, as no match is longer
+                    if n == self.window and seen.setdefault(state, None) is None:
+                        seen[state] = bool(held := self._held(state))
                         found.update(held)
+                    if n == self.window and seen[state]:
                         hit[start + i + 1 - self.window : start + i + 1] = True
                     for size, held in self.short.get(state, ()):
                         if size <= n:
