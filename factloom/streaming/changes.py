@@ -49,14 +49,15 @@ def change_key(events: DataFrame) -> DataFrame:
     return events.withColumn("key", F.when(F.col("kind") == "renamed", F.concat("old_path", F.lit("\u2192"), "path")).otherwise(F.col("path")))
 
 
-def coalesced(events: DataFrame, key: str = "path", slice_: str = "hour") -> DataFrame:
-    """(key, kind, at) of events (key, kind, at, ord): one for each key that any change is left of."""
+def coalesced(events: DataFrame, key: str = "path", slice_: str = "hour", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kind, at, *keep) of events (key, kind, at, ord, *keep): one for each key that any change is left of; a key has one value of what is kept."""
+    kept = [F.max(c).alias(c) for c in keep]
     none = F.lit(None).cast("string")
     step = lambda s, e: _merged_column(s, e["kind"])
-    listed = events.groupBy(key, F.date_trunc(slice_, "at").alias("slice")).agg(F.sort_array(F.collect_list(F.struct("at", "ord", "kind"))).alias("x"))
+    listed = events.groupBy(key, F.date_trunc(slice_, "at").alias("slice")).agg(F.sort_array(F.collect_list(F.struct("at", "ord", "kind"))).alias("x"), *kept)
     does = F.struct(F.aggregate("x", none, step).alias("none"), *[F.aggregate("x", F.lit(k), step).alias(k) for k in KINDS])
-    maps = listed.select(key, "slice", does.alias("does"), F.element_at("x", -1)["at"].alias("at"))
-    folded = maps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("slice", "at", "does"))).alias("y"))
+    maps = listed.select(key, "slice", does.alias("does"), F.element_at("x", -1)["at"].alias("at"), *keep)
+    folded = maps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("slice", "at", "does"))).alias("y"), *kept)
 
     def follow(s, e):
         found = F.when(s.isNull(), e["does"]["none"])
@@ -64,17 +65,23 @@ def coalesced(events: DataFrame, key: str = "path", slice_: str = "hour") -> Dat
             found = found.when(s == kind, e["does"][kind])
         return found
 
-    return folded.select(key, F.aggregate("y", none, follow).alias("kind"), F.element_at("y", -1)["at"].alias("at")).where("kind is not null")
+    return folded.select(key, F.aggregate("y", none, follow).alias("kind"), F.element_at("y", -1)["at"].alias("at"), *keep).where("kind is not null")
 
 
-def bulk_collapsed(batch: DataFrame, most: int = BULK) -> DataFrame:
-    """A batch's changes, or one bulk_update with all paths, sorted, where there are more than `most`.
+def bulk_collapsed(merged_: DataFrame, most: int = BULK) -> DataFrame:
+    """Changes (path, kind), one for each key (the column `key`, else the path), or one bulk_update with all their paths, sorted, where there are more than `most` keys.
 
     One event names them all, so a batch must be of bounded size: a stream's is (`watched`).
     """
-    if batch.limit(most + 1).count() <= most:
-        return batch.select("path", "kind", F.array("path").alias("paths"))
-    return batch.agg(F.lit(None).cast("string").alias("path"), F.lit("bulk_update").alias("kind"), F.sort_array(F.collect_set("path")).alias("paths"))
+    key = "key" if "key" in merged_.columns else "path"
+    if merged_.select(key).distinct().limit(most + 1).count() <= most:
+        return merged_.select("path", "kind", F.array("path").alias("paths"))
+    return merged_.agg(F.lit(None).cast("string").alias("path"), F.lit("bulk_update").alias("kind"), F.sort_array(F.collect_list("path")).alias("paths"))
+
+
+def settled(events: DataFrame, most: int = BULK) -> DataFrame:
+    """(path, kind, paths): what a batch of events (path, old_path, kind, at, ord) comes to, merged by key first, then collapsed where it is large."""
+    return bulk_collapsed(coalesced(change_key(events), "key", keep=("path",)), most)
 
 
 def debounced(events: DataFrame, gap: str) -> DataFrame:
@@ -96,28 +103,34 @@ def actions(events: DataFrame) -> DataFrame:
 
 
 def coalesced_stream(events: DataFrame, quiet_ms: int = QUIET_MS, most_ms: int = MOST_MS, lateness: str = "1 minute") -> DataFrame:
-    """The stream form: a key's fold is state, and leaves when it was quiet for quiet_ms or has waited most_ms.
+    """(path, kind, at), the stream form: a key's fold is state, and leaves when it was quiet for quiet_ms or has waited most_ms.
 
-    Time is the events' own, behind a watermark, so that state is bounded and a replay gives the same rows.
+    Where events have an old_path, a rename goes by both of its paths. Time is the events' own, behind a watermark, so that state is
+    bounded and a replay gives the same rows.
     """
+    keyed = change_key(events) if "old_path" in events.columns else events.withColumn("key", F.col("path"))
+
+    def left(kind, path, last):
+        return pd.DataFrame({"path": [path], "kind": [kind], "at": [pd.Timestamp(last, unit="ms")]})
 
     def step(key, frames: Iterator[pd.DataFrame], state):
-        kind, first, last = state.get if state.exists else (None, None, None)
+        kind, path, first, last = state.get if state.exists else (None, None, None, None)
         if state.hasTimedOut:
             state.remove()
             if kind:
-                yield pd.DataFrame({"path": [key[0]], "kind": [kind], "at": [pd.Timestamp(last, unit="ms")]})
+                yield left(kind, path, last)
             return
         rows = pd.concat(list(frames)).sort_values(["at", "ord"])
+        path = rows["path"].iloc[0]
         for at, now in zip(rows["at"], rows["kind"]):
             ms = int(at.timestamp() * 1000)
             if last is not None and (ms - last > quiet_ms or ms - first > most_ms):
                 if kind:
-                    yield pd.DataFrame({"path": [key[0]], "kind": [kind], "at": [pd.Timestamp(last, unit="ms")]})
+                    yield left(kind, path, last)
                 kind, first = None, ms
             kind = merged(kind or None, now)
             first, last = ms if first is None else first, ms
-        state.update((kind or "", first, last))
+        state.update((kind or "", path, first, last))
         state.setTimeoutTimestamp(max(last + quiet_ms, state.getCurrentWatermarkMs() + 1))
 
-    return events.withWatermark("at", lateness).groupBy("path").applyInPandasWithState(step, "path string, kind string, at timestamp", "kind string, first long, last long", "append", "EventTimeTimeout")
+    return keyed.withWatermark("at", lateness).groupBy("key").applyInPandasWithState(step, "path string, kind string, at timestamp", "kind string, path string, first long, last long", "append", "EventTimeTimeout")

@@ -10,22 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.sources.files import skipped
+from factloom.sources.growing import BLOCK, folder_changes, growing_log
 
-#: Files that one batch takes; what comes faster waits in the folder and is not dropped.
-MOST_FILES = 1024
+def watched(spark: SparkSession, root: str, listings: str) -> DataFrame:
+    """(path, kind, length, modified, hash) of what came, changed or went below a folder since the last batch; skipped folders are left out.
 
+    `listings` is a folder of the stream's own, outside of root, for what it saw last.
+    """
+    return folder_changes(spark, root, listings).where(~skipped("path"))
 
-def watched(spark: SparkSession, root: str, most_files: int = MOST_FILES) -> DataFrame:
-    """(path, length, modified, hash) of new files below a folder, as they come, in batches of bounded size."""
-    fields = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(fields).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most_files).load(root)
-    return files.where(~skipped("path")).select("path", "length", F.col("modificationTime").alias("modified"), F.lower(F.hex(F.xxhash64("content"))).alias("hash"))
 
+#: The messages of a log that are events, and what they are.
+LOGGED = {"tool call": "tool_call", "receipt issued": "receipt_issued"}
+_LOGGED = "time timestamp, msg string, tool string, outcome string, duration_ms long, pid long, trace_id string, receipt_class string"
 
-def tapped(spark: SparkSession, folder: str, schema: str, pid: int | None = None, most_files: int = MOST_FILES) -> DataFrame:
-    """Trace lines of a folder's JSON files as they come, those of one process alone where pid is given; broken lines are kept in `_broken`."""
-    lines = spark.readStream.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").option("maxFilesPerTrigger", most_files).json(folder)
-    return lines if pid is None else lines.where(F.col("pid") == pid)
+
+def tapped(spark: SparkSession, folder: str, schema: str = _LOGGED, block: int = BLOCK) -> DataFrame:
+    """Lines of a folder's growing logs, each once: their fields, `_broken` (the line, where it is no JSON), `file` and `at`, its first byte."""
+    kept = F.from_json("line", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    return growing_log(spark, folder, block).where("trim(line) <> ''").select(kept.alias("x"), "file", "at").select("x.*", "file", "at")
+
+
+def tap_events(lines: DataFrame, pid: int, counts: str | None = None) -> DataFrame:
+    """Calls and receipts of one process among a tap's lines, with their kind.
+
+    Under the name `counts`, where given, each batch reports what it took and left: events, foreign (of another process) and broken lines.
+    """
+    kind = F.coalesce(*[F.when(F.col("msg") == m, F.lit(k)) for m, k in LOGGED.items()])
+    marked = lines.withColumn("kind", kind).withColumn("_own", F.coalesce(F.col("pid") == pid, F.lit(False)))
+    if counts:
+        known = F.col("kind").isNotNull()
+        marked = marked.observe(counts, F.count_if(known & F.col("_own")).alias("events"), F.count_if(known & ~F.col("_own")).alias("foreign"), F.count_if(F.col("_broken").isNotNull()).alias("broken"))
+    return marked.where("kind is not null and _own").drop("_broken", "_own", "msg")
 
 
 def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:

@@ -111,6 +111,25 @@ def test_bulk_and_gate(spark):
     assert len(row) == 1 and row[0]["kind"] == "bulk_update" and row[0]["paths"] == sorted(row[0]["paths"]) and len(row[0]["paths"]) == 201
 
 
+def test_bulk_counts_keys(spark):
+    rows = [(f"p{i % 3}", None, "modified", i, i) for i in range(300)] + [("p1", "p9", "renamed", 400, 400), ("p7", None, "created", 401, 401), ("p7", None, "deleted", 402, 402)]
+    events = frame(spark, rows, "path string, old_path string, kind string, s long, ord long").withColumn("at", F.timestamp_seconds("s"))
+    assert sorted((r["path"], r["kind"]) for r in changes.settled(events, 4).collect()) == [("p0", "modified"), ("p1", "modified"), ("p1", "renamed"), ("p2", "modified")]
+    (row,) = changes.settled(events, 3).collect()
+    assert (row["path"], row["kind"], row["paths"]) == (None, "bulk_update", ["p0", "p1", "p1", "p2"])
+
+
+def test_stream_keeps_renames_apart(spark, tmp_path):
+    rows = [("b", "a", "renamed", 0, 1), ("b", None, "created", 10, 2), ("b", "a", "renamed", 20, 3), ("c", None, "deleted", 30, 4), ("end", None, "modified", 900_000, 7)]
+    schema = "path string, old_path string, kind string, ms long, ord long"
+    frame(spark, rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    events = spark.readStream.schema(schema).json(str(tmp_path / "in")).select("path", "old_path", "kind", F.timestamp_millis(F.col("ms") + 10_000_000).alias("at"), "ord")
+    stream = changes.coalesced_stream(events).writeStream.format("memory").queryName("renames").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    stream.awaitTermination(120)
+    got = sorted((r["path"], r["kind"]) for r in spark.table("renames").collect() if r["path"] != "end")
+    assert got == [("b", "created"), ("b", "renamed"), ("c", "deleted")]
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     rows = [("p", "created", 0, 1), ("p", "modified", 100, 2), ("q", "created", 0, 3), ("q", "deleted", 50, 4), ("r", "modified", 0, 5), ("r", "modified", 5000, 6), ("end", "modified", 900_000, 7)]
     schema = "path string, kind string, ms long, ord long"

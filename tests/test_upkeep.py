@@ -16,28 +16,6 @@ from factloom.sources.sinks import PostingStore, VersionedTable, vacuumed
 from factloom.streaming import watching
 
 
-def test_watched_folder_is_drained(spark, tmp_path):
-    root = tmp_path / "tree"
-    for path, text in {"a.py": "x", "sub/b.py": "y", "node_modules/c.js": "z"}.items():
-        (root / path).parent.mkdir(parents=True, exist_ok=True)
-        (root / path).write_text(text)
-    seen = []
-    drain = lambda: watching.drained(watching.watched(spark, str(root), 1), lambda batch, n: seen.extend(r["path"].rsplit("/", 1)[1] for r in batch.collect()), str(tmp_path / "ck"))
-    drain()
-    assert sorted(seen) == ["a.py", "b.py"]
-    (root / "d.py").write_text("new")
-    drain()
-    assert sorted(seen) == ["a.py", "b.py", "d.py"]
-
-
-def test_tap_keeps_one_process(spark, tmp_path):
-    (tmp_path / "log").mkdir()
-    (tmp_path / "log/1.json").write_text('{"pid": 1, "tool": "read"}\n{"pid": 2, "tool": "write"}\nbroken\n')
-    rows = []
-    watching.drained(watching.tapped(spark, str(tmp_path / "log"), "pid long, tool string", 1), lambda batch, n: rows.extend(batch.collect()), str(tmp_path / "ck"))
-    assert [(r["pid"], r["tool"]) for r in rows] == [(1, "read")]
-
-
 def test_wait_tells_what_is_ready():
     began = time.monotonic()
     assert watching.waited(lambda: {"a": True, "b": time.monotonic() - began > 0.2}, 5) == (True, {"a": True, "b": True})
