@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import graph
+from factloom.operators import graph, labels
 from factloom.operators.components import components, node_components
 
 from .adapters import LINKS, TRADE, WEIGHTED, links, nations, read, trade, weighted
@@ -73,7 +73,7 @@ def _labels_sql(rounds: int) -> str:
 def label_rounds(spark, d):
     nodes, edges = _parts(spark, d)
     inner = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", (F.lit(1.0) + F.col("src") % 3).alias("weight"))
-    return graph.propagate_labels(inner, nodes, 4)
+    return graph.propagate_labels(inner, nodes, 4, written)
 
 
 @query(f"""WITH e AS ({TRADE}), m AS (SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS cluster FROM nation), s AS (SELECT cluster, count(*) AS size FROM m GROUP BY 1),
@@ -207,8 +207,9 @@ def component_sizes_topn_whole(spark, d):
 
 @query()
 def label_propagation(spark, d):
+    """Clusters of suppliers and parts: components, the large ones split by labels."""
     edges = _supplies(spark, d).withColumn("weight", F.lit(1.0))
-    return graph.propagate_labels(edges, graph.nodes_of(edges), cut=written)
+    return labels.split_components(graph.nodes_of(edges), edges, written)
 
 
 _SUPPLIES = "SELECT DISTINCT l_suppkey AS src, 1000000000 + l_partkey AS dst FROM lineitem"

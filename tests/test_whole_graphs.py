@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from factloom.operators import labels
 from factloom.plans import registry
+from factloom.plans.scratch import written
 
 PART = 1_000_000_000
 
@@ -38,10 +40,67 @@ def test_components(spark, small):
     assert len(sizes) > 20 and [tuple(r) for r in registry.queries()["component_sizes_topn_whole"](spark, d).collect()] == sizes[:20]
 
 
-def test_label_propagation(spark, small):
-    d, around = small
+def labels_by_brute_force(around, weight, colour, rounds=20):
+    """One node after another, by colour and id."""
     label = {x: x for x in around}
-    for _ in range(20):
-        votes = {x: Counter(label[y] for y in around[x]) for x in around}
-        label = {x: min(votes[x], key=lambda k: (-votes[x][k], k)) for x in around}
-    assert {r["id"]: r["label"] for r in registry.queries()["label_propagation"](spark, d).collect()} == label
+    for k in range(rounds):
+        before = dict(label)
+        for x in sorted(around, key=lambda x: (colour[x], x)):
+            votes = Counter()
+            for y in around[x]:
+                votes[label[y]] += weight[x, y]
+            if votes:
+                label[x] = min(votes, key=lambda k: (-votes[k], k))
+        if label == before:
+            return label, k
+    return label, rounds
+
+
+def test_label_propagation(spark, small, monkeypatch):
+    d, around = small
+    monkeypatch.setattr(labels, "MOST_MEMBERS", 12)
+    monkeypatch.setattr(labels, "ROUNDS", 4)  # the long path would take many more to settle
+    edges = registry.queries()["label_propagation"](spark, d)
+    nodes = [(x,) for x in around]
+    pairs = [(x, y) for x in around for y in around[x] if x < y]
+    # the colours depend on ids alone, but for those of other components
+    component = components_by_brute_force(around)
+    sizes = Counter(component.values())
+    large = {x for x in around if sizes[component[x]] > 12}
+    colour = colours(spark, [(x,) for x in large], [p for p in pairs if p[0] in large])
+    want, _ = labels_by_brute_force({x: around[x] for x in large}, Counter({(x, y): 1 for x in around for y in around[x]}), colour, 4)
+    found = {r["id"]: (r["component"], r["label"]) for r in edges.collect()}
+    assert len(nodes) == len(found) and large and len(large) < len(nodes)
+    assert found == {x: (component[x], want.get(x, component[x])) for x in around}
+
+
+def colours(spark, nodes, pairs):
+    found = labels.coloured(spark.createDataFrame(nodes, "id long"), spark.createDataFrame(pairs, "src long, dst long"), written).collect()
+    assert len(found) == len(nodes)
+    colour = {r["id"]: r["colour"] for r in found}
+    assert all(colour[x] != colour[y] for x, y in pairs if x != y)
+    return colour
+
+
+def test_labels_of_one_edge_settle(spark):
+    """All at once, the two would swap labels for ever."""
+    found = labels.settled_labels(spark.range(1, 3), spark.createDataFrame([(1, 2, 1.0)], "src long, dst long, weight double"), written).collect()
+    assert {r["label"] for r in found} in ({1}, {2})
+    assert {r["id"]: r["label"] for r in labels.settled_labels(spark.range(1, 3), spark.createDataFrame([], "src long, dst long, weight double"), written).collect()} == {1: 1, 2: 2}
+    assert labels.split_components(spark.range(0), spark.createDataFrame([], "src long, dst long, weight double"), written).count() == 0
+
+
+def test_labels_against_brute_force(spark):
+    r = np.random.default_rng(9)
+    pairs = [(int(a), int(b), float(w)) for a, b, w in zip(r.integers(0, 60, 150), r.integers(0, 60, 150), r.integers(1, 4, 150))] + [(0, k, 1.0) for k in range(1, 40)] + [(5, 5, 9.0), (999, 1, 5.0)]
+    nodes, around, weight = range(60), defaultdict(set), Counter()
+    for a, b, w in pairs:
+        if a != b and a < 60 and b < 60:
+            around[a].add(b)
+            around[b].add(a)
+            weight[a, b] += w
+            weight[b, a] += w
+    colour = colours(spark, [(x,) for x in nodes], [(a, b) for a in around for b in around[a] if a < b])
+    want, rounds = labels_by_brute_force({x: around[x] for x in nodes}, weight, colour)
+    found = labels.settled_labels(spark.range(60), spark.createDataFrame(pairs, "src long, dst long, weight double"), written)
+    assert {x["id"]: x["label"] for x in found.collect()} == want and rounds < 19
