@@ -5,7 +5,8 @@ encoding, and so one last token. It is stored for each prefix: of the tokens tha
 vocabulary gives, the one that may stand behind the last token of what lies before it. Whether two tokens may stand side by side
 (compatible) depends on these two alone, and is remembered. The back-pointers, from the word's end, give its ids.
 
-Of each task's texts each distinct piece between blanks is encoded once (bounded memo); no shuffle.
+A task keeps the prefixes that it has seen in a tree, so that a word pays only for what no word before it began with, and what it
+found for whole pieces between blanks (both bounded); no shuffle.
 
 Null text: empty, no ids. Null doc_id: the row stays. Repeated rows, and rows that share a doc_id: one result each. Very long
 texts and words: whole, in time that grows with their length. Other columns, whatever their names, are not read. Empty
@@ -20,11 +21,12 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from array import array
+from operator import itemgetter
 
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,14 +35,22 @@ from .automaton import SuffixAutomaton
 from .common import lean, table, texts
 
 VOCABULARY = "word_bpe_49k.json"
-MEMO_ENTRIES, MEMO_LENGTH = 250_000, 64
-#: Compatible pairs that a worker remembers.
-MEMO_PAIRS = 2_000_000
+MEMO_ENTRIES, MEMO_LENGTH = 400_000, 64
+#: Compatible pairs, and prefixes of words, that a worker remembers.
+MEMO_PAIRS, MEMO_NODES = 1_000_000, 1_000_000
 
-#: Characters on which the library's rules for case, composition and splitting agree with those of the regex module.
-_PLAIN = re.compile("[\x00-\x1b\x20-įı-ɏ]*")
-_BLANKS = str.maketrans("\t\r\n", "   ")
+#: Characters (to Latin Extended-B) on which the library's rules for case, composition and splitting agree with Python's, and what they are in lower case.
+_LATIN, _LOWER = range(0x250), range(0x2B0)
+_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in _LATIN if c not in range(0x1C, 0x20) and len(chr(c).lower()) == 1 and ord(chr(c).lower()) in _LOWER) + "]*")
 _NEVER = 1 << 30
+#: A word's last byte is a symbol of its own: so much more than that byte.
+WORD_END = 256
+_SYMBOLS = 2 * WORD_END
+
+
+def _of(kind: str) -> str:
+    """The plain characters of a general category, as they stand in a pattern's class."""
+    return "".join(re.escape(chr(c)) for c in _LOWER if unicodedata.category(chr(c))[0] == kind)
 
 
 def _letters() -> list[str]:
@@ -78,17 +88,16 @@ class WordBpe:
         model = spec["model"]
         self.library, self.ending, vocabulary = Tokenizer.from_file(path), model["end_of_word_suffix"], model["vocab"]
         self.texts = {i: t for t, i in vocabulary.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+        self.decimal = {i: str(i) for i in self.texts}
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         split = [x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
-        self.pattern = regex.compile(split[0])
-        self.letter = _letters()
-        byte = {c: b + 1 for b, c in enumerate(self.letter)}
-        self.symbol = byte | {c + self.ending: b + 256 for c, b in byte.items()}
+        self.plain = re.compile(split[0].replace(r"\p{L}", _of("L")).replace(r"\p{N}", _of("N")))
+        self.byte = {c: b for b, c in enumerate(_letters())}
         self._learn(vocabulary, [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]])
-        self.words, self.pieces = _Memo(self._plain_word), _Memo(self.piece)
-        self.chunks = _Memo(self._chunk)
+        self.words, self.chunks = _Memo(self._plain_word), _Memo(self._chunk)
+        self._forget()
 
     def _learn(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> None:
         ids = sorted(vocabulary.values())
@@ -96,19 +105,21 @@ class WordBpe:
         for i in ids:
             token = self.texts[i]
             own = token.removesuffix(self.ending) if len(token) > len(self.ending) else token
-            row = array("i", map(self.symbol.get, own))
+            row = array("i", map(self.byte.__getitem__, own))
             if own != token:
-                row[-1] += 256
+                row[-1] += WORD_END
             listed.append(row)
         self.automaton = SuffixAutomaton(listed)
         self.size = dict(zip(ids, map(len, listed)))
-        #: The token that a state's longest string is, or -1, and the nearest state with one among it and its links.
-        self.token = array("i", [-1]) * len(self.automaton.link)
-        for i, state in zip(ids, self.automaton.ends):
-            self.token[state] = i
-        self.nearest = array("i", bytes(4 * len(self.token)))
-        for state in sorted(range(1, len(self.token)), key=self.automaton.length.__getitem__):
-            self.nearest[state] = state if self.token[state] >= 0 else self.nearest[self.automaton.link[state]]
+        own = self.automaton
+        #: Where a symbol leads from a state, by both in one number; and, of each state, the tokens that its longest string ends with, the longest first, with their sizes.
+        self.goto = {own.owner[e] * _SYMBOLS + own.symbol[e]: own.to[e] for e in range(1, len(own.to))}
+        token, self.ending_at = dict(zip(own.ends, ids)), [()] * len(own.link)
+        for state in sorted(range(1, len(own.link)), key=own.length.__getitem__):
+            above = self.ending_at[own.link[state]]
+            self.ending_at[state] = ((token[state], own.length[state]), *above) if state in token else above
+        self.links, self.lengths = own.link.tolist(), own.length.tolist()
+        del self.automaton
         self.rank, self.parts = {}, {}
         for k, (a, b) in enumerate(merges):
             a, b = vocabulary[a], vocabulary[b]
@@ -152,72 +163,106 @@ class WordBpe:
                     return False
         return self._reachable(a) and self._reachable(b)
 
+    def _fits(self, a: int, b: int) -> bool:
+        """Whether the tokens may stand side by side, remembered."""
+        known = self.compatible
+        if len(known) >= MEMO_PAIRS:
+            known.clear()
+        found = known[a << 20 | b] = self._side_by_side(a, b)
+        return found
+
+    def _forget(self) -> None:
+        """The tree of prefixes: the node below another by a symbol; of each node the automaton's state and match, the last token, and the node before that token."""
+        self.below, self.state, self.match, self.token, self.before = {}, [0], [0], [-1], [0]
+
     def encode_symbols(self, row: list[int]) -> list[int]:
-        """Ids of a word's symbols."""
-        last, nearest, link, length, token, size, known = [-1], self.nearest, self.automaton.link, self.automaton.length, self.token, self.size, self.compatible
-        for at, (state, n) in enumerate(self.automaton.lengths(row), 1):
-            state = nearest[state if length[state] == n else link[state]]
-            while True:
-                t = token[state]
-                before = at - size[t]
-                if not before:
-                    if t in self.whole:
-                        break
-                else:
-                    pair = last[before], t
-                    fits = known.get(pair)
-                    if fits is None:
-                        if len(known) >= MEMO_PAIRS:
-                            known.clear()
-                        fits = known[pair] = self._side_by_side(*pair)
-                    if fits:
-                        break
-                state = nearest[link[state]]
-            last.append(t)
-        out, at = [], len(row)
-        while at:
-            out.append(last[at])
-            at -= size[last[at]]
-        return out[::-1]
-
-    def piece(self, piece: str) -> list[int]:
-        """Ids of a pre-token as the library's splitting gives it, a letter for each byte."""
-        row = [self.symbol[c] for c in piece]
-        row[-1] += 256
+        """Ids of a word's symbols: its bytes, the last one and WORD_END more.
+
+        What is found for the prefixes stays in the tree for other words that begin like it, but for a very long word's, which has a tree of its own.
+        """
+        if len(row) > MEMO_LENGTH or len(self.token) > MEMO_NODES:
+            self._forget()
+        below, states, matches, tokens, before = self.below, self.state, self.match, self.token, self.before
+        goto, links, lengths, ending_at, known, whole = self.goto, self.links, self.lengths, self.ending_at, self.compatible, self.whole
+        node, path = 0, [0]
+        for c in row:
+            to = below.get(node * _SYMBOLS + c)
+            if to is None:
+                state, n = states[node], matches[node] + 1
+                on = goto.get(state * _SYMBOLS + c)
+                while on is None:  # the root knows every symbol
+                    state = links[state]
+                    n = lengths[state] + 1
+                    on = goto.get(state * _SYMBOLS + c)
+                at = len(path)
+                for t, size in ending_at[on if lengths[on] == n else links[on]]:
+                    if size == at:
+                        if t in whole:
+                            break
+                    else:
+                        a = tokens[path[at - size]]
+                        fits = known.get(a << 20 | t)
+                        if fits or fits is None and self._fits(a, t):
+                            break
+                to = below[node * _SYMBOLS + c] = len(tokens)
+                states.append(on)
+                matches.append(n)
+                tokens.append(t)
+                before.append(path[at - size])
+            node = to
+            path.append(to)
+        out = []
+        while node:
+            out.append(tokens[node])
+            node = before[node]
+        out.reverse()
+        if len(row) > MEMO_LENGTH:
+            self._forget()
+        return out
+
+    def word(self, raw: bytes) -> list[int]:
+        """Ids of a pre-token."""
+        row = [*raw]
+        row[-1] += WORD_END
         return self.encode_symbols(row)
 
-    def _plain_word(self, word: str) -> list[int]:
-        return self.piece("".join([self.letter[b] for b in word.encode()]))
-
-    def _chunk(self, chunk: str) -> tuple[list[int], str, str]:
-        """(ids, ids as text, decoded text) of what stands between blanks and holds no special token."""
-        if _PLAIN.fullmatch(chunk):
-            ids = [i for w in self.pattern.findall(chunk.lower()) for i in self.words[w]]
-        else:
-            normal = self.library.normalizer.normalize_str(chunk)
-            ids = [i for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal) for i in self.pieces[p]]
-        return ids, " ".join(map(str, ids)), " ".join([self.texts[i] for i in ids])
-
-    def _parts(self, text: str):
-        """(ids, ids as text, decoded text) of the text's chunks in order, without those that have none."""
-        known = self.chunks
+    def _said(self, ids: list[int]) -> tuple[str, str]:
+        """Ids as text, and decoded."""
+        return " ".join([self.decimal[i] for i in ids]), " ".join([self.texts[i] for i in ids])
+
+    def _plain_word(self, word: str) -> tuple[str, str]:
+        return self._said(self.word(word.encode()))
+
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """What stands between blanks and holds no special token, split by the library."""
+        normal = self.library.normalizer.normalize_str(chunk)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(normal)
+        return self._said([i for p, _ in pieces for i in self.word(bytes(map(self.byte.__getitem__, p)))])
+
+    def _parts(self, text: str) -> list[tuple[str, str]]:
+        """(ids as text, decoded text) of the text's words in order."""
+        out = []
         for part in self.cut.split(text) if self.cut else (text,):
             if part in self.special:
-                i = self.special[part]
-                yield [i], str(i), part
+                out.append((self.decimal[self.special[part]], part))
+            elif _PLAIN.fullmatch(part):
+                out += map(self.words.__getitem__, self.plain.findall(part.lower()))
             else:
-                for chunk in part.translate(_BLANKS).split(" "):
-                    if chunk and (found := known[chunk])[0]:
-                        yield found
+                for chunk in part.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+                    if _PLAIN.fullmatch(chunk):
+                        out += map(self.words.__getitem__, self.plain.findall(chunk.lower()))
+                    elif (found := self.chunks[chunk])[0]:
+                        out.append(found)
+        return out
 
     def ids(self, text: str) -> list[int]:
-        return [i for found in self._parts(text) for i in found[0]]
+        return list(map(int, " ".join(map(itemgetter(0), self._parts(text))).split()))
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """(n_tokens, sha256 of the decimal ids, sha256 of the decoded text): of what `ids` and `decode` give, each joined by a space."""
-        parts = list(self._parts(text))
-        sha = lambda k: hashlib.sha256(" ".join([x[k] for x in parts]).encode()).hexdigest()
-        return sum([len(x[0]) for x in parts]), sha(1), sha(2)
+        parts = self._parts(text)
+        ids, said = (" ".join(map(itemgetter(k), parts)).encode() for k in (0, 1))
+        return (ids.count(b" ") + 1 if ids else 0), hashlib.sha256(ids).hexdigest(), hashlib.sha256(said).hexdigest()
 
     def decode(self, ids) -> str:
         return " ".join([self.texts[i] for i in ids if i in self.texts])
