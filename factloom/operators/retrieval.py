@@ -42,7 +42,7 @@ def field_postings(docs: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def match_any(index: DataFrame, terms: list[str], top: int, anchors: list | None = None, boost: float = 1.0, digits: int = 6) -> DataFrame:
-    """(id, score): the best documents for any of the terms in any field; each field is scored by its own statistics, and anchors gain a boost, also where they match no term."""
+    """(id, score): the best documents for any of the terms in any field; each field is scored by its own statistics. Anchors that match a term gain a boost; one that matches none is no hit."""
     size = index.groupBy("field", "id").agg(F.sum("tf").alias("size"))
     whole = size.groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("mean"))
     hits = index.where(F.col("term").isin(sorted(set(terms))))
@@ -52,7 +52,7 @@ def match_any(index: DataFrame, terms: list[str], top: int, anchors: list | None
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     rows = scored.select("id", part.alias("part"))
     if anchors:
-        rows = rows.union(size.select("id").distinct().where(F.col("id").isin(anchors)).select("id", F.lit(boost)))
+        rows = rows.union(hits.where(F.col("id").isin(anchors)).select("id").distinct().select("id", F.lit(boost)))
     return rows.groupBy("id").agg(F.round(F.sum("part"), digits).alias("score")).orderBy(F.desc("score"), "id").limit(top)
 
 
