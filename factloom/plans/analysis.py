@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom import api
-from factloom.operators import graph, policy, resolve, retrieval, traces
+from factloom.operators import graph, policy, resolve, retrieval, traces, treemap
 
 from .adapters import LINKS, TRADE, WEIGHTED, calls, documents, links, nations, read, trade, weighted
 from .graphs import ROUNDS
@@ -13,6 +13,33 @@ from .registry import ORACLES, query
 from .scratch import written
 from .search import _FUSED, _lists
 
+_MAP_BUDGETS = (100, 1_500, 40_000)
+_MAPPED = """f AS (SELECT split_part(p_type, ' ', 1) AS a, p_brand AS b, 'p' || p_size AS c, p_partkey || '.go' AS name, [p_name, p_type] AS lines, p_retailprice AS score FROM part),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, a || '/' || b || '/' || c || '/' || name) AS place FROM f),
+own AS (SELECT place, 6 + strlen(name) + 1 + list_sum([11 + strlen(x) FOR x IN lines]) AS cost FROM r),
+dirs AS (SELECT min(place) AS place, strlen(a) + 2 AS cost FROM r GROUP BY a UNION ALL SELECT min(place), strlen(b) + 4 FROM r GROUP BY a, b UNION ALL SELECT min(place), strlen(c) + 6 FROM r GROUP BY a, b, c),
+t AS (SELECT place, sum(sum(cost)) OVER (ORDER BY place) // 4 AS tokens FROM (SELECT * FROM own UNION ALL SELECT * FROM dirs) GROUP BY place)"""
+
+
+def _map_sql(budget: int) -> str:
+    near = f"(tokens <= {budget} OR abs(tokens - {budget}) / {budget}.0 < 0.15) AND tokens > most"
+    return f"""SELECT * FROM (WITH RECURSIVE {_MAPPED}, s(low, high, best, most) AS (SELECT 1::BIGINT, count(*)::BIGINT, 0::BIGINT, 0::BIGINT FROM r UNION ALL
+SELECT CASE WHEN tokens < {budget} THEN place + 1 ELSE low END, CASE WHEN tokens < {budget} THEN high ELSE place - 1 END, CASE WHEN {near} THEN place ELSE best END, CASE WHEN {near} THEN tokens::BIGINT ELSE most END FROM s JOIN t ON place = (low + high) // 2 WHERE low <= high),
+k AS (SELECT greatest(max(best), 1) AS n FROM s), d AS (SELECT r.* FROM r, k WHERE place <= n),
+l AS (SELECT DISTINCT a, '' AS b, '' AS c, '' AS name, 0 AS m, a || '/' AS line FROM d UNION ALL SELECT DISTINCT a, b, '', '', 0, '  ' || b || '/' FROM d UNION ALL SELECT DISTINCT a, b, c, '', 0, '    ' || c || '/' FROM d
+UNION ALL SELECT a, b, c, name, 0, '      ' || name FROM d UNION ALL SELECT a, b, c, name, i, '          ' || lines[i] FROM d, (SELECT unnest([1, 2]) AS i))
+SELECT {budget}::BIGINT AS budget, row_number() OVER (ORDER BY a, b, c, name, m)::INT AS n, line FROM l)"""
+
+
+@query(" UNION ALL ".join(_map_sql(b) for b in _MAP_BUDGETS))
+def tree_maps(spark, d):
+    """Parts as files of three folders, the dearest first, as trees of three budgets."""
+    path = F.concat_ws("/", F.split("p_type", " ")[0], "p_brand", F.concat(F.lit("p"), F.col("p_size").cast("string")), F.concat(F.col("p_partkey").cast("string"), F.lit(".go")))
+    files = read(spark, d, "part").select(path.alias("path"), F.col("p_retailprice").alias("score"), F.concat_ws("\n\n", "p_name", "p_type").alias("content"))
+    maps = [treemap.tree_map(files, b).select(F.lit(b).cast("long").alias("budget"), "n", "line") for b in _MAP_BUDGETS]
+    return maps[0].union(maps[1]).union(maps[2])
+
+
 _SIGNATURE = "CASE p_partkey % 6 WHEN 0 THEN 'var x ' || split_part(p_type, ' ', 1) WHEN 1 THEN 'x := New' || split_part(p_brand, '#', 1) || '()' WHEN 2 THEN 'y = z' || (p_partkey % 7) ELSE '' END"
 _NAME = "CASE p_partkey % 6 WHEN 4 THEN 'userRepo' WHEN 5 THEN 'plain' ELSE p_name END"
 _COMMENT = "CASE WHEN p_partkey % 6 = 3 THEN 'Load returns the *Part' ELSE '' END"
