@@ -8,6 +8,9 @@ needs to take a document's old postings out. An upsert rewrites the buckets of t
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,8 @@ from factloom.sources.sinks import VersionedTable
 PART_DOCUMENTS, FIRST_PARTS, NAMED_PARTS = 512, 4, 2_000
 MOST_TERMS = 10_000
 
-_FORWARD = "id long, field string, size long, terms array<struct<term:string,tf:long>>, whole long, bucket int"
-_BLOCKS = "field string, term string, part int, n long, front array<struct<tf:long,size:long>>, postings array<struct<id:long,tf:long,size:long,whole:long>>, bucket int"
+_FORWARD = "id long, field string, size long, terms array<struct<term:string,tf:int>>, whole long, bucket int"
+_BLOCKS = "field string, term string, part int, n long, front array<struct<tf:int,size:int>>, postings array<struct<id:long,tf:int,size:int>>, bucket int"
 
 
 def _bucket(c: str, n: int) -> Column:
@@ -32,6 +35,30 @@ def saturation(tf: Column, size: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
 
 
+def _counted(fields: list[str]):
+    """Per document and field: how often each word is there. A document's words are in its row, so that none of them is shuffled to be counted."""
+
+    def count(batches):
+        for batch in batches:
+            words = [batch.column(f"f{k}") for k in range(len(fields))]
+            sizes = np.array([pc.list_value_length(w).fill_null(0).to_numpy(zero_copy_only=False) for w in words], np.int64)
+            for k, field in enumerate(fields):
+                coded = words[k].flatten().dictionary_encode()
+                if not len(coded):
+                    continue
+                codes = coded.indices.to_numpy().astype(np.int64)
+                pairs, tf = np.unique(np.repeat(np.arange(batch.num_rows), sizes[k]) * len(coded.dictionary) + codes, return_counts=True)
+                of = pairs // len(coded.dictionary)
+                rows = np.flatnonzero(sizes[k])
+                terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pairs % len(coded.dictionary))), pa.array(tf.astype(np.int32))], ["term", "tf"])
+                offsets = np.searchsorted(of, np.r_[rows, batch.num_rows])
+                listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), terms)
+                columns = [batch.column("id").take(pa.array(rows)), pa.array([field] * len(rows)), pa.array(sizes[k][rows]), listed, pa.array(sizes.sum(axis=0)[rows])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "field", "size", "terms", "whole"])
+
+    return count
+
+
 class TermIndex:
     """An index of documents (id, a whole number, and text columns) below a folder. One writer."""
 
@@ -57,25 +84,23 @@ class TermIndex:
 
     def _analysed(self, docs: DataFrame) -> DataFrame:
         """(id, field, size, whole, terms) of documents; a field without words has no row. `whole` is the size of all its fields."""
-        long = docs.select(F.col("id").cast("long").alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in self.fields])).alias("x")).select("id", "x.field", "x.text")
-        words = long.select("id", "field", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")).where("term <> ''")
-        counts = words.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
-        own = counts.groupBy("id", "field").agg(F.sum("tf").alias("size"), F.collect_list(F.struct("term", "tf")).alias("terms"))
-        return own.withColumn("whole", F.sum("size").over(Window.partitionBy("id")))
+        words = lambda f: F.filter(F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        split = docs.select(F.col("id").cast("long").alias("id"), *[words(f).alias(f"f{k}") for k, f in enumerate(self.fields)])
+        return split.mapInArrow(_counted(self.fields), "id long, field string, size long, terms array<struct<term:string,tf:int>>, whole long")
 
     def _blocked(self, postings: DataFrame) -> DataFrame:
-        """Blocks of postings (field, term, id, tf, size, whole)."""
-        own = postings.withColumn("part", self._part()).groupBy("field", "term", "part")
-        start = F.array().cast("array<struct<tf:bigint,size:bigint>>")
+        """Blocks of postings (field, term, part, id, tf, size)."""
+        listed = postings.groupBy("field", "term", "part").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "size"))).alias("postings"))
+        start = F.array().cast("array<struct<tf:int,size:int>>")
         keep = lambda s, x: F.when(F.size(s) == 0, F.array(x)).when(x["tf"] > F.element_at(s, -1)["tf"], F.concat(s, F.array(x))).otherwise(s)
-        by_size = F.sort_array(F.collect_set(F.struct("size", (-F.col("tf")).alias("minus"))))
+        by_size = F.sort_array(F.array_distinct(F.transform("postings", lambda x: F.struct(x["size"].alias("size"), (-x["tf"]).alias("minus")))))
         front = F.aggregate(F.transform(by_size, lambda x: F.struct((-x["minus"]).alias("tf"), x["size"].alias("size"))), start, keep)
-        rows = own.agg(F.count("*").alias("n"), front.alias("front"), F.sort_array(F.collect_list(F.struct("id", "tf", "size", "whole"))).alias("postings"))
+        rows = listed.select("field", "term", "part", F.size("postings").cast("long").alias("n"), front.alias("front"), "postings")
         return rows.withColumn("bucket", _bucket("term", self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term", "part")
 
-    @staticmethod
-    def _postings(forward: DataFrame) -> DataFrame:
-        return forward.select("id", "field", "size", "whole", F.explode("terms").alias("x")).select("field", "x.term", "id", "x.tf", "size", "whole")
+    def _postings(self, forward: DataFrame) -> DataFrame:
+        own = forward.select("id", "field", F.col("size").cast("int").alias("size"), self._part().alias("part"), F.explode("terms").alias("x"))
+        return own.select("field", "x.term", "part", "id", "x.tf", "size")
 
     def build(self, docs: DataFrame) -> None:
         """The index of documents (id, *fields), each id once, in place of what there was."""
@@ -93,7 +118,7 @@ class TermIndex:
         old = written(self._postings(held.join(ids.select("id"), "id", "left_semi")), "old-postings")
         terms = old.select("term").union(fresh.select(F.explode("terms.term").alias("term"))).distinct().select(_bucket("term", self.buckets).alias("b"))
         touched = [r["b"] for r in terms.distinct().collect()]
-        kept = self._blocks().where(F.col("bucket").isin(touched)).select("field", "term", F.explode("postings").alias("x")).select("field", "term", "x.*").join(ids.select("id"), "id", "left_anti")
+        kept = self._blocks().where(F.col("bucket").isin(touched)).select("field", "term", "part", F.explode("postings").alias("x")).select("field", "term", "part", "x.*").join(ids.select("id"), "id", "left_anti")
         blocks = written(self._blocked(kept.unionByName(self._postings(fresh))), "blocks")
         forward = written(held.drop("bucket").join(ids.select("id"), "id", "left_anti").unionByName(fresh).withColumn("bucket", _bucket("id", self.buckets)), "forward")
         self._replaced(self.forward, forward, own)
