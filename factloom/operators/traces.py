@@ -19,35 +19,6 @@ def runs(events: DataFrame) -> DataFrame:
     return listed.select("run", F.transform("x", lambda e: e["tool"]).alias("calls"))
 
 
-def in_order(events: DataFrame, tools: list[str]) -> DataFrame:
-    """(run) of runs that call the tools one after another. Each step is the least call behind the last one, so that no run is gathered."""
-    at = None
-    for tool in tools:
-        own = events.where(F.col("tool") == tool).select("run", F.struct("t", "ord").alias("p"))
-        own = own if at is None else own.join(at, "run").where("p > last").select("run", "p")
-        at = own.groupBy("run").agg(F.min("p").alias("last"))
-    return at.select("run")
-
-
-def rule_scores(events: DataFrame, rules: list[dict]) -> DataFrame:
-    """(run, rule, score) for rules {id, kind: expect_sequence | forbid_sequence | expect_set | forbid_set, tools, score}."""
-    each, out = events.select("run").distinct(), []
-    for rule in rules:
-        tools = rule["tools"]
-        if rule["kind"].endswith("sequence"):
-            met = in_order(events, tools)
-        else:
-            counts = events.where(F.col("tool").isin(tools)).groupBy("run").agg(F.countDistinct("tool").alias("n"))
-            met = counts.where(F.col("n") == len(set(tools)) if rule["kind"] == "expect_set" else F.col("n") > 0).select("run")
-        sign = -abs(rule["score"]) if rule["kind"].startswith("forbid") else rule["score"]
-        held = each.join(met.withColumn("hit", F.lit(True)), "run", "left")
-        out.append(held.select("run", F.lit(rule["id"]).alias("rule"), F.when(F.col("hit"), F.lit(sign)).otherwise(F.lit(0)).alias("score")))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.union(x)
-    return whole
-
-
 def without_prior(events: DataFrame, tool: str, prior: str) -> DataFrame:
     """(run, violations): calls of a tool that no call of another came before."""
     first = events.where(F.col("tool") == prior).groupBy("run").agg(F.min(F.struct("t", "ord")).alias("_first"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import traces
+from factloom.operators import rules, traces
+from factloom.sources.rules import as_rules
 from factloom.streaming import changes
 
 from .adapters import calls, read
@@ -53,7 +54,31 @@ def forbid_without_prior(spark, d):
 @query(f"""WITH e AS ({_CALLS}), a AS (SELECT run, min((t, ord)) AS p FROM e WHERE tool = 'signup' GROUP BY 1), b AS (SELECT run, min((t, ord)) AS p FROM e JOIN a USING (run) WHERE tool = 'click' AND (t, ord) > a.p GROUP BY 1), c AS (SELECT run, min((t, ord)) AS p FROM e JOIN b USING (run) WHERE tool = 'purchase' AND (t, ord) > b.p GROUP BY 1)
 SELECT DISTINCT run, 'funnel' AS rule, CASE WHEN c.p IS NULL THEN 0 ELSE 2 END AS score FROM e LEFT JOIN c USING (run) UNION ALL SELECT run, 'no_error', CASE WHEN bool_or(tool = 'error') THEN -1 ELSE 0 END FROM e GROUP BY 1""")
 def subsequence_rule(spark, d):
-    return traces.rule_scores(calls(spark, d), [{"id": "funnel", "kind": "expect_sequence", "tools": ["signup", "click", "purchase"], "score": 2}, {"id": "no_error", "kind": "forbid_set", "tools": ["error"], "score": 1}])
+    table = {"expect_sequence": [{"id": "funnel", "score": 2, "pattern": [{"tool": t} for t in ("signup", "click", "purchase")]}], "forbid_set": [{"id": "no_error", "score": -1, "when": {"tool_used": "error"}}]}
+    return rules.scored(calls(spark, d).withColumn("arguments", F.lit(None).cast("string")), as_rules(table))
+
+
+_RULES = {
+    "expect_sequence": [{"id": "signup-click", "score": 2, "pattern": [{"tool": "signup"}, {"tool": "click", "args_match": {"k": '"k": 6', "end_regex": "[02468]}"}}]}],
+    "forbid_sequence": [{"id": "error-error", "score": -1, "pattern": [{"tool": "error"}, {"tool": "error"}]}],
+    "expect_set": [{"id": "all-kinds", "score": 1, "tools": ["view", "click", "signup", "purchase"]}],
+    "forbid_set": [{"id": "bought-unseen", "score": -3, "when": {"tool_used": "purchase"}, "require_prior": {"any_of": ["view", "click"]}}],
+    "receipts": [{"id": "with-receipt", "score": 4, "when": {"tool_used": "purchase"}, "require": {"receipts_non_empty": True}}],
+}
+_ARGS = "props || ' receipts:[' || CASE WHEN event_id % 3 = 0 THEN '\"r\"' ELSE ' ' END || ']'"
+
+
+@query(f"""WITH e AS (SELECT user_id AS run, (ts, event_id) AS pos, event_type AS tool, {_ARGS} AS args FROM events), u AS (SELECT DISTINCT run FROM e), f AS (SELECT run, tool, min(pos) AS pos FROM e GROUP BY ALL),
+r AS (SELECT e.run, 'signup-click' AS rule, 2 AS score FROM e JOIN f USING (run) WHERE f.tool = 'signup' AND e.tool = 'click' AND e.pos > f.pos AND contains(args, '"k": 6') AND regexp_matches(args, '[02468]}}')
+UNION SELECT run, 'error-error', -1 FROM e WHERE tool = 'error' GROUP BY run HAVING count(*) > 1
+UNION SELECT run, 'all-kinds', 1 FROM f WHERE tool IN ('view', 'click', 'signup', 'purchase') GROUP BY run HAVING count(*) = 4
+UNION SELECT p.run, 'bought-unseen', -3 FROM f p WHERE p.tool = 'purchase' AND NOT EXISTS (SELECT 1 FROM f q WHERE q.run = p.run AND q.tool IN ('view', 'click') AND q.pos < p.pos)
+UNION SELECT e.run, 'with-receipt', 4 FROM e JOIN f USING (run, tool, pos) WHERE tool = 'purchase' AND contains(args, '["r"]'))
+SELECT run, rule, coalesce(score, 0)::INT AS score FROM u CROSS JOIN (SELECT unnest(['signup-click', 'error-error', 'all-kinds', 'bought-unseen', 'with-receipt']) AS rule) LEFT JOIN r USING (run, rule)""")
+def rules_in_one_pass(spark, d):
+    """Sequences with arguments, sets, what must come before and receipts, over all runs at once."""
+    own = read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("ts").alias("t"), F.col("event_id").alias("ord"), F.col("event_type").alias("tool"), F.expr(_ARGS).alias("arguments"))
+    return rules.scored(own, as_rules(_RULES))
 
 
 _EVIDENCE = "SELECT l_suppkey AS edge, l_orderkey * 10 + l_linenumber AS citation, l_discount AS contribution, l_quantity > 49 AS partial FROM lineitem"
