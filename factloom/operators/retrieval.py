@@ -156,64 +156,6 @@ def first_matches(docs: DataFrame, pattern: str, most: int = 100, text: str = "t
     return grep(docs, pattern, 0, text).select("id", "n", "line").orderBy("id", "n").limit(most)
 
 
-def fuzzy_find(source: str, search: str) -> tuple[str, float, int] | None:
-    """(strategy, score, first line) of the one place where the lines of `search` stand in `source`.
-
-    Exact lines first, then lines without outer white space, then without their common indent; the first
-    strategy with a hit decides, and several hits are an error.
-    """
-    own, wanted = source.split("\n"), search.strip("\n").split("\n")
-
-    def dedent(ls):
-        margin = min((len(x) - len(x.lstrip(" \t")) for x in ls if x.strip()), default=0)
-        return [x[margin:] if x.strip() else "" for x in ls]
-
-    each = lambda f: lambda ls: [f(x) for x in ls]
-    for name, score, normal in (("exact", 1.0, each(str)), ("whitespace_normalized", 0.95, each(lambda x: " ".join(x.split()))), ("indent_flexible", 0.85, dedent)):
-        goal = normal(wanted)
-        hits = [i for i in range(len(own) - len(wanted) + 1) if normal(own[i : i + len(wanted)]) == goal]
-        if len(hits) > 1:
-            raise ValueError(f"{len(hits)} places match by {name}")
-        if hits:
-            return name, score, hits[0]
-    return None
-
-
-def fuzzy_segments(source: str, search: str) -> tuple[str, float, int, int] | None:
-    """(strategy, score, first line, line after) of a search whose lines `...` stand for any lines between.
-
-    The segments match one after another, each behind the one before; the weakest of them gives strategy and score.
-    """
-    own, pieces = source.split("\n"), re.split(r"(?m)^[ \t]*\.\.\.[ \t]*$", search)
-    pieces = [p.strip("\n") for p in pieces if p.strip()]
-    at, first, weakest = 0, None, ("exact", 1.0)
-    for piece in pieces:
-        hit = fuzzy_find("\n".join(own[at:]), piece)
-        if hit is None:
-            return None
-        first = at + hit[2] if first is None else first
-        at += hit[2] + len(piece.split("\n"))
-        weakest = min(weakest, hit[:2], key=lambda x: x[1])
-    return None if first is None else (*weakest, first, at)
-
-
-def fuzzy_table(cases: DataFrame) -> DataFrame:
-    """(id, strategy, score, first, after, error) of cases (id, source, search), in Arrow batches; error says `ambiguous` or `no match`."""
-
-    def each(frames):
-        for frame in frames:
-            rows = []
-            for id_, source, search in zip(frame["id"], frame["source"], frame["search"]):
-                try:
-                    hit = fuzzy_segments(source or "", search or "")
-                    rows.append((id_, *(hit or (None,) * 4), None if hit else "no match"))
-                except ValueError:
-                    rows.append((id_, None, None, None, None, "ambiguous"))
-            yield pd.DataFrame(rows, columns=["id", "strategy", "score", "first", "after", "error"]).astype({"first": "Int64", "after": "Int64"})
-
-    return cases.select("id", "source", "search").mapInPandas(each, "id long, strategy string, score double, first long, after long, error string")
-
-
 def window_about(docs: DataFrame, anchor: str, around: int = 5, text: str = "text") -> DataFrame:
     """(id, window): the lines about the one-based line `anchor`, cut at the text's ends; per row, without a shuffle."""
     split = F.split(F.coalesce(text, F.lit("")), "\n", -1)

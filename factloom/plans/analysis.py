@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom import api
-from factloom.operators import graph, policy, resolve, retrieval, traces, treemap
+from factloom.operators import graph, line_match, policy, resolve, retrieval, traces, treemap
 
 from .adapters import LINKS, TRADE, WEIGHTED, calls, documents, links, nations, read, trade, weighted
 from .graphs import ROUNDS
@@ -322,10 +322,20 @@ def equal_windows(spark, d):
     return retrieval.equal_windows(documents(spark, d), ["The and attion to thanedble the, anea. Eriner thanea."])
 
 
-@query(r"""WITH l AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), n AS (SELECT id, l, list_transform(l, lambda x: trim(regexp_replace(x, '[\s\p{Z}\x1C-\x1F\x{85}]+', ' ', 'g'))) AS w FROM l),
-h AS (SELECT id, w[1] IN ('', '...') AS none, list_filter(range(1, len(l) + 1), lambda i: l[i] = '  ' || l[1]) AS e, list_filter(range(1, len(l) + 1), lambda i: w[i] = w[1]) AS f FROM n),
-c AS (SELECT id, none, CASE WHEN len(e) > 0 THEN 'exact' ELSE 'whitespace_normalized' END AS strategy, CASE WHEN len(e) > 0 THEN 1.0 ELSE 0.95 END AS score, CASE WHEN len(e) > 0 THEN e ELSE f END AS hits FROM h), o AS (SELECT *, NOT none AND len(hits) = 1 AS ok FROM c)
-SELECT id, CASE WHEN ok THEN strategy END AS strategy, CASE WHEN ok THEN score END::DOUBLE AS score, CASE WHEN ok THEN hits[1] - 1 END AS first, CASE WHEN ok THEN hits[1] END AS after, CASE WHEN none THEN 'no match' WHEN len(hits) > 1 THEN 'ambiguous' END AS error FROM o""")
+_BARE = r"regexp_replace({}, '^[\s\x0B\x85\p{{Z}}]+|[\s\x0B\x85\p{{Z}}]+$', '', 'g')"
+_BLANK = f"{_BARE.format('l[1]')} = '' OR {_BARE.format('l[-1]')} = '' OR " + r"regexp_matches(l[1], '^[ \t]*\.\.\.$') OR regexp_matches(l[-1], '^[ \t]*\.\.\.$')"
+
+
+@query(rf"""WITH o AS (SELECT doc_id AS id, coalesce(text, '') AS s, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), w AS (SELECT *, [{_BARE.format('x')} FOR x IN l] AS t, len(l) AS n, {_BLANK} AS blank FROM o),
+a AS (SELECT *, list_filter(range(1, n + 1), lambda i: l[i] = '  ' || l[1]) AS e FROM w), b AS (SELECT *, CASE WHEN len(e) > 0 THEN e ELSE list_filter(range(1, n + 1), lambda i: t[i] = t[1]) END AS h FROM a),
+c AS (SELECT *, list_filter(range(h[1] + 1, n + 1), lambda i: l[i] = l[-1]) AS f FROM b), g AS (SELECT *, CASE WHEN len(f) > 0 THEN f ELSE list_filter(range(h[1] + 1, n + 1), lambda i: t[i] = t[-1]) END AS k FROM c),
+r AS (SELECT *, CASE WHEN blank THEN 'empty segment' WHEN len(h) = 0 THEN 'no match' WHEN len(h) > 1 THEN 'ambiguous' WHEN len(k) = 0 THEN 'no match' WHEN len(k) > 1 THEN 'ambiguous' END AS error FROM g), q AS (SELECT *, error IS NULL AS ok, len(e) > 0 AND len(f) > 0 AS exact FROM r)
+SELECT id, CASE WHEN ok THEN CASE WHEN exact THEN 'exact' ELSE 'whitespace_normalized' END END AS strategy, CASE WHEN ok THEN CASE WHEN exact THEN 1.0 ELSE 0.95 END END::DOUBLE AS score, CASE WHEN ok THEN h[1] - 1 END AS first, CASE WHEN ok THEN k[1] END AS after,
+CASE WHEN ok THEN coalesce(list_sum([strlen(x) + 1 FOR x IN l[:h[1] - 1]]), 0) END AS start, CASE WHEN ok THEN list_sum([strlen(x) + 1 FOR x IN l[:k[1]]]) - 1 END AS "end",
+CASE WHEN ok THEN regexp_extract(l[h[1]], '^[ 	]*') || 'A' || chr(10) || '...' || chr(10) || regexp_extract(l[k[1]], '^[ 	]*') || 'B' END AS text, error FROM q""")
 def fuzzy_windows(spark, d):
-    first = F.regexp_extract("text", r"\A[^\n]*", 0)
-    return retrieval.fuzzy_table(documents(spark, d).select("id", F.col("text").alias("source"), F.concat(F.lit("  "), first).alias("search")))
+    """Each document's first line, further in, and its last one, anything between: where they stand and what replaces them."""
+    listed = F.split("text", "\n", -1)
+    search = F.concat(F.lit("  "), listed[0], F.lit("\n...\n"), F.element_at(listed, -1))
+    cases = documents(spark, d).select("id", F.col("text").alias("source"), search.alias("search"), F.lit("A\n...\nB").alias("replacement"))
+    return line_match.line_matches(cases)

@@ -72,15 +72,6 @@ def test_guards(spark):
     assert [r["x"] for r in deletes] == [True, False, False]
 
 
-def test_segments(spark):
-    source = "def f():\n    a\n    b\n    c\nend"
-    assert retrieval.fuzzy_segments(source, "def f():\n...\n    c") == ("exact", 1.0, 0, 4)
-    assert retrieval.fuzzy_segments(source, "def f():\n...\nc")[:2] == ("whitespace_normalized", 0.95)
-    assert retrieval.fuzzy_segments(source, "    c\n...\ndef f():") is None
-    rows = {r["id"]: (r["strategy"], r["error"]) for r in retrieval.fuzzy_table(frame(spark, [(1, source, "end"), (2, "a\nb\na", "a"), (3, None, "x"), (4, "a", None)], "id long, source string, search string")).collect()}
-    assert rows == {1: ("exact", None), 2: (None, "ambiguous"), 3: (None, "no match"), 4: (None, "no match")}
-
-
 def test_windows(spark):
     docs = frame(spark, [(1, "a\nb\nc\nd", 1), (2, None, 1), (3, "x", 9)], "id long, text string, at int")
     assert {r["id"]: r["window"] for r in retrieval.window_about(docs, "at", 1).collect()} == {1: "a\nb", 2: "", 3: ""}

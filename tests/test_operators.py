@@ -148,12 +148,6 @@ def test_tokens(spark):
     assert token[0]["p"]["cluster_id"] == 9 and token[1]["p"] is None and token[2]["p"] is None
 
 
-def test_fuzzy():
-    assert retrieval.fuzzy_find("\tfoo()\n\tbar()", "foo()\nbar()")[:2] == ("whitespace_normalized", 0.95)
-    with pytest.raises(ValueError):
-        retrieval.fuzzy_find("a\nb\na\nb", "a\nb")
-
-
 def test_regressions(spark):
     pre = frame(spark, [(x, True, False) for x in "abcd"], "id string, passed boolean, skipped boolean")
     post = frame(spark, [("a", True, False), ("b", False, False), ("c", False, True)], "id string, passed boolean, skipped boolean")
