@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources.dialogue import dialogue_events, paired_calls
+from factloom.sources.growing import growing_log
 from factloom.streaming import receipts, watching
 
 from .adapters import read
@@ -80,3 +82,26 @@ def receipt_stream(spark, d):
     own = outcomes.groupBy("workspace", "receipt").agg(F.max(F.when(F.col("outcome").isin("expired", "evicted", "outdated"), F.col("outcome"))).alias("outcome"), F.bool_or(F.col("outcome") == "issued").alias("issued"))
     # a removal's receipt is the one that left; lookups ask for what was never issued
     return own.where("issued").select(F.col("workspace").cast("long").alias("workspace"), F.col("receipt").cast("long").alias("receipt"), "outcome")
+
+
+@query("""SELECT a.conv_id, a.turn, CASE WHEN a.turn % 4 = 1 THEN 'search' ELSE 'read' END AS tool, length(a.text)::BIGINT AS n, (b.conv_id % 5 = 0) AS is_error, 60::BIGINT AS seconds
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'assistant' AND b.role = 'user'""")
+def dialogue_calls(spark, d):
+    """Conversations as nested stream-JSON: an assistant's turn makes a call, the user's next turn brings its result; half of the lines come later."""
+    root = _folder(spark)
+    turns = read(spark, d, "conversations")
+    when = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    ident = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    tool = F.when(F.col("turn") % 4 == 1, "search").otherwise("read")
+    call = F.struct(F.lit("tool_use").alias("type"), ident(F.col("turn")).alias("id"), tool.alias("name"), F.struct(F.length("text").alias("n")).alias("input"))
+    said = F.to_json(F.struct(F.lit("assistant").alias("type"), when.alias("timestamp"), F.struct(F.array(call).alias("content")).alias("message")))
+    result = F.struct(F.lit("tool_result").alias("type"), ident(F.col("turn") - 1).alias("tool_use_id"), (F.col("conv_id") % 5 == 0).alias("is_error"))
+    told = F.to_json(F.struct(F.lit("user").alias("type"), when.alias("timestamp"), F.struct(F.array(result).alias("content")).alias("message")))
+    other = F.to_json(F.struct(F.lit("system").alias("type"), F.lit("api_retry").alias("subtype")))
+    lines = turns.select("turn", F.when(F.col("role") == "assistant", said).when(F.col("role") == "user", told).otherwise(other).alias("value"))
+    for half in (0, 1):
+        lines.where(F.col("turn") % 2 == half).select("value").write.mode("append").text(f"{root}/log")
+        events = dialogue_events(growing_log(spark, f"{root}/log")).withColumn("file", F.lit("all"))  # a conversation's lines lie in several files
+        found = _run(paired_calls(events), root, "pairs")
+    part = lambda k: F.split("call_id", "-")[k].cast("long")
+    return found.select(part(0).alias("conv_id"), part(1).alias("turn"), "tool", F.get_json_object("input", "$.n").cast("long").alias("n"), "is_error", (F.unix_seconds("answered") - F.unix_seconds("called")).alias("seconds"))
