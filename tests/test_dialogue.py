@@ -42,7 +42,7 @@ def test_calls_meet_results_of_later_batches(spark, tmp_path):
     (tmp_path / "log").mkdir()
     call = lambda i, t: {"type": "assistant", "timestamp": f"2024-01-01T{t}Z", "message": {"content": [{"type": "tool_use", "id": i, "name": "n", "input": {}}]}}
     answer = lambda i, t: {"type": "user", "timestamp": f"2024-01-01T{t}Z", "message": {"content": [{"type": "tool_result", "tool_use_id": i}]}}
-    batches = [[call("a", "00:00:00"), call("late", "00:00:00"), call("b", "00:01:00")], [answer("a", "00:00:30"), answer("x", "00:02:00")], [answer("b", "00:03:00"), answer("late", "01:30:00"), call("none", "02:00:00")], [call("end", "09:00:00"), answer("y", "09:00:00")]]
+    batches = [[call("a", "00:00:00"), call("late", "00:00:00"), call("b", "00:01:00")], [answer("a", "00:00:30"), answer("x", "00:02:00")], [answer("b", "00:03:00"), answer("late", "01:30:00"), call("none", "02:00:00")], [call("end", "09:00:00"), answer("y", "09:00:00")], [answer("z", "09:00:01")]]
     rows = []
     for k, batch in enumerate(batches):
         with open(tmp_path / "log/a.json", "a") as file:
