@@ -29,31 +29,36 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def coloured(nodes: DataFrame, edges: DataFrame, cut: Cut) -> DataFrame:
     """(id, colour) of nodes (id) such that no edge (src, dst) joins two of a colour; colours count from 0.
 
-    Each round those nodes get one whose number, a hash of the id, is above those of their neighbours without a colour: the least that no
-    neighbour has. Hubs need no task of their own: what is taken of a node's neighbours is a maximum and a set of colours.
+    Each round those nodes get one that come before their neighbours without a colour, by degree, then by a hash of the id: the least that no neighbour has.
+    With hubs first there are few rounds and few colours: two of each where a graph has two sides of unlike degree. Hubs need no task of
+    their own: what is taken of a node's neighbours is a maximum and a set of colours.
     """
-    number = lambda c: F.struct(F.xxhash64(c), F.col(c))
-    open_, done = cut(edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")).distinct(), "colour-edges"), None
-    alone = nodes.select("id").distinct().join(open_.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("colour"))
-    around = open_
-    while not open_.isEmpty():
-        first = open_.groupBy("src").agg(F.max(number("dst")).alias("most")).where(number("src") > F.col("most")).select("src")
+    own = edges.where("src <> dst")
+    around = cut(own.select("src", "dst").union(own.select("dst", "src")).distinct(), "around")
+    degree = around.groupBy("src").agg(F.count("*").alias("n"))
+    numbers = cut(degree.select(F.col("src").alias("id"), F.struct("n", F.xxhash64("src").alias("h"), F.col("src").alias("id")).alias("number")), "numbers")
+    open_ = around.join(numbers.select(F.col("id").alias("src"), F.col("number").alias("own")), "src").join(numbers.select(F.col("id").alias("dst"), F.col("number").alias("other")), "dst").select("src", "dst", "own", "other")
+    alone = nodes.select("id").distinct().join(numbers.select("id"), "id", "left_anti").select("id", F.lit(0).alias("colour"))
+    done = None
+
+    def free(wanted: DataFrame) -> DataFrame:
+        """(id, colour) of wanted (src): the least colour that no neighbour has."""
         if done is None:
-            fresh = first.select(F.col("src").alias("id"), F.lit(0).alias("colour"))
-        else:
-            taken = around.join(first, "src", "left_semi").join(done, F.col("dst") == F.col("id")).groupBy("src").agg(F.collect_set("colour").alias("taken"))
-            used = F.coalesce("taken", F.array().cast("array<int>"))
-            free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
-            fresh = first.join(taken, "src", "left").select(F.col("src").alias("id"), free.alias("colour"))
-        fresh = cut(fresh, "fresh")
-        # a neighbour of one that has a colour now is still open itself, unless it has no open neighbour left
-        closing = open_.join(fresh.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
-        still = cut(open_.join(fresh.select(F.col("id").alias("src")), "src", "left_anti").join(fresh.select(F.col("id").alias("dst")), "dst", "left_anti"), "colour-edges")
-        last = closing.distinct().join(fresh, "id", "left_anti").join(still.select(F.col("src").alias("id")), "id", "left_anti")
-        so_far = fresh if done is None else done.union(fresh)
-        taken = around.join(last.select(F.col("id").alias("src")), "src", "left_semi").join(so_far, F.col("dst") == F.col("id")).groupBy("src").agg(F.collect_set("colour").alias("taken"))
-        rest = taken.select(F.col("src").alias("id"), F.array_min(F.array_except(F.sequence(F.lit(0), F.size("taken")), F.col("taken"))).alias("colour"))
-        done, open_ = cut(so_far.union(rest), "coloured"), still
+            return wanted.select(F.col("src").alias("id"), F.lit(0).alias("colour"))
+        taken = around.join(wanted, "src", "left_semi").join(done, F.col("dst") == F.col("id")).groupBy("src").agg(F.collect_set("colour").alias("taken"))
+        used = F.coalesce("taken", F.array().cast("array<int>"))
+        return wanted.join(taken, "src", "left").select(F.col("src").alias("id"), F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used)).alias("colour"))
+
+    while True:
+        fresh = cut(free(open_.groupBy("src").agg(F.max("other").alias("most"), F.first("own").alias("own")).where("own > most").select("src")), "fresh")
+        if fresh.isEmpty():
+            break
+        done = fresh if done is None else done.union(fresh)
+        left = open_.join(fresh.select(F.col("id").alias("src")), "src", "left_anti")
+        open_ = cut(left.join(fresh.select(F.col("id").alias("dst")), "dst", "left_anti"), "open")
+        # those who have lost their last open neighbour
+        last = left.select("src").distinct().join(open_.select("src"), "src", "left_anti")
+        done = cut(done.union(free(last)), "coloured")
     return alone if done is None else alone.union(done)
 
 
