@@ -1,14 +1,15 @@
 """License scans by conditional compression.
 
 The cues are the templates' own words, so white space and comment marks between them do not matter: wherever a
-template's words stand close enough together that its wording may, a candidate block opens. Every template that
-a block may hold is aligned with it word by word, and confirmed if its exact wording differences are few: words
-that are missing, replaced or added within what was aligned. A block is also compressed by itself and with each
-template as zstandard raw dictionary; where candidates overlap, the longest stays, and of equal ones the template
-by which the block gets smallest.
+template's words stand close enough together that its wording may, a candidate block opens. A block's words are compressed by
+themselves and with each template's as zstandard raw dictionary, which ranks the templates by the bytes that they save. They are
+confirmed down this ranking by exact wording differences, words that are missing, replaced or added: the first that stands
+anywhere in the block wins its closest places, and what lies between these is a block of its own, ranked anew. A
+block is done when no template is left in it that has words enough for its wording; those that save nothing come last. So
+what the ranking passes over is overlapped by a winner or is no wording.
 
 Null text: empty. Null doc_id: the row stays. Repeated rows: one result each. Empty table: no rows. Very
-long texts: whole, by windows of bounded size.
+long texts: whole, by windows of bounded size. Ties of the ranking: by name. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -49,18 +50,17 @@ _WORD = re.compile(r"\w(?:[\w./-]*\w)?")
 
 
 @functools.cache
-def _compressors(templates: tuple) -> dict:
-    """Compressors by template; None: without one."""
-    made = {None: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)}
-    for name, text in templates:
-        raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        made[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
-    return made
+def _template_words(text: str) -> tuple[str, ...]:
+    return tuple(w.lower() for w in _WORD.findall(text))
 
 
 @functools.cache
-def _template_words(text: str) -> tuple[str, ...]:
-    return tuple(w.lower() for w in _WORD.findall(text))
+def _compressor(template: str | None) -> zstandard.ZstdCompressor:
+    """A compressor with a template as dictionary; None: without one."""
+    if template is None:
+        return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+    raw = zstandard.ZstdCompressionDict(" ".join(_template_words(template)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
 
 
 def likely(text: str, templates: tuple, most: float) -> list[tuple[str, str]]:
@@ -71,10 +71,10 @@ def likely(text: str, templates: tuple, most: float) -> list[tuple[str, str]]:
 
 
 def ranked(block: str, templates: tuple) -> list[tuple[float, str]]:
-    """(saving, template), best first: bytes that the template saves, as a share of what it has to say."""
-    made, raw = _compressors(templates), block.encode()
-    alone = len(made[None].compress(raw))
-    out = [((alone - len(made[name].compress(raw))) / len(text) ** 0.5, name) for name, text in templates]
+    """(saving, template), best first: bytes that the template saves of a block's words, as a share of what it has to say."""
+    raw = block.encode()
+    alone = len(_compressor(None).compress(raw))
+    out = [((alone - len(_compressor(text).compress(raw))) / len(text) ** 0.5, name) for name, text in templates if text]
     return sorted((x for x in out if x[0] > 0), key=lambda x: (-x[0], x[1]))
 
 
@@ -120,9 +120,13 @@ class Places:
                 out.append((k, begin, end))
         return out
 
-    def found(self) -> list[tuple[int, int, int]]:
-        """(first word, end, differing words), in order."""
-        out, free, n = [], [(0, len(self.words))], len(self.wanted)
+    def may(self, low: int, high: int) -> bool:
+        """Whether there are enough of the template's words between low and high."""
+        return high - low >= self.need and self.many[-1] > 0 and self.many[high] - self.many[low] >= self.need
+
+    def found(self, low: int = 0, high: int | None = None) -> list[tuple[int, int, int]]:
+        """(first word, end, differing words) between low and high, in order."""
+        out, free, n = [], [(low, len(self.words) if high is None else high)], len(self.wanted)
         matcher = difflib.SequenceMatcher(None, "", self.wanted, False)
         while free:
             low, high = free.pop()
@@ -152,7 +156,7 @@ def wording(block: str, template: str, most: float) -> list[tuple[int, int, int]
 
 
 def licenses(text: str, templates: tuple, most: float = MOST_DIFFERENT) -> tuple[int, list[tuple[int, int, str, int]]]:
-    """Number of candidate blocks, and (start, end, template, differing words), longest first where they overlap, then by rank."""
+    """Number of candidate blocks, and (start, end, template, differing words) of the winners, in order."""
     own = list(_WORD.finditer(text)) if (held := likely(text, templates, most)) else []
     words = [m[0].lower() for m in own]
     places = {name: Places(words, wanted, most) for name, wanted in held}
@@ -162,14 +166,22 @@ def licenses(text: str, templates: tuple, most: float = MOST_DIFFERENT) -> tuple
             blocks[-1][1] = max(blocks[-1][1], end)
         else:
             blocks.append([begin, end])
-    firsts, saving, found = [b[0] for b in blocks], {}, {}
-    for name, p in places.items():
-        for a, b, d in p.found():
-            k = bisect.bisect_right(firsts, a) - 1
-            if k not in saving:
-                saving[k] = {n: x for x, n in ranked(text[own[blocks[k][0]].start() : own[blocks[k][1] - 1].end()], templates)}
-            found[own[a].start(), own[b - 1].end(), name, d] = saving[k].get(name, 0.0)
-    return len(blocks), _apart(sorted(found, key=lambda x: (x[3] - (x[1] - x[0]), -found[x], x[3], x[0], x[2])))
+    out, free = [], [tuple(b) for b in blocks]
+    while free:
+        low, high = free.pop()
+        here = {name: wanted for name, wanted in held if places[name].may(low, high)}
+        if not here:
+            continue
+        first = [name for _, name in ranked(" ".join(words[low:high]), tuple(here.items()))]
+        for name in first + sorted(here.keys() - set(first)):
+            if spans := places[name].found(low, high):
+                closest = min(d for *_, d in spans)
+                won = [x for x in spans if x[2] == closest]
+                out += [(own[a].start(), own[b - 1].end(), name, d) for a, b, d in won]
+                edges = [low, *(e for x in won for e in x[:2]), high]
+                free += [x for x in zip(edges[::2], edges[1::2]) if x[0] < x[1]]
+                break
+    return len(blocks), sorted(out)
 
 
 def license_scan(documents: DataFrame, templates: dict[str, str] | None = None, most: float = MOST_DIFFERENT) -> DataFrame:

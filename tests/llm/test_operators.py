@@ -582,3 +582,32 @@ def test_licenses_with_one_word_changed():
                     assert best <= d <= licenses.MOST_DIFFERENT * size
                 if allowed:
                     assert any(n == name for _, _, n, _ in found) or any(d <= 1 for *_, d in found), (name, at, found)
+
+
+def test_the_compression_ranking_decides(spark, monkeypatch):
+    """Without it, alike wordings are taken for one another and a long notice for its first sentence."""
+    own = tuple(sorted(licenses.TEMPLATES.items()))
+    alike = licenses.TEMPLATES["cc-by-sa-4.0-notice"]
+    text = f"Head. {alike} Between them more words stand. {licenses.TEMPLATES['cc-by-4.0-notice']} Tail."
+    names = lambda t: [x[2] for x in licenses.licenses(t, own)[1]]
+    assert names(alike) == ["cc-by-sa-4.0-notice"] and names(text) == ["cc-by-sa-4.0-notice", "cc-by-4.0-notice"]
+    assert names(licenses.TEMPLATES["apache-2.0-header"]) == ["apache-2.0-header"] and names(licenses.TEMPLATES["apache-2.0-notice"]) == ["apache-2.0-notice"]
+    with_columns = spark.createDataFrame([(1, alike, "x", 7, "y")], "doc_id long, text string, licenses string, n_blocks int, spans string")
+    assert licenses.license_scan(with_columns).first()["licenses"] == "cc-by-sa-4.0-notice"
+    monkeypatch.setattr(licenses, "ranked", lambda block, templates: [])
+    assert names(alike) == ["cc-by-4.0-notice"]
+
+
+def test_every_wording_is_confirmed_or_overlapped():
+    own, r = tuple(sorted(licenses.TEMPLATES.items())), np.random.default_rng(8)
+    for _ in range(120):
+        parts = [licenses.TEMPLATES[str(r.choice(list(licenses.TEMPLATES)))] if r.random() < 0.6 else prose(int(r.integers(1e6)), int(r.integers(1, 25))) for _ in range(int(r.integers(1, 6)))]
+        words_ = " ".join(parts).split(" ")
+        for k in r.integers(0, len(words_), len(words_) // 40):
+            words_[k] = "changed"
+        text = " ".join(words_)
+        spans = licenses.licenses(text, own)[1]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        for name, template in own:
+            for start, end, _ in licenses.wording(text, template, licenses.MOST_DIFFERENT):
+                assert any(a < end and start < b for a, b, *_ in spans), (name, text[start:end])
