@@ -8,6 +8,8 @@ needs to take a document's old postings out. An upsert rewrites the buckets of t
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,6 +61,18 @@ def _counted(fields: list[str]):
     return count
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Inside, a write's shuffle files go when it is done, rather than when the driver happens to collect its garbage; nothing is run twice there."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
 class TermIndex:
     """An index of documents (id, a whole number, and text columns) below a folder. One writer."""
 
@@ -90,13 +104,15 @@ class TermIndex:
 
     def _blocked(self, postings: DataFrame) -> DataFrame:
         """Blocks of postings (field, term, part, id, tf, size)."""
-        listed = postings.groupBy("field", "term", "part").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "size"))).alias("postings"))
+        # dealt out by bucket once: the groups of a bucket lie within it, so that neither they nor the files need another shuffle
+        own = postings.withColumn("bucket", _bucket("term", self.buckets)).repartition("bucket")
+        listed = own.groupBy("bucket", "field", "term", "part").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "size"))).alias("postings"))
         start = F.array().cast("array<struct<tf:int,size:int>>")
         keep = lambda s, x: F.when(F.size(s) == 0, F.array(x)).when(x["tf"] > F.element_at(s, -1)["tf"], F.concat(s, F.array(x))).otherwise(s)
         by_size = F.sort_array(F.array_distinct(F.transform("postings", lambda x: F.struct(x["size"].alias("size"), (-x["tf"]).alias("minus")))))
         front = F.aggregate(F.transform(by_size, lambda x: F.struct((-x["minus"]).alias("tf"), x["size"].alias("size"))), start, keep)
-        rows = listed.select("field", "term", "part", F.size("postings").cast("long").alias("n"), front.alias("front"), "postings")
-        return rows.withColumn("bucket", _bucket("term", self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term", "part")
+        rows = listed.select("field", "term", "part", F.size("postings").cast("long").alias("n"), front.alias("front"), "postings", "bucket")
+        return rows.sortWithinPartitions("bucket", "term", "part")
 
     def _postings(self, forward: DataFrame) -> DataFrame:
         own = forward.select("id", "field", F.col("size").cast("int").alias("size"), self._part().alias("part"), F.explode("terms").alias("x"))
@@ -105,8 +121,9 @@ class TermIndex:
     def build(self, docs: DataFrame) -> None:
         """The index of documents (id, *fields), each id once, in place of what there was."""
         analysed = self._analysed(docs).withColumn("bucket", _bucket("id", self.buckets))
-        self.forward.upsert(analysed.repartition("bucket"))
-        self.blocks.upsert(self._blocked(self._postings(self._forward())))
+        with _shuffles_dropped(self.spark):
+            self.forward.upsert(analysed.repartition("bucket"))
+            self.blocks.upsert(self._blocked(self._postings(self._forward())))
 
     def upsert(self, docs: DataFrame, gone: DataFrame | None = None) -> None:
         """Documents replace those of their ids, gone ones (id) leave."""
