@@ -254,6 +254,18 @@ def guard_decisions(spark, d):
     return edits.select("edit", "line", large.alias("large"), public.alias("public_edit"), policy.action(large, F.when(F.col("flag") == "R", "block"), F.when(F.col("line") % 2 == 0, "off").otherwise("")).alias("action"))
 
 
+@query("""WITH e AS (SELECT *, replace(name, ' ', '_') AS find, CASE WHEN item_id % 3 = 0 THEN ['other'] ELSE [replace(name, ' ', '_'), 'x'] END AS symbols, item_id % 4 IN (1, 3) AS impact, item_id % 4 IN (2, 3) AS refs FROM items)
+SELECT item_id, coalesce(regexp_matches(find, '^[A-Za-z_][A-Za-z0-9_]{2,}$'), FALSE) AND coalesce(list_contains(symbols, find), FALSE) AS renames, item_id % 2 = 0 AND coalesce(size, 0) > 10 AND NOT CASE WHEN coalesce(price, 0) > 100 THEN impact ELSE impact OR refs END AS unchecked FROM e""")
+def guarded_edits(spark, d):
+    """Edits of items: those that rename a symbol by its text, and removals without the receipt that they need."""
+    find = F.replace("name", F.lit(" "), F.lit("_"))
+    own = read(spark, d, "items").select("item_id", "size", "price", find.alias("find"), F.when(F.col("item_id") % 3 == 0, F.array(F.lit("other"))).otherwise(F.array(find, F.lit("x"))).alias("symbols"))
+    held = F.array_compact(F.array(F.when((F.col("item_id") % 4).isin(1, 3), "impact_checked"), F.when((F.col("item_id") % 4).isin(2, 3), "references_checked")))
+    rows = own.withColumn("receipts", held)
+    unchecked = policy.unchecked_delete(F.col("item_id") % 2 == 0, F.coalesce("size", F.lit(0)) > 10, F.coalesce("price", F.lit(0.0)) > 100, "receipts")
+    return rows.select("item_id", F.coalesce(policy.renames_by_text("find", "symbols"), F.lit(False)).alias("renames"), unchecked.alias("unchecked"))
+
+
 @query("SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(url, '^(.*/)?[^/]*1[^/]*$') THEN 'path_glob' END, CASE WHEN regexp_matches(url, '(?i)login|token|[0-9]7') THEN 'identifier' END, CASE WHEN page_id % 3 = 0 THEN 'import_pattern' END) AS signals FROM pages")
 def security_signals(spark, d):
     imports = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("crypto/rand"), F.lit("fmt"))).otherwise(F.array(F.lit("fmt")))
