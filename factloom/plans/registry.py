@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _loaded() -> None:
-    from . import analysis, codes, facts, graphs, relations, search, streams, tracing  # noqa: F401
+    from . import analysis, codes, facts, graphs, relations, search, stores, streams, tracing  # noqa: F401
 
 
 def queries() -> dict:

@@ -32,7 +32,8 @@ class VersionedTable:
 
     def delete(self, **values) -> None:
         """Drops one partition's folder; its rows are not rewritten."""
-        folder = "/".join(f"{c}={values[c]}" for c in self.partition)
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        folder = "/".join(f"{c}={escaped(str(values[c]))}" for c in self.partition)
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -21,12 +21,9 @@ class SnapshotStore:
 
     def manifest(self) -> DataFrame:
         """The last status of each snapshot."""
-        try:
-            rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
-        except Exception as error:  # no snapshot has been begun yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        if not self._there(f"{self.root}/manifest"):  # no snapshot has been begun yet
             return self.spark.createDataFrame([], _MANIFEST)
+        rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
         return rows.groupBy("snapshot_id").agg(F.max(F.struct("created_at", "status")).alias("x")).select("snapshot_id", "x.status", "x.created_at")
 
     def _mark(self, snapshot: int, status: str) -> None:
@@ -96,12 +93,11 @@ class SnapshotStore:
         return self._values(f"{self.root}/counters/{counter}") or 0
 
     def _values(self, path: str) -> int | None:
-        try:
-            return self.spark.read.schema("value long").parquet(path).agg(F.max("value")).first()[0]
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return None
+        return self.spark.read.schema("value long").parquet(path).agg(F.max("value")).first()[0] if self._there(path) else None
+
+    def _there(self, path: str) -> bool:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
     def retain(self, keep: int) -> list[int]:
         """Keeps the newest committed snapshots; the others' folders go, after their manifest rows say so."""
