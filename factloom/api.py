@@ -88,12 +88,12 @@ def cluster_map(members: DataFrame, edges: DataFrame, top: int = 20) -> DataFram
 SHOWN_CALLERS, SHOWN_EDGES = 50, 100
 
 
-def explain(symbols: DataFrame, edges: DataFrame, clusters: DataFrame, seed, types: DataFrame | None = None, most_callers: int = SHOWN_CALLERS, most_edges: int = SHOWN_EDGES) -> DataFrame:
+def explain(symbols: DataFrame, edges: DataFrame, clusters: DataFrame, seed, types: DataFrame | None = None, most_callers: int | None = SHOWN_CALLERS, most_edges: int | None = SHOWN_EDGES) -> DataFrame:
     """(aspect, id, detail): a symbol's callers, callees and cluster, and the steps of its type chain where types are given; one row each.
 
-    `types` is (id, step, type): how the symbol's type was found, in order. Callers are the first by id, and so are callees.
+    `types` is (id, step, type): how the symbol's type was found, in order. Callers are the first by id, and so are callees; None: all of them.
     """
-    first = lambda rows, most: rows.distinct().orderBy("id").limit(most)
+    first = lambda rows, most: rows.distinct() if most is None else rows.distinct().orderBy("id").limit(most)
     into = first(edges.where(F.col("dst") == seed).select(F.lit("caller").alias("aspect"), F.col("src").alias("id")), most_callers)
     out = first(edges.where(F.col("src") == seed).select(F.lit("callee").alias("aspect"), F.col("dst").alias("id")), most_edges)
     named = into.union(out).join(symbols.select("id", F.col("name").alias("detail")), "id").select("aspect", "id", "detail")
