@@ -103,24 +103,37 @@ def _margin(line: Column) -> Column:
     return F.regexp_extract(line, r"^([ \t]*)", 1)
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is worked out once: an expression that stands in a lambda is worked out for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def common_margin(lines) -> Column:
     """The white space that all lines of an array begin with, blank ones aside."""
     margins = F.transform(F.filter(_col(lines), lambda x: ~x.rlike(_BLANK)), _margin)
+
     # the longest common prefix of all is that of the smallest and the greatest
-    low, high = F.array_min(margins), F.array_max(margins)
-    places = F.sequence(F.lit(0), F.least(F.length(low), F.length(high)))
-    same = F.array_max(F.filter(places, lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n)))
-    return F.coalesce(F.substring(low, F.lit(1), same), F.lit(""))
+    def common(ends):
+        low, high = ends["low"], ends["high"]
+        places = F.sequence(F.lit(0), F.least(F.length(low), F.length(high)))
+        same = F.array_max(F.filter(places, lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n)))
+        return F.substring(low, F.lit(1), same)
+
+    ends = _bound(margins, lambda m: F.struct(F.array_min(m).alias("low"), F.array_max(m).alias("high")))
+    return F.coalesce(_bound(ends, common), F.lit(""))
 
 
 def dedented(lines, margin) -> Column:
     """Lines without a margin, where they have it; blank lines empty."""
-    size = F.length(_col(margin))
-    return F.transform(_col(lines), lambda x: F.when(x.rlike(_BLANK), "").when(x.startswith(_col(margin)), F.substring(x, size + 1, F.length(x))).otherwise(x))
+
+    def cut(m):
+        return F.transform(_col(lines), lambda x: F.when(x.rlike(_BLANK), "").when(x.startswith(m), F.substring(x, F.length(m) + 1, F.length(x))).otherwise(x))
+
+    return _bound(_col(margin), cut)
 
 
 def indented(lines, margin) -> Column:
-    return F.transform(_col(lines), lambda x: F.when(x.rlike(_BLANK), "").otherwise(F.concat(_col(margin), x)))
+    return _bound(_col(margin), lambda m: F.transform(_col(lines), lambda x: F.when(x.rlike(_BLANK), "").otherwise(F.concat(m, x))))
 
 
 def reflowed(replacement, searched, matched) -> Column:
