@@ -20,18 +20,29 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
 
-def reference_graph(definitions: DataFrame, references: DataFrame, loop_weight: float = 0.1) -> DataFrame:
+#: Definitions (name, file) up to this number are broadcast, as a table of some ten MB; more of them are joined by name.
+MOST_BROADCAST = 200_000
+
+
+def reference_graph(definitions: DataFrame, references: DataFrame, loop_weight: float = 0.1, most_broadcast: int | None = None) -> DataFrame:
     """File graph from definitions (name, file) and references (name, file), a row for each occurrence.
 
     An edge goes from the referring to the defining file and weighs sqrt(references) / sqrt(1 + definitions
     of the name), for each definition; a definition that nothing refers to gives its file a small loop.
+    Definitions of a name in one file are counted before they meet references, so that these meet files only.
     """
-    degree = definitions.groupBy("name").agg(F.count("*").alias("degree"))
+    most = MOST_BROADCAST if most_broadcast is None else most_broadcast
+    held = definitions.groupBy("name", "file").agg(F.count("*").alias("held"))
+    degree = held.groupBy("name").agg(F.sum("held").alias("degree"))
+    share = held.join(degree, "name").select("name", F.col("file").alias("dst"), (F.col("held") / F.sqrt(F.lit(1.0) + F.col("degree"))).alias("share"))
     counted = references.groupBy("name", "file").agg(F.count("*").alias("n")).withColumnRenamed("file", "src")
-    joined = counted.join(definitions.withColumnRenamed("file", "dst"), "name").join(degree, "name").where("src <> dst")
-    weighed = joined.select("src", "dst", (F.sqrt("n") / F.sqrt(F.lit(1.0) + F.col("degree"))).alias("weight"))
-    alone = definitions.join(references.select("name").distinct(), "name", "left_anti")
-    return accumulated(weighed.union(alone.select(F.col("file").alias("src"), F.col("file").alias("dst"), F.lit(loop_weight).alias("weight"))))
+    if held.limit(most + 1).count() <= most:
+        # a referring file's rows lie together, so that its edges add up where they are made
+        counted, share = counted.repartition("src"), F.broadcast(share)
+    weighed = counted.join(share, "name").where("src <> dst").groupBy("src", "dst").agg(F.sum(F.sqrt("n") * F.col("share")).alias("weight"))
+    alone = held.join(references.select("name").distinct(), "name", "left_anti")
+    loops = alone.groupBy("file").agg((F.sum("held") * F.lit(loop_weight)).alias("weight")).select(F.col("file").alias("src"), F.col("file").alias("dst"), "weight")
+    return weighed.union(loops)  # no edge of the first kind is a loop
 
 
 def teleport(nodes: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
