@@ -54,7 +54,7 @@ def related(text: DataFrame, ranked: DataFrame, clusters: DataFrame, seed, paths
 def semantic_context(index: DataFrame, terms: list[str], ranked: DataFrame, costs: DataFrame, budget: int = 2048, top: int = 256) -> DataFrame:
     """(id, score, cost, place): what a token budget holds of the best by text and rank together.
 
-    `ranked` is (id, rank); a candidate over what is left of the budget is passed over.
+    `index` is what `retrieval.bm25` reads, postings or texts; `ranked` is (id, rank); a candidate over what is left of the budget is passed over.
     """
     budget = max(LEAST_BUDGET, min(budget, MOST_BUDGET))
     fused = retrieval.fuse(retrieval.ranks(retrieval.bm25(index, terms, top, 6)), ranked).select("id", F.round("score", 12).alias("score"))

@@ -21,11 +21,23 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def _sizes_and_hits(index: DataFrame, keys: list[str], terms: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(*keys, size) and (*keys, term, tf) of postings (*keys, term, tf) or of texts (*keys, text), whose words are counted within their rows."""
+    if "term" in index.columns:
+        return index.groupBy(*keys).agg(F.sum("tf").alias("size")), index.where(F.col("term").isin(sorted(set(terms))))
+    own = index.select(*keys, F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "").alias("words"))
+    asked = F.explode(F.filter("words", lambda w: w.isin(sorted(set(terms)))))
+    hits = own.select(*keys, asked.alias("term")).where("term <> ''").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return own.groupBy(*keys).agg(F.sum(F.size("words")).alias("size")).where("size > 0"), hits
+
+
 def bm25(index: DataFrame, terms: list[str], top: int, digits: int | None = None) -> DataFrame:
-    """(id, score): the best documents for a query's terms, by scores of so many digits; only the terms' postings are read past the sizes."""
-    size = index.groupBy("id").agg(F.sum("tf").alias("size"))
+    """(id, score): the best documents for a query's terms, by scores of so many digits, from postings (id, term, tf) or texts (id, text).
+
+    Past the sizes only the terms' postings are read; of texts, no other word leaves its row.
+    """
+    size, hits = _sizes_and_hits(index, ["id"], terms)
     whole = size.agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("mean"))
-    hits = index.where(F.col("term").isin(sorted(set(terms))))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), "term").join(size, "id").join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -34,18 +46,22 @@ def bm25(index: DataFrame, terms: list[str], top: int, digits: int | None = None
     return scored.groupBy("id").agg(score.alias("score")).orderBy(F.desc("score"), "id").limit(top)
 
 
+def field_texts(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, field, text) of several text columns, null ones as empty."""
+    return docs.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields])).alias("x")).select("id", "x.field", "x.text")
+
+
 def field_postings(docs: DataFrame, fields: list[str]) -> DataFrame:
     """(id, field, term, tf) of several text columns, null ones as empty."""
-    long = docs.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields])).alias("x")).select("id", "x.field", "x.text")
+    long = field_texts(docs, fields)
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     return long.select("id", "field", words.alias("term")).where("term <> ''").groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
 
 
 def match_any(index: DataFrame, terms: list[str], top: int, anchors: list | None = None, boost: float = 1.0, digits: int = 6) -> DataFrame:
-    """(id, score): the best documents for any of the terms in any field; each field is scored by its own statistics. Anchors that match a term gain a boost; one that matches none is no hit."""
-    size = index.groupBy("field", "id").agg(F.sum("tf").alias("size"))
+    """(id, score): the best documents for any of the terms in any field, from postings (id, field, term, tf) or texts (id, field, text); each field is scored by its own statistics. Anchors that match a term gain a boost; one that matches none is no hit."""
+    size, hits = _sizes_and_hits(index, ["field", "id"], terms)
     whole = size.groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("mean"))
-    hits = index.where(F.col("term").isin(sorted(set(terms))))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), ["field", "term"]).join(size, ["field", "id"]).join(F.broadcast(whole), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
