@@ -6,6 +6,8 @@ the plan grows by a round at a time, which a few fixed rounds bear.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,17 +151,18 @@ def propagate_labels(edges: DataFrame, nodes: DataFrame, rounds: int = 20, cut=N
 
 def topological_levels(phases: DataFrame, cut, most: int = 200) -> DataFrame:
     """(id, level) of phases (id, requires array); nodes on a cycle or behind one, or behind a missing id, have a null level."""
-    needs = phases.select("id", F.explode("requires").alias("need"))
-    left, done = phases.select("id"), None
+    # what is read is short on disk and long in memory, so joins are told not to broadcast it
+    without = lambda rows, ids: rows.join(ids.hint("merge"), rows.columns[-1], "left_anti")
+    needs = cut(phases.select("id", F.explode("requires").alias("need")), "needs")
+    left, done = phases.select("id"), []
     for level in range(most):
-        ready = left.join(needs.join(done.select(F.col("id").alias("need")), "need", "left_anti") if done is not None else needs, "id", "left_anti").select("id", F.lit(level).alias("level"))
-        ready = cut(ready, "level")
+        ready = cut(without(left, needs.select("id")), "level")
         if ready.isEmpty():
             break
-        done = cut(done.union(ready) if done is not None else ready, "done")
-        left = cut(left.join(ready, "id", "left_anti"), "left")
-    rest = left.select("id", F.lit(None).cast("int").alias("level"))
-    return done.union(rest) if done is not None else rest
+        done.append(ready.select("id", F.lit(level).alias("level")))
+        left = cut(without(left, ready), "left")
+        needs = cut(without(needs, ready.withColumnRenamed("id", "need")).select("id", "need"), "needs")
+    return reduce(DataFrame.union, [*done, left.select("id", F.lit(None).cast("int").alias("level"))])
 
 
 def ranked_nodes(ranks: DataFrame, most: int = 0) -> DataFrame:
