@@ -41,14 +41,20 @@ class ReceiptStore(StatefulProcessor):
         self.count = handle.getValueState("count", "place long")
 
     def _all(self) -> dict[int, tuple]:
-        return {int(k[0]): tuple(v) for k, v in self.held.iterator()}
+        return dict(sorted((int(k[0]), tuple(v)) for k, v in self.held.iterator()))
+
+    def _kept(self, before: set[int], now: dict[int, tuple]) -> None:
+        """The state becomes `now`; each access goes through a socket, so receipts that come and leave in one batch are never written."""
+        for place in before - now.keys():
+            self.held.removeKey((place,))
+        for place in now.keys() - before:
+            self.held.updateValue((place,), now[place])
 
     def _left(self, now: dict[int, tuple], gone: list[int], outcome: str, at: int | None, ord_: int | None) -> list[tuple]:
         rows = []
         for place in gone:
             receipt, issued, own, _ = now.pop(place)
             rows.append((issued + self.ttl_us if at is None else at, own if ord_ is None else ord_, receipt, outcome))
-            self.held.removeKey((place,))
         return rows
 
     def _expired(self, now: dict[int, tuple], at: int) -> list[tuple]:
@@ -63,16 +69,19 @@ class ReceiptStore(StatefulProcessor):
         frame = pd.concat(list(rows), ignore_index=True)
         frame = frame.assign(us=frame["at"].astype("datetime64[us]").astype("int64")).sort_values(["us", "ord"], kind="stable")
         now, last = self._all(), self.count.get()[0] if self.count.exists() else 0
-        before, out = last, []
+        places, before, out = set(now), last, []
+        first = min((x[1] for x in now.values()), default=None)  # no receipt was issued before
         for at, ord_, op, receipt, version in zip(frame["us"], frame["ord"], frame["op"], frame["receipt"], frame["version"]):
             at, ord_ = int(at), int(ord_)
-            out += self._expired(now, at)
+            if first is not None and first + self.ttl_us < at:
+                out += self._expired(now, at)
+                first = min((x[1] for x in now.values()), default=None)
             if op == "issue":
                 while len(now) >= self.most:
-                    out += self._left(now, [min(now)], "evicted", at, ord_)
+                    out += self._left(now, [next(iter(now))], "evicted", at, ord_)
                 last += 1
                 now[last] = (receipt, at, ord_, -1 if pd.isna(version) else int(version))
-                self.held.updateValue((last,), now[last])
+                first = at if first is None else min(first, at)
                 out.append((at, ord_, receipt, "issued"))
             elif op == "advance":
                 out += self._left(now, [k for k in sorted(now) if now[k][3] < version], "outdated", at, ord_)
@@ -80,6 +89,7 @@ class ReceiptStore(StatefulProcessor):
                 out.append((at, ord_, receipt, "hit" if any(x[0] == receipt for x in now.values()) else "miss"))
         if last != before:
             self.count.update((last,))
+        self._kept(places, now)
         self._wait(now)
         yield self._frame(key[0], out)
 
@@ -92,7 +102,9 @@ class ReceiptStore(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = self._all()
+        places = set(now)
         out = self._expired(now, timerValues.getCurrentWatermarkInMs() * 1000)
+        self._kept(places, now)
         self._wait(now)
         yield self._frame(key[0], out)
 
