@@ -61,3 +61,51 @@ def node_components(nodes: DataFrame, edges: DataFrame, cut: Callable[[DataFrame
     inside = edges.select("src", "dst").join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     found = components(inside, cut, most_rounds)
     return known.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+# Graphs of many more edges than nodes: stars run on two edges of each node, and all edges meet what came of it once.
+
+
+def pairs_of(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(a, b, weight): neighbours a < b of nodes (id) once, by edges (src, dst, weight), and a loop for nodes that may have none. nodes None: all that edges name."""
+    if nodes is not None:
+        own = nodes.select("id").where("id is not null").distinct()
+        inner = edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        edges = inner.select("src", "dst", "weight").union(own.select("id", "id", F.lit(0.0)))
+    # least and greatest pass over nulls, so that an edge with one end is a loop
+    ends = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight").where("a is not null")
+    return ends.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(id, n, least, most) of all nodes on pairs (a, b): how many neighbours a node has, the smallest and the largest of them."""
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.where("a < b").select("b", "a"))
+    return both.groupBy("id").agg(F.count_if(F.col("id") != F.col("other")).alias("n"), F.min("other").alias("least"), F.max("other").alias("most"))
+
+
+def told(rows: DataFrame, facts: DataFrame, end: str, **names: str) -> DataFrame:
+    """rows with facts (id, ...) about one end, named as asked. Facts are few beside rows, so that they are hashed and no rows are sorted."""
+    return rows.join(facts.select(F.col("id").alias(end), *[F.col(k).alias(v) for k, v in names.items()]).hint("shuffle_hash"), end)
+
+
+def sampled_components(ends: DataFrame, cut: Callable[[DataFrame, str], DataFrame], most_rounds: int = 60) -> DataFrame:
+    """(id, n, component) of ends (id, n, least, most): components by each node's smallest and largest neighbour alone, parts of the whole ones."""
+    found = components(ends.select(F.col("id").alias("src"), F.col("least").alias("dst")).union(ends.select("id", "most")), cut, most_rounds)
+    return ends.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+
+
+def rejoined(facts: DataFrame, across: DataFrame, cut: Callable[[DataFrame, str], DataFrame], most_rounds: int = 60) -> DataFrame:
+    """facts (id, n, component) with those components made one that pairs (ca, cb) lead across."""
+    across = cut(across.where("ca <> cb").select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct(), "across")
+    if across.isEmpty():
+        return facts
+    whole = components(across, cut, most_rounds).select(F.col("node").alias("component"), F.col("component").alias("of"))
+    return facts.join(whole, "component", "left").select("id", "n", F.coalesce("of", "component").alias("component"))
+
+
+def dense_components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """components(edges), where edges are many more than nodes."""
+    pairs = cut(pairs_of(None, edges.where("src <> dst").select("src", "dst", F.lit(1.0).alias("weight"))).select("a", "b"), "pairs")
+    facts = cut(sampled_components(ends_of(pairs), cut), "facts")
+    across = told(told(pairs.where("a < b"), facts, "a", component="ca"), facts, "b", component="cb")
+    return rejoined(facts, across, cut).select(F.col("id").alias("node"), "component")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import graph, labels
-from factloom.operators.components import components, node_components
+from factloom.operators.components import dense_components, node_components
 
 from .adapters import LINKS, TRADE, WEIGHTED, links, nations, read, trade, weighted
 from .registry import query
@@ -197,19 +197,19 @@ def _supplies(spark, d):
 
 @query()
 def weak_components_whole(spark, d):
-    return components(_supplies(spark, d), written)
+    return dense_components(_supplies(spark, d), written)
 
 
 @query()
 def component_sizes_topn_whole(spark, d):
-    return components(_supplies(spark, d), written).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(20)
+    return dense_components(_supplies(spark, d), written).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(20)
 
 
 @query()
 def label_propagation(spark, d):
     """Clusters of suppliers and parts: components, the large ones split by labels."""
     edges = _supplies(spark, d).withColumn("weight", F.lit(1.0))
-    return labels.split_components(graph.nodes_of(edges), edges, written)
+    return labels.split_components(None, edges, written)
 
 
 _SUPPLIES = "SELECT DISTINCT l_suppkey AS src, 1000000000 + l_partkey AS dst FROM lineitem"

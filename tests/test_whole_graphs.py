@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from factloom.operators import labels
+from factloom.operators.components import dense_components, ends_of, pairs_of, sampled_components
 from factloom.plans import registry
 from factloom.plans.scratch import written
 
@@ -104,3 +105,40 @@ def test_labels_against_brute_force(spark):
     want, rounds = labels_by_brute_force({x: around[x] for x in nodes}, weight, colour)
     found = labels.settled_labels(spark.range(60), spark.createDataFrame(pairs, "src long, dst long, weight double"), written)
     assert {x["id"]: x["label"] for x in found.collect()} == want and rounds < 19
+
+
+def test_labels_meet_an_edge_a_few_times(spark):
+    """Rounds ran on all edges, both ways, and every join dealt and sorted them anew: components by stars over every edge, colours by joins at both ends."""
+    edges = spark.range(40_000).selectExpr("id % 100 AS src", "1000 + id * 7 % 3001 AS dst", "1.0D AS weight").distinct()
+    dealt, many = [], edges.count() // 2
+
+    def cut(df, name):
+        out = written(df, name)
+        rows = out.count()
+        dealt.append((name, rows, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    found = labels.split_components(None, edges, cut, most=50)
+    assert found.count() == 3101
+    large = [name for name, rows, _ in dealt if rows > many]
+    assert large == ["pairs", "arcs"]  # what was made of all edges, each once
+    assert all("SortMergeJoin" not in p for name, _, p in dealt if name == "arcs")
+
+
+def test_components_that_a_sample_leaves_apart(spark):
+    """Two nodes whose smallest and largest neighbours are their own, joined by a middle one alone; loops, edges with one end, and twice the same."""
+    pairs = [(10, 1), (10, 50), (10, 30), (30, 2), (30, 90), (60, 60), (None, 70), (80, None), (10, 1), (1, 10)]
+    edges = spark.createDataFrame([(*p, 1.0) for p in pairs], "src long, dst long, weight double")
+    want = {1: 1, 2: 1, 10: 1, 30: 1, 50: 1, 90: 1, 60: 60, 70: 70, 80: 80}
+    assert {r["node"]: r["component"] for r in dense_components(edges, written).collect()} == {x: c for x, c in want.items() if x < 60 or x == 90}
+    found = labels.split_components(None, edges, written, most=5)
+    assert {r["id"]: r["component"] for r in found.collect()} == want
+    parts = sampled_components(ends_of(pairs_of(None, edges)), written)
+    assert {r["component"] for r in parts.where("id in (10, 30)").collect()} == {1, 2}
+
+
+def test_colours_between_hubs_and_leaves(spark):
+    """A clique with tails: most nodes are neither first nor last."""
+    pairs = [(a, b) for a in range(6) for b in range(a)] + [(a, 10 + a) for a in range(6)] + [(10 + a, 20 + a) for a in range(6)]
+    colour = colours(spark, [(x,) for x in {y for p in pairs for y in p}], pairs)
+    assert {colour[x] for x in range(6)} == set(range(6))
