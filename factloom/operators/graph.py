@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import with_group_facts
+
 DAMPING, BASELINE = 0.85, 0.01
 
 
@@ -57,21 +59,52 @@ def teleport(nodes: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     return held.join(F.broadcast(held.agg(F.sum("w").alias("total")))).select("id", (F.col("w") / F.col("total")).alias("t"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, seeds: DataFrame | None = None, tolerance: float | None = 1e-6, cut=None, damping: float = DAMPING) -> DataFrame:
+#: Moves of a node with many targets are dealt to blocks of about so many moves, if there are so many targets for each block.
+BLOCK_MOVES, LEAST_BLOCKS, LEAST_SHARE = 20_000_000, 16, 8
+
+
+def fanned(edges: DataFrame, out: DataFrame, cut, block_moves: int | None = None) -> DataFrame:
+    """(src, p, block, dsts): edges (src, dst, weight) with out (src, out, n), a row for all targets that get the same part p of a node's rank.
+
+    A node with more than LEAST_SHARE targets for each block has a row for each block of its targets, so that its rank goes to a block once;
+    others have block null. Blocks grow in number with the edges.
+    """
+    out = cut(out, "out")
+    total, most = out.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    blocks = max(LEAST_BLOCKS, total // (BLOCK_MOVES if block_moves is None else block_moves))
+    led = with_group_facts(edges.select("src", "dst", "weight"), out.withColumn("fan", F.col("n")), "src", total, most)
+    block = F.when(F.col("fan") > LEAST_SHARE * blocks, F.pmod(F.xxhash64("dst"), F.lit(blocks)).cast("int"))
+    rows = led.select("src", "dst", (F.col("weight") / F.col("out")).alias("p"), block.alias("block"))
+    return cut(rows.groupBy("src", "p", "block").agg(F.collect_list("dst").alias("dsts")), "moves")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, seeds: DataFrame | None = None, tolerance: float | None = 1e-6, cut=None, damping: float = DAMPING, inside: bool = False) -> DataFrame:
     """(id, rank) by power iteration; the mass of nodes without outgoing weight is spread evenly.
 
     With a tolerance, it stops where the ranks' total change falls below it; without one, all rounds run and
-    no action is needed.
+    no action is needed but for a cut. `inside` says that edges have no ends but nodes, or null.
+
+    With a cut, what is dealt in a round are rows of many targets, and parts of ranks are added up where a block's targets lie together, before
+    they are dealt: a small part of a row for each edge and round.
     """
-    kept = edges.where("weight > 0").join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    out = kept.groupBy("src").agg(F.sum("weight").alias("out"))
-    moves = kept.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p"))
+    kept = edges.where("weight > 0 and src is not null and dst is not null")
+    if not inside:
+        kept = kept.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    out = kept.groupBy("src").agg(F.sum("weight").alias("out"), F.count("*").alias("n"))
     base = teleport(nodes, seeds).join(out.select(F.col("src").alias("id"), F.lit(True).alias("has_out")), "id", "left").select("id", "t", F.col("has_out").isNull().alias("dangling"))
     if cut:
-        moves, base = cut(moves, "moves"), cut(base, "base")
+        moves, base = fanned(kept, out, cut), cut(base, "base")
+        far = not moves.where("block is not null").isEmpty()
+    else:
+        moves = kept.join(out, "src").select("src", (F.col("weight") / F.col("out")).alias("p"), F.array("dst").alias("dsts"))
+        far = False
     rank = base.withColumn("rank", F.col("t"))
     for _ in range(rounds):
-        flow = rank.join(moves, rank["id"] == moves["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
+        held = rank.select(F.col("id").alias("src"), "rank")
+        led = moves.join(held.hint("shuffle_hash") if cut else held, "src").withColumn("part", F.col("rank") * F.col("p"))
+        if far:
+            led = led.where("block is null").select("part", "dsts").union(led.where("block is not null").select("block", "part", "dsts").repartition("block").select("part", "dsts"))
+        flow = led.select(F.explode("dsts").alias("dst"), "part").groupBy("dst").agg(F.sum("part").alias("flow"))
         totals = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"), F.count("*").alias("n"))
         next_ = rank.withColumnRenamed("rank", "before").join(flow, F.col("id") == F.col("dst"), "left").join(F.broadcast(totals))
         next_ = next_.select("id", "t", "dangling", "before", ((1 - damping) * F.col("t") + damping * F.col("lost") / F.col("n") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))

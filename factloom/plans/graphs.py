@@ -225,7 +225,7 @@ def _supply_ranks_sql(rounds: int) -> str:
 @query(_supply_ranks_sql(ROUNDS))
 def pagerank_supplies(spark, d):
     """Ranks of all suppliers and parts, over every pair of them in lineitem both ways."""
-    edges = _supplies(spark, d)
+    edges = written(_supplies(spark, d), "supplies")
     both = edges.union(edges.select("dst", "src")).withColumn("weight", F.lit(1.0))
-    found = graph.pagerank(graph.nodes_of(edges), both, ROUNDS, tolerance=None, cut=written)
+    found = graph.pagerank(graph.nodes_of(edges), both, ROUNDS, tolerance=None, cut=written, inside=True)
     return found.select("id", F.round("rank", 10).alias("rank"))
