@@ -345,14 +345,21 @@ def near_duplicates(documents: DataFrame, measure: Measure = OP8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents."""
     signed = written(_signed(documents, measure), "signed")
     known = signed.where("n_shingles > 0 and doc is not null")
-    same = known.groupBy("set_hash").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
+    same = written(known.groupBy("set_hash").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "same")
     firsts = known.join(same.select("set_hash", F.col("rep").alias("doc")), ["doc", "set_hash"], "left_semi").dropDuplicates(["doc", "set_hash"])
     # The same join at every size: a small corpus must not hide what a large one has to move.
     text = texts(documents).where("doc_id is not null").withColumnRenamed("doc_id", "doc").hint("merge")
     total, most = same.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    sets = with_group_facts(known.select("doc", "set_hash"), same, "set_hash", total, most).select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
-    labels = components(links(text, firsts, measure).union(sets), written)
-    out = signed.select(F.col("doc").alias("doc_id"), "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    found = links(text, firsts, measure)
+    # Copies do not go through the rounds: a set's first has its label. Only documents of several sets connect these.
+    several = written(known.groupBy("doc").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc"), "several")
+    if not several.isEmpty():
+        sets = with_group_facts(known.join(several, "doc", "left_semi").select("doc", "set_hash"), same, "set_hash", total, most)
+        found = found.union(sets.select(F.col("doc").alias("src"), F.col("rep").alias("dst")).where("src <> dst"))
+    labels = components(found, written)
+    placed = same.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"), "n")
+    labels = with_group_facts(known.select("doc", "set_hash"), written(placed, "placed"), "set_hash", total, most).where("doc <> component").select("doc", "component").distinct()
+    out = signed.select(F.col("doc").alias("doc_id"), "n_shingles").join(labels.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

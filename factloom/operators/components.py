@@ -28,27 +28,28 @@ def with_group_facts(rows: DataFrame, groups: DataFrame, key: str, total: int, m
 def components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame], most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that edges (src, dst) reach, for every node on an edge.
 
-    Alternates large-star and small-star steps until nothing moves, each round a pair of shuffles whose
-    rows are at most the edges. A large star's centre is only ever pointed at, and its rows are
+    Alternates large-star and small-star steps until all edges lead to their least node, each round a few shuffles
+    whose rows are at most the edges. A large star's centre is only ever pointed at, and its rows are
     pre-aggregated to the least neighbour, so that no task gathers a node's neighbours. `cut(df, name)`
-    materialises a round.
+    materialises a round, and within it what several plans read: nested in one another, the plans of hot keys
+    were megabytes that the driver holds for each job.
     """
     now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
-    now, mark = cut(now, "components"), None
+    now = cut(now, "components")
     for _ in range(most_rounds + 1):
         both = now.union(now.select("b", "a"))
-        # what the rows are, by a sum of hashes, and the most that a node has of them
-        own = both.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-        size, most, hashes = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.sum("h")).first()
-        if (size, hashes) == mark or not size:
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("edges"), F.count_if(F.col("b") > F.col("a")).alias("n")), "least")
+        # unsettled: nodes that point to a smaller one and have other neighbours too
+        moving = (F.col("m") < F.col("a")) & (F.col("edges") > 1)
+        size, most, low, moves = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max(F.col("edges") - F.col("n")), F.lit(0)), F.coalesce(F.bool_or(moving), F.lit(False))).first()
+        if not moves:
             break
-        mark = (size, hashes)
         # large-star: every larger neighbour of a node points to the node's least neighbour or itself
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = with_group_facts(both.where("b > a"), least, "a", size, most).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        stars = with_group_facts(now.select(F.col("b").alias("a"), F.col("a").alias("b")), least.where("n > 0").select("a", F.least("a", "m").alias("m"), "n"), "a", size, most)
+        large = cut(stars.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small-star: every smaller neighbour of a node, and the node, point to the least of them
         small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        now = with_group_facts(large, small, "a", size, most).select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        now = with_group_facts(large, small, "a", size, low).select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = cut(now, "components")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
