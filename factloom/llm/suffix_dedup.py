@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.components import with_group_facts
 
-from .common import shared_folder, table, tasks, texts, written
+from .common import shared_folder, shuffles_dropped, table, tasks, texts, written
 from .suffix_array import shared_prefixes, suffix_array, words_at
 
 LENGTH, GRAM = 100, 32
@@ -390,6 +390,12 @@ def _by_document(df: DataFrame, buckets: int):
 
 def substring_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document."""
+    # Texts, runs and stretches are moved one after the other; what a step has moved is written, so that its shuffles need not wait for the last step.
+    with shuffles_dropped(documents.sparkSession):
+        return _deduplicated(documents)
+
+
+def _deduplicated(documents: DataFrame) -> DataFrame:
     own = texts(documents).withColumn("h", F.sha2("text", 256))
     ids = own.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"))
     known = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h", "n_bytes")).alias("x")).select("doc_id", "x.*")
