@@ -1,8 +1,9 @@
 """Embedding near-dedup by navigable small-world graphs.
 
 Equal vectors are one class. Classes are dealt to shards of bounded bytes, each shard gets a hierarchical graph, and
-every block of classes is looked up in every shard. A beam search that comes back full of links is widened for
-that query, in the end to a scan of the shard. Each look-up is audited against brute force: a sample of its queries,
+all classes are looked up in every shard. A task loads one shard, once, and a slice of the classes streams past it in
+blocks; rows hold parts of a shard, so that neither a row nor a batch grows with it.
+A beam search that comes back full of links is widened for that query, in the end to a scan of the shard. Each block's look-up is audited against brute force: a sample of its queries,
 and queries planted near vectors of the shard, so that there are always links to find. All beams are widened until
 the recall of these links passes, in the end to a scan; the least recall is handed to `on_recall`, and one below
 `LEAST_RECALL` fails the job. Candidates count only if their cosine in double precision does. Links leave a task
@@ -26,11 +27,15 @@ from pyspark.sql import functions as F
 
 from factloom.operators.components import components
 
-from .common import table, written
+from .common import few_in_a_batch, lean, shuffles_dropped, table, written
 
 THRESHOLD = 0.95
-#: Shards, and bytes that a shard or a block of queries holds at about most: beyond that there are more of them.
-SHARDS, SHARD_BYTES, BLOCK_BYTES = 6, 256 << 20, 8 << 20
+#: Shards, and bytes that a shard, a block of queries or a task's slice of them holds at about most: beyond that there are more of them.
+SHARDS, SHARD_BYTES, BLOCK_BYTES, SLICE_BYTES = 6, 128 << 20, 8 << 20, 256 << 20
+#: Bytes of a row that holds a part of a shard, and of what a step of a search makes for the queries that it takes together.
+PART_BYTES, STEP_BYTES = 1 << 20, 32 << 20
+#: So many of these rows go to Python at a time.
+PART_ROWS = 8
 NEIGHBOURS, BUILD_BEAM, FIRST_BEAM, EXPAND = 16, 48, 48, 4
 #: Of a look-up, queries that are audited and as many planted ones; the recall that ends the widening, and the least one.
 AUDITED, RECALL, LEAST_RECALL = 128, 0.99, 0.9
@@ -40,7 +45,11 @@ SCAN_PART = 16
 
 def _search(links, vectors, queries, entry, beam):
     """Beam search at one level for many queries at once: (ids, similarities), best first, -1 where there are no more."""
-    q, width = len(queries), beam
+    q, width, met = len(queries), beam, EXPAND * links.shape[1]
+    step = max(1, STEP_BYTES // (met * (8 * vectors.shape[1] + 48) + 48 * width))
+    if q > step:
+        parts = [_search(links, vectors, queries[k : k + step], entry[k : k + step], beam) for k in range(0, q, step)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
     ids = np.full((q, width), -1, np.int32)
     sims = np.full((q, width), -np.inf, np.float32)
     seen = np.zeros((q, width), bool)
@@ -61,10 +70,13 @@ def _search(links, vectors, queries, entry, beam):
         mark[rows, best] |= np.isfinite(value)
         node = np.where(np.isfinite(value), ids[active][rows, best], -1)
         near = np.where(node[:, :, None] >= 0, links[node], -1).reshape(len(active), -1)
-        near = np.sort(near, 1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        near[(near[:, :, None] == ids[active][:, None, :]).any(2)] = -1
-        near_sims = np.where(near >= 0, np.einsum("qkd,qd->qk", vectors[near], queries[active]), -np.inf).astype(np.float32)
+        both = np.sort(np.concatenate([2 * near + 1, 2 * ids[active]], 1), 1)  # what is held stands before the same that is met
+        both[:, 1:][both[:, 1:] >> 1 == both[:, :-1] >> 1] = -1
+        near = np.sort(np.where(both & 1, both >> 1, -1), 1)[:, ::-1]
+        near = near[:, : max(1, int((near >= 0).sum(1).max()))]
+        i, j = np.nonzero(near >= 0)
+        near_sims = np.full(near.shape, -np.inf, np.float32)
+        near_sims[i, j] = np.einsum("nd,nd->n", vectors[near[i, j]], queries[active[i]])
         all_sims = np.concatenate([sims[active], near_sims], 1)
         top = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
         sims[active] = np.take_along_axis(all_sims, top, 1)
@@ -77,6 +89,10 @@ def _search(links, vectors, queries, entry, beam):
 def _diverse(vectors, ids, sims, most):
     """Of candidates (best first) those that are nearer to the query than to any taken before, filled up with the best."""
     q, k = ids.shape
+    step = max(1, STEP_BYTES // (4 * k * vectors.shape[1]))
+    if q > step:
+        parts = [_diverse(vectors, ids[j : j + step], sims[j : j + step], most) for j in range(0, q, step)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
     taken = np.zeros((q, k), bool)
     own = vectors[np.maximum(ids, 0)]
     worst = np.full((q, k), -np.inf, np.float32)  # nearness to what is taken
@@ -141,7 +157,9 @@ class Graph:
         back, to = back[to >= 0], to[to >= 0]
         order = np.argsort(to, kind="stable")
         back, to = back[order], to[order]
-        for part in np.array_split(np.unique(to), max(1, len(np.unique(to)) // 4096)):  # those who got links choose anew
+        due = np.unique(to)
+        step = min(4096, max(1, STEP_BYTES // (4 * (most + 3 * NEIGHBOURS) * self.vectors.shape[1])))
+        for part in np.array_split(due, max(1, len(due) // step)):  # those who got links choose anew
             if not len(part):
                 continue
             here = slice(np.searchsorted(to, part[0]), np.searchsorted(to, part[-1], "right"))
@@ -161,15 +179,17 @@ class Graph:
     def nearest(self, queries, beam):
         return _search(self.links[0], self.vectors, queries, self._entry(queries, 0), beam)
 
-    def packed(self) -> bytes:
+    def packed(self, whole: bool = True) -> bytes:
+        """With its vectors, unless they are at hand where it is unpacked."""
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, order=self.order, sizes=self.sizes, **{f"links{k}": x for k, x in enumerate(self.links)})
+        np.savez(out, order=self.order, sizes=self.sizes, **({"vectors": self.vectors} if whole else {}), **{f"links{k}": x for k, x in enumerate(self.links)})
         return out.getvalue()
 
     @classmethod
-    def unpacked(cls, raw: bytes) -> "Graph":
+    def unpacked(cls, raw: bytes, vectors: np.ndarray | None = None) -> "Graph":
         held, own = np.load(io.BytesIO(raw)), cls.__new__(cls)
-        own.vectors, own.order, own.sizes = held["vectors"], held["order"], held["sizes"].tolist()
+        own.order, own.sizes = held["order"], held["sizes"].tolist()
+        own.vectors = held["vectors"] if vectors is None else vectors.astype(np.float32)[own.order]
         own.links = [held[f"links{k}"] for k in range(len(own.sizes))]
         return own
 
@@ -179,6 +199,13 @@ def _normalised(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _narrowed(v: np.ndarray) -> np.ndarray:
+    """The same numbers in single precision, if they all have it."""
+    with np.errstate(over="ignore"):
+        narrow = v.astype(np.float32)
+    return narrow if (narrow == v).all() else v
+
+
 def contract(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Unite the labels of a and b, in place; each label is the place of a member."""
     while True:
@@ -219,67 +246,154 @@ def range_links(graph: Graph, own: np.ndarray, queries: np.ndarray, threshold: f
                 take(part[a], b)
 
     def beam_links(asked, beam):
-        """Links of these vectors, and whether each beam was full of them."""
-        a, b, full = [], [], []
+        """Links of these vectors, and which beams were full of them, for some vectors after others: (from, places, shard rows, full)."""
         for k in range(0, len(asked), 1024):
             part = asked[k : k + 1024]
             ids, sims = graph.nearest(part.astype(np.float32), beam)
             i, j = np.nonzero(sims >= threshold - 1e-4)
             row = graph.order[ids[i, j]]
-            good = np.einsum("ij,ij->i", part[i], own[row]) >= threshold
-            a.append(k + i[good])
-            b.append(row[good])
-            full.append(sims[:, -1] >= threshold - 1e-4)
-        return np.concatenate(a), np.concatenate(b), np.concatenate(full)
+            step = max(1, STEP_BYTES // (16 * own.shape[1]))
+            near = [np.einsum("ij,ij->i", part[i[x : x + step]], own[row[x : x + step]]) for x in range(0, len(i), step)]
+            good = np.concatenate([*near, np.zeros(0)]) >= threshold
+            yield k, i[good], row[good], sims[:, -1] >= threshold - 1e-4
 
     sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
     audited = np.concatenate([queries[sample], planted(own, threshold, AUDITED)])
     beam, open_, reached = FIRST_BEAM, np.arange(len(queries)), 1.0
     if SCAN_PART * beam < n:
-        truth = (audited @ own.T >= threshold).sum(1)
+        step = max(1, STEP_BYTES // (8 * len(audited)))
+        truth = sum((audited @ own[k : k + step].T >= threshold).sum(1) for k in range(0, n, step))
         while SCAN_PART * beam < n:  # the beam that the audit accepts; saturated queries are not its matter
-            a, _, full = beam_links(audited, beam)
-            due = truth[~full].sum()
-            reached = np.bincount(a, minlength=len(audited))[~full].sum() / due if due else 1.0
+            due = hit = 0
+            for k, a, _, full in beam_links(audited, beam):
+                due += truth[k : k + len(full)][~full].sum()
+                hit += np.bincount(a, minlength=len(full))[~full].sum()
+            reached = hit / due if due else 1.0
             if reached >= RECALL:
                 break
             beam *= 2
     least = reached if SCAN_PART * beam < n else 1.0
     while len(open_) and SCAN_PART * beam < n:
-        a, b, full = beam_links(queries[open_], beam)
-        take(open_[a[~full[a]]], b[~full[a]])
-        open_, beam = open_[full], 4 * beam
+        again = []
+        for k, a, b, full in beam_links(queries[open_], beam):
+            take(open_[k + a[~full[a]]], b[~full[a]])
+            again.append(open_[k + np.flatnonzero(full)])
+        open_, beam = np.concatenate(again), 4 * beam
     scan(open_)
     return float(least)
 
 
-def _pack(classes: DataFrame, by: str, make, name: str) -> DataFrame:
-    """One row for each (dim, by): ids, counts, vectors, and what make gives of the vectors."""
+_PARTS = "dim int, shard int, seq int, ids binary, counts binary, vectors binary, graph binary"
 
-    def pack(batches):
-        def flush(key, rows):
-            ids, counts = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-            order = np.argsort(ids)
-            vectors = _normalised(np.stack([r[2] for r in rows])[order])
-            made = make(vectors) if make else b""
-            blobs = [ids[order].tobytes(), counts[order].tobytes(), vectors.tobytes(), made]
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["dim", by, f"{name}_ids", f"{name}_counts", f"{name}_vectors", f"{name}_graph"])
 
-        now, rows = None, []
-        for batch in batches:
-            v = batch.column("v")
-            held, ends = v.flatten().to_numpy(zero_copy_only=False), np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))
-            for end, dim, part, rep, n in zip(ends.tolist(), *(batch.column(c).to_pylist() for c in ("dim", by, "rep", "n"))):
-                if (dim, part) != now:
-                    if rows:
-                        yield flush(now, rows)
-                    now, rows = (dim, part), []
-                rows.append((rep, n, held[end - dim : end]))
-        if rows:
-            yield flush(now, rows)
+def _parts(dim: int, shard: int, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray):
+    """A shard as rows of `_PARTS`: its vectors by their ids, then its graph."""
+    order = np.argsort(ids)
+    ids, counts, vectors = ids[order], counts[order], vectors[order]
+    graph = Graph(_normalised(vectors.astype(np.float64))).packed(whole=False)
+    step = max(1, PART_BYTES // (16 + vectors.itemsize * dim))
+    rows = [(x.tobytes() for x in (ids[k : k + step], counts[k : k + step], vectors[k : k + step])) for k in range(0, len(ids), step)]
+    for seq, row in enumerate([*rows, *((b"", b"", b"", graph[k : k + PART_BYTES]) for k in range(0, len(graph), PART_BYTES))]):
+        blobs = [*row, b""][:4]
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (dim, shard, seq)), *(pa.array([x], pa.binary()) for x in blobs)], ["dim", "shard", "seq", "ids", "counts", "vectors", "graph"])
+
 
-    dealt = classes.select("dim", by, "rep", "n", "v").repartition("dim", by).sortWithinPartitions("dim", by)
-    return dealt.mapInArrow(pack, f"dim int, {by} int, {name}_ids binary, {name}_counts binary, {name}_vectors binary, {name}_graph binary")
+def _index(batches):
+    """Parts of all shards of rows (dim, shard, rep, n, v) that are sorted by dim and shard."""
+    now, held = None, []
+    for batch in batches:
+        dims, shards, ids, counts = (batch.column(c).to_numpy() for c in ("dim", "shard", "rep", "n"))
+        values, ends = batch.column("v").flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(dims.astype(np.int64))]
+        cuts = np.flatnonzero((np.diff(dims) != 0) | (np.diff(shards) != 0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(ids)]):
+            if a == b:
+                continue
+            if now != (key := (int(dims[a]), int(shards[a]))):
+                if held:
+                    yield from _parts(*now, *(np.concatenate(x) for x in zip(*held)))
+                now, held = key, []
+            held.append((ids[a:b], counts[a:b], _narrowed(values[ends[a] : ends[b]].reshape(b - a, -1))))
+    if held:
+        yield from _parts(*now, *(np.concatenate(x) for x in zip(*held)))
+
+
+def _unpacked(dim: int, rows: list[tuple[bytes, bytes, bytes, bytes]]):
+    """(ids, counts, normalised vectors) of parts."""
+    ids, counts = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (0, 1))
+    vectors, at = np.empty((len(ids), dim)), 0
+    for r in rows:
+        if n := len(r[0]) // 8:
+            kind = np.float32 if len(r[2]) == 4 * n * dim else np.float64
+            vectors[at : at + n] = _normalised(np.frombuffer(r[2], kind).reshape(n, dim).astype(np.float64))
+            at += n
+    return ids, counts, vectors
+
+
+class _Shard:
+    """A shard in a task that looks up vectors in it, and what these make one so far: each label is a place in the shard."""
+
+    def __init__(self, dim: int, rows: list[tuple[bytes, bytes, bytes, bytes]], threshold: float):
+        self.dim, self.threshold, self.recall = dim, threshold, 1.0
+        self.ids, self.counts, self.own = _unpacked(dim, rows)
+        self.graph = Graph.unpacked(b"".join(r[3] for r in rows), self.own)
+        self.labels = np.arange(len(self.ids))
+
+    def _rows(self, src, n_links, dst):
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(n_links), pa.array(dst), pa.array(np.full(len(src), self.recall))], ["src", "n_links", "dst", "recall"])
+
+    def look_up(self, rows: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
+        """A row for each vector that has links here."""
+        ids, _, queries = _unpacked(self.dim, rows)
+        n, found = len(self.ids), np.zeros(len(ids), np.int64)
+        labels = np.r_[self.labels, n + np.arange(len(ids))]
+
+        def take(a, b):
+            apart = ids[a] != self.ids[b]
+            a, b = a[apart], b[apart]
+            np.add.at(found, a, self.counts[b])
+            contract(labels, n + a, b)
+
+        self.recall = min(self.recall, range_links(self.graph, self.own, queries, self.threshold, take))
+        self.labels, has = labels[:n], np.flatnonzero(found)
+        return self._rows(ids[has], found[has], self.ids[labels[n + has]])
+
+    def done(self) -> pa.RecordBatch:
+        """What became one by the vectors that were looked up, and at least one row, to tell the recall."""
+        has = np.union1d(np.flatnonzero(self.labels != np.arange(len(self.ids))), [0])
+        return self._rows(self.ids[has], np.zeros(len(has), np.int64), self.ids[self.labels[has]])
+
+
+def _look_up(threshold: float):
+    """Links of rows (dim, shard, slice, asked, *parts): in each slice the shard's parts, then those that are looked up in it (asked)."""
+
+    def look_up(batches):
+        now, shard, held, size = None, None, [], 0
+
+        def flush():
+            nonlocal shard, held, size
+            rows, held, size = held, [], 0
+            if not now[1]:
+                shard = _Shard(now[0][0], rows, threshold)
+            elif shard:  # there may be no vectors of this length in it
+                yield shard.look_up(rows)
+
+        for batch in batches:
+            for k, (*key, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("dim", "shard", "slice", "asked")))):
+                if held and (now != (key, asked) or asked and size >= BLOCK_BYTES):
+                    yield from flush()
+                if now and now[0] != key:
+                    if shard:
+                        yield shard.done()
+                    shard = None
+                now = key, asked
+                held.append(tuple(batch.column(c)[k].as_py() for c in ("ids", "counts", "vectors", "graph")))
+                size += len(held[-1][0]) * (1 + key[0])  # in double precision
+        if held:
+            yield from flush()
+        if shard:
+            yield shard.done()
+
+    return look_up
 
 
 def vector_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, shards: int = SHARDS, on_recall: Callable[[float], None] | None = None) -> DataFrame:
@@ -288,47 +402,32 @@ def vector_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, shard
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = own.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0)).withColumn("v", F.transform("v", lambda x: x + 0.0))
     classes = valid.dropDuplicates(["vec_id", "v"]).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = written(classes.withColumn("dim", F.size("v")), "classes")
-    # A vector stands in its shard in both precisions, beside its links.
-    size = classes.agg(F.coalesce(F.sum(12 * F.col("dim") + 200), F.lit(0)).alias("shard"), F.coalesce(F.sum(8 * F.col("dim") + 16), F.lit(0)).alias("block")).first()
-    shards, blocks = max(shards, -(-size["shard"] // SHARD_BYTES)), max(1, -(-size["block"] // BLOCK_BYTES))
-    part = lambda salt, k: F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(k)).cast("int")
-    dealt = classes.withColumn("shard", part(1, shards)).withColumn("block", part(2, blocks))
-    index = written(_pack(dealt, "shard", lambda v: Graph(v).packed(), "shard"), "graphs")
-    asked = _pack(dealt, "block", None, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = asked.join(index, ["dim", "shard"]).repartition(min(shards * blocks, 4096), "dim", "shard", "block")
-
-    def look_up(batches):
-        read = lambda raw, kind: np.frombuffer(raw, kind)
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, other = read(row["block_ids"], np.int64), read(row["shard_ids"], np.int64)
-                weights = read(row["shard_counts"], np.int64)
-                queries, vectors = (read(row[c], np.float64).reshape(-1, row["dim"]) for c in ("block_vectors", "shard_vectors"))
-                nodes = np.unique(np.concatenate([ids, other]))
-                q, x = np.searchsorted(nodes, ids), np.searchsorted(nodes, other)
-                labels, counts = np.arange(len(nodes)), np.zeros(len(ids), np.int64)
-
-                def take(a, b):
-                    apart = ids[a] != other[b]
-                    a, b = a[apart], b[apart]
-                    np.add.at(counts, a, weights[b])
-                    contract(labels, q[a], x[b])
-
-                recall = range_links(Graph.unpacked(row["shard_graph"]), vectors, queries, threshold, take)
-                has = np.flatnonzero(labels != np.arange(len(nodes)))
-                recalls = pa.array(np.full(len(ids) + len(has), recall))
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids, nodes[has]]), pa.array(np.r_[counts, np.zeros(len(has), np.int64)]), pa.array(np.r_[ids, nodes[labels[has]]]), recalls], ["src", "n_links", "dst", "recall"])
-
-    found = written(met.mapInArrow(look_up, "src long, n_links long, dst long, recall double"), "vector_links")
+    spark = embeddings.sparkSession
+    with shuffles_dropped(spark):
+        classes = written(classes.withColumn("dim", F.size("v")), "classes")
+        # A vector stands in its shard in both precisions, beside its links.
+        size = classes.agg(F.coalesce(F.sum(12 * F.col("dim") + 200), F.lit(0)).alias("shard"), F.coalesce(F.sum(8 * F.col("dim") + 16), F.lit(0)).alias("block")).first()
+        shards = int(max(shards, -(-size["shard"] // SHARD_BYTES)))
+        # All vectors are looked up in each shard, in so many slices that each is bounded and all cores have some.
+        slices = int(max(1, -(-size["block"] // SLICE_BYTES), -(-3 * spark.sparkContext.defaultParallelism // shards)))
+        dealt = classes.withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(shards)).cast("int"))
+        dealt = dealt.select("dim", "shard", "rep", "n", "v").repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard")
+        index = written(dealt.mapInArrow(lean(_index), _PARTS), "graphs")
+        blobs = [F.col(c) for c in ("seq", "ids", "counts", "vectors", "graph")]
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        held = index.select("dim", "shard", every(slices).alias("slice"), F.lit(False).alias("asked"), *blobs)
+        asked = index.where(F.length("ids") > 0).select("dim", every(shards).alias("shard"), F.pmod(F.col("seq") + F.col("shard"), F.lit(slices)).alias("slice"), F.lit(True).alias("asked"), *blobs)
+        met = held.unionByName(asked).repartitionById(shards * slices, F.col("shard") * slices + F.col("slice")).sortWithinPartitions("dim", "shard", "slice", "asked", "seq")
+        with few_in_a_batch(spark, PART_ROWS):
+            found = written(met.mapInArrow(lean(_look_up(threshold)), "src long, n_links long, dst long, recall double"), "vector_links")
     recall = found.agg(F.coalesce(F.min("recall"), F.lit(1.0))).first()[0]
     if recall < LEAST_RECALL:
         raise RuntimeError(f"the graphs' audited recall is {recall}")
     if on_recall:
         on_recall(recall)
     labels = components(found.where("src <> dst").select("src", "dst"), written)
-    per_class = classes.join(found.groupBy("src").agg(F.sum("n_links").alias("links")).withColumnRenamed("src", "rep"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    per_class = per_class.select("v", (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    per_class = classes.join(found.groupBy("src").agg(F.sum("n_links").alias("links")).withColumnRenamed("src", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    per_class = per_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = valid.join(per_class, "v").select("vec_id", "n_links", "component_id").dropDuplicates(["vec_id"])
     out = own.select("vec_id").join(linked, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

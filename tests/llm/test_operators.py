@@ -611,3 +611,24 @@ def test_every_wording_is_confirmed_or_overlapped():
         for name, template in own:
             for start, end, _ in licenses.wording(text, template, licenses.MOST_DIFFERENT):
                 assert any(a < end and start < b for a, b, *_ in spans), (name, text[start:end])
+
+
+def test_shards_come_in_parts(spark, monkeypatch):
+    """No row grows with a shard, a task holds one shard alone, and links are those of brute force."""
+    monkeypatch.setattr(vector_dedup, "PART_BYTES", 4096)
+    monkeypatch.setattr(vector_dedup, "BLOCK_BYTES", 8192)
+    r = np.random.default_rng(12)
+    x = r.normal(size=(600, 16)).astype(np.float32)
+    x[50:90] = x[50] + 0.05 * r.normal(size=(40, 16))
+    parts = list(vector_dedup._parts(16, 0, np.arange(600), np.ones(600, np.int64), x))
+    assert len(parts) > 10 and max(p.nbytes for p in parts) < 4096 + 200
+    rows = [tuple(p.column(c)[0].as_py() for c in ("ids", "counts", "vectors", "graph")) for p in parts]
+    shard = vector_dedup._Shard(16, rows, 0.95)
+    assert (shard.ids == np.arange(600)).all() and (shard.graph.vectors == shard.own.astype(np.float32)[shard.graph.order]).all()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.vector_duplicates(frame, shards=3).collect()}
+    unit = vector_dedup._normalised(x.astype(np.float64))
+    link = unit @ unit.T >= 0.95
+    label = np.arange(600)
+    vector_dedup.contract(label, *np.nonzero(link))
+    assert found == {i: (link[i].sum() - 1, label[i]) for i in range(600)}
