@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import ctypes
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.plans.scratch import shared_folder, shuffles_dropped, written  # noqa: F401
+from factloom.plans.scratch import few_in_a_batch, shared_folder, shuffles_dropped, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,18 +25,6 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@contextmanager
-def few_in_a_batch(spark: SparkSession, rows: int):
-    """Inside, a write's Python gets so many rows at a time: for rows that are large, of which Spark's own number would be gathered on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
-
-
 def give_back() -> None:
     """Return this process's freed memory to the system, where its allocator can."""
     pa.default_memory_pool().release_unused()

@@ -37,3 +37,15 @@ def shuffles_dropped(spark: SparkSession):
         yield
     finally:
         spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
+@contextmanager
+def few_in_a_batch(spark: SparkSession, rows: int):
+    """Inside, a write's Python gets so many rows at a time: for rows that are large, of which Spark's own number would be gathered on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
