@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.plans.scratch import few_in_a_batch, shared_folder, shuffles_dropped, written  # noqa: F401
+from factloom.plans.scratch import few_in_a_batch, give_back, lean, shared_folder, shuffles_dropped, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,23 +20,3 @@ def texts(documents: DataFrame) -> DataFrame:
 def tasks(spark: SparkSession) -> int:
     """Tasks for a stage whose share of work is small: as many as the session's shuffles have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def give_back() -> None:
-    """Return this process's freed memory to the system, where its allocator can."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
-def lean(of):
-    """of, for mapInArrow: workers outlive their tasks, and the next stage must not start on top of what this one has freed."""
-
-    def run(batches):
-        try:
-            yield from of(batches)
-        finally:
-            give_back()
-
-    return run

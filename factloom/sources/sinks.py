@@ -20,12 +20,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 class VersionedTable:
     """Rows that are replaced a partition at a time: scores by (score_name, graph_version), clusters by (projection, graph_version)."""
 
-    def __init__(self, spark: SparkSession, path: str, partition: list[str]):
-        self.spark, self.path, self.partition = spark, path, partition
+    def __init__(self, spark: SparkSession, path: str, partition: list[str], **options: str):
+        self.spark, self.path, self.partition, self.options = spark, path, partition, options
 
     def upsert(self, rows: DataFrame) -> None:
         """Replaces the partitions that the rows are of, and no others."""
-        rows.write.partitionBy(*self.partition).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.path)
+        rows.write.options(**self.options).partitionBy(*self.partition).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.path)
 
     def read(self) -> DataFrame | None:
         return self.spark.read.parquet(self.path) if _exists(self.spark, self.path) else None
